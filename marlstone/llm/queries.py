@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from marlstone.llm.language_id import op9_language_id
 from marlstone.llm.packing import op8_packing
+from marlstone.llm.quality import op1_quality
 from marlstone.llm.token_output import op3_token_output
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_token_output": op3_token_output,
     "op8_packing": op8_packing,
+    "op9_language_id": op9_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}

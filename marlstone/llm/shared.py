@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -26,6 +27,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_fields(df: DataFrame, **fields: str) -> StructType:
+    """The schema of ``df`` with further fields."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in fields.items():
+        out = out.add(name, kind)
+    return out
+
+
 def slices(batch, rows: int):
     """Parts of an Arrow batch of at most ``rows`` rows."""
     for i in range(0, batch.num_rows, rows):
