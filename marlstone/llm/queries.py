@@ -5,6 +5,7 @@ from __future__ import annotations
 from marlstone.llm.ann import op5_nearest
 from marlstone.llm.html_text import op6_html_text
 from marlstone.llm.language_id import op9_language_id
+from marlstone.llm.near_vectors import op4_near_vectors
 from marlstone.llm.packing import op8_packing
 from marlstone.llm.pieces import op7_pieces
 from marlstone.llm.quality import op1_quality
@@ -13,6 +14,7 @@ from marlstone.llm.token_output import op3_token_output
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_token_output": op3_token_output,
+    "op4_near_vectors": op4_near_vectors,
     "op5_nearest": op5_nearest,
     "op6_html_text": op6_html_text,
     "op7_pieces": op7_pieces,
