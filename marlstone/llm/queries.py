@@ -9,6 +9,7 @@ from marlstone.llm.near_vectors import op4_near_vectors
 from marlstone.llm.packing import op8_packing
 from marlstone.llm.pieces import op7_pieces
 from marlstone.llm.quality import op1_quality
+from marlstone.llm.suffix_dedup import op10_suffix_dedup
 from marlstone.llm.token_output import op3_token_output
 
 QUERIES = {
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_pieces": op7_pieces,
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
