@@ -6,6 +6,7 @@ from marlstone.llm.ann import op5_nearest
 from marlstone.llm.html_text import op6_html_text
 from marlstone.llm.language_id import op9_language_id
 from marlstone.llm.near_vectors import op4_near_vectors
+from marlstone.llm.ngram_join import op2_ngram_join
 from marlstone.llm.packing import op8_packing
 from marlstone.llm.pieces import op7_pieces
 from marlstone.llm.quality import op1_quality
@@ -14,6 +15,7 @@ from marlstone.llm.token_output import op3_token_output
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_ngram_join": op2_ngram_join,
     "op3_token_output": op3_token_output,
     "op4_near_vectors": op4_near_vectors,
     "op5_nearest": op5_nearest,
