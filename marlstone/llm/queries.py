@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
+from corpus_pipeline import run as pipeline
 from marlstone.llm.ann import op5_nearest
 from marlstone.llm.html_text import op6_html_text
 from marlstone.llm.language_id import op9_language_id
@@ -24,5 +26,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "pipeline": pipeline,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {} if PIPELINE_SQL is None else {"pipeline": PIPELINE_SQL}
