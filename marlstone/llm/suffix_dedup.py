@@ -166,9 +166,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, at = np.array([keys[i] for i in order], np.int64)[piece], at + np.array([offsets[i] for i in order], np.int64)[piece]
         both = s ^ (h * np.uint64(_Hashes.SECOND))
         by = np.argsort(both, kind="stable")
-        later = np.zeros(by.size, bool)
-        later[by[1:]] = both[by[1:]] == both[by[:-1]]
-        keep = ~later
+        new = np.concatenate([[True], both[by[1:]] != both[by[:-1]]])[: by.size]
+        first = by[np.maximum.accumulate(np.where(new, np.arange(by.size), 0))]
+        keep, later = np.zeros(by.size, bool), np.zeros(by.size, bool)
+        keep[by[new]] = True
+        later[by] = (doc[by] != doc[first]) | (at[by] != at[first])  # else it is the first one's row again
         yield _batch(h[keep], s[keep], doc[keep], at[keep], n[keep])
         if later.any():
             d, a, b = merged(doc[later], at[later], at[later] + n[later] + LENGTH - 1)
@@ -192,7 +194,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by anchor, content, document and place: repeats as spans, rivals of an anchor as segments."""
-    last_h = last_s = None
+    last_h = last_s = last_doc = last_at = None
     wait: tuple | None = None  # the last first-of-its-content row, and whether it has gone out
 
     def columns(b: pa.RecordBatch) -> list[np.ndarray]:
@@ -210,8 +212,10 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(h.size, bool)
         new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
         new[0] = last_h is None or h[0] != last_h or s[0] != last_s
-        last_h, last_s = int(h[-1]), int(s[-1])
-        k = ~new
+        head = np.maximum.accumulate(np.where(new, np.arange(h.size), -1))
+        first_doc, first_at = np.where(head < 0, last_doc or 0, doc[head]), np.where(head < 0, last_at or 0, at[head])
+        last_h, last_s, last_doc, last_at = int(h[-1]), int(s[-1]), int(first_doc[-1]), int(first_at[-1])
+        k = ~new & ((doc != first_doc) | (at != first_at))  # else it is the first one's row again
         if k.any():
             d, a, e = merged(doc[k], at[k], at[k] + n[k] + LENGTH - 1)
             yield _batch(_mixed(d.view(np.uint64) * np.uint64(3) + a.view(np.uint64)), None, d, a, e - a)
@@ -253,8 +257,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = np.repeat(np.arange(n.size), n)
         windows = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[begin[of] + inside]
         place = a[of] + inside
+        by = np.lexsort((place, d[of]))
+        new = np.concatenate([[True], (d[of][by[1:]] != d[of][by[:-1]]) | (place[by[1:]] != place[by[:-1]])])
         order = np.empty(place.size, np.int64)
-        order[np.lexsort((place, d[of]))] = np.arange(place.size)
+        order[by] = np.cumsum(new)  # a place met twice is one place
         gone = np.flatnonzero(earlier_copy(windows, order))
         x, y, z = merged(d[of[gone]], place[gone], place[gone] + LENGTH)
         return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(z - y)], ["doc", "at", "n"])
