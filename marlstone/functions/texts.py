@@ -37,9 +37,14 @@ def is_generated(package: Column, name: Column) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def stripped(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.regexp_replace(text, "^\\s+|\\s+$", "")
+
+
 def fenced_blocks(text: Column) -> Column:
     """The bodies of the fenced code blocks of a text, in order, each once."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("(?s)```[A-Za-z0-9_+-]*[ \\t]*\\n(.*?)```"), F.lit(1)), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("(?s)```[A-Za-z0-9_+-]*[ \\t]*\\n(.*?)```"), F.lit(1)), stripped))
 
 
 def brace_slice(text: Column) -> Column:
@@ -78,7 +83,7 @@ def front_matter(text: Column) -> Column:
 def headed_sections(text: Column) -> Column:
     """Markdown sections as structs of ``heading`` and ``body``."""
     parts = F.filter(F.split(F.concat(F.lit("\n"), text), "\\n(?=#{1,6} )"), lambda p: F.ltrim(p).startswith("#"))
-    return F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, "^#+ ([^\\n]*)", 1)).alias("heading"), F.trim(F.regexp_replace(p, "^#+ [^\\n]*\\n?", "")).alias("body")))
+    return F.transform(parts, lambda p: F.struct(stripped(F.regexp_extract(p, "^#+ ([^\\n]*)", 1)).alias("heading"), stripped(F.regexp_replace(p, "^#+ [^\\n]*\\n?", "")).alias("body")))
 
 
 def camel_case(name: Column) -> Column:
