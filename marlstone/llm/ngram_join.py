@@ -125,7 +125,10 @@ def _facts(size: int):
 
 
 def _index(size: int, buckets: int, frequent):
-    """Blocks (bucket, n-gram hashes, document numbers, documents) of the index; frequent n-grams go straight to their documents."""
+    """Blocks (bucket, chunk, n-gram hashes, document numbers, documents with set sizes) of the index.
+
+    A chunk is a batch of documents, told by its first one. Its frequent n-grams go back to it as they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, hot_count = frequent.value
@@ -143,14 +146,14 @@ def _index(size: int, buckets: int, frequent):
                 continue
             h = np.concatenate([sets[i] for i in mine])
             d = np.repeat(np.arange(len(mine)), [sets[i].size for i in mine])
-            docs = np.array([keys[i] for i in mine], np.int64)
+            docs = np.array([(keys[i], sets[i].size) for i in mine], np.int64)
+            chunk = int(docs[0, 0])
             rows: list[tuple] = []
             if hot.size:
                 at = np.minimum(np.searchsorted(hot, h), hot.size - 1)
                 is_hot = hot[at] == h
-                for i in np.unique(d[is_hot]).tolist():
-                    k = is_hot & (d == i) if h.size < 4096 else np.flatnonzero(is_hot)[d[is_hot] == i]
-                    rows.append((-1 - int(docs[i]) % buckets, _ordered(h[k], hot_count[at[k]], buckets).tobytes(), None, docs[i : i + 1].tobytes()))
+                who, number = np.unique(d[is_hot], return_inverse=True)
+                rows.append((-1 - chunk % buckets, chunk, _ordered(h[is_hot], hot_count[at[is_hot]], buckets).tobytes(), number.astype(np.uint16).tobytes(), docs[who].tobytes()))
                 h, d = h[~is_hot], d[~is_hot]
             bucket = (h % np.uint64(buckets)).astype(np.int64)
             low = (h >> np.uint64(32)).astype(np.uint32)
@@ -161,10 +164,10 @@ def _index(size: int, buckets: int, frequent):
                 a, z = edge[j], edge[j + 1]
                 if a < z:
                     who, number = np.unique(d[a:z], return_inverse=True)
-                    rows.append((j, low[a:z].tobytes(), number.astype(np.uint16).tobytes(), docs[who].tobytes()))
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                    rows.append((j, chunk, low[a:z].tobytes(), number.astype(np.uint16).tobytes(), docs[who].tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             for i in range(0, len(rows), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 2000]), kinds)], ["bucket", "h", "number", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 2000]), kinds)], ["bucket", "chunk", "h", "number", "docs"])
 
     return run
 
@@ -180,56 +183,63 @@ def _ordered(h: np.ndarray, count: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, grams) of the n-grams of each bucket that more than one document has; input is sorted by bucket."""
+    """For each block (chunk, docs, number, grams) of the n-grams that more than one document has; input is sorted by bucket."""
+    names = ["chunk", "docs", "number", "grams"]
 
-    def emit(bucket: int, held: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        low = np.concatenate([np.frombuffer(h, "<u4") for h, _, _ in held])
-        doc = np.concatenate([np.frombuffer(d, "<i8")[np.frombuffer(n, "<u2")] for _, n, d in held])
+    def emit(bucket: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        parts = [np.frombuffer(h, "<u4") for _, h, _, _ in held]
+        low = np.concatenate(parts)
         order = np.argsort(low, kind="stable")
-        low, doc = low[order], doc[order]
-        head = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        count = np.diff(np.append(head, low.size))
-        again = np.repeat(count > 1, count)
-        gram = ((_order_of(np.repeat(count, count)[again]) << 57) | ((bucket & 0x1FFFFFF) << 32)) | low[again].astype(np.int64)
-        doc = doc[again]
-        by = np.argsort(doc, kind="stable")
-        gram, doc = gram[by], doc[by]
-        head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if doc.size else np.zeros(0, np.int64)
-        raw, ends = gram.tobytes(), np.append(head[1:], doc.size).tolist() if head.size else []
-        for i in range(0, head.size, 20_000):
-            part = slice(i, i + 20_000)
-            cells = [raw[8 * a : 8 * z] for a, z in zip(head[part].tolist(), ends[part])]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[head[part]]), pa.array(cells, pa.binary())], ["doc", "grams"])
+        head = np.flatnonzero(np.concatenate([[True], low[order[1:]] != low[order[:-1]]]))
+        count = np.empty(low.size, np.int64)
+        count[order] = np.repeat(np.diff(np.append(head, low.size)), np.diff(np.append(head, low.size)))
+        gram = ((_order_of(count) << 57) | ((bucket & 0x1FFFFFF) << 32)) | low.astype(np.int64)
+        out, at = [], 0
+        for (chunk, _, number, docs), part in zip(held, parts):
+            again = count[at : at + part.size] > 1
+            if again.any():
+                out.append((chunk, docs, np.frombuffer(number, "<u2")[again].tobytes(), gram[at : at + part.size][again].tobytes()))
+            at += part.size
+        for i in range(0, len(out), 500):
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 500]), kinds)], names)
 
     held, last = [], None
     for b in batches:
-        for bucket, *rest in zip(*(b.column(i).to_pylist() for i in range(4))):
-            if bucket < 0:  # frequent n-grams of one document
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(rest[2], "<i8")), pa.array([rest[0]], pa.binary())], ["doc", "grams"])
+        for bucket, chunk, h, number, docs in zip(*(b.column(i).to_pylist() for i in range(5))):
+            if bucket < 0:  # frequent n-grams of a chunk
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([docs], pa.binary()), pa.array([number], pa.binary()), pa.array([h], pa.binary())], names)
                 continue
             if held and bucket != last:
                 yield from emit(last, held)
                 held = []
             last = bucket
-            held.append(tuple(rest))
+            held.append((chunk, h, number, docs))
     if held:
         yield from emit(last, held)
 
 
 def _heads(threshold: int):
-    """(doc, n, grams, head) of the documents that enough shared n-grams are left of."""
+    """(doc, n, grams, head) of the documents that enough shared n-grams are left of, from all blocks of a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc, n, parts in zip(*(b.column(i).to_pylist() for i in range(3))):
-                grams = np.sort(np.frombuffer(b"".join(parts), "<i8"))
-                least = -(-threshold * n // 100)  # n-grams in common that any link needs
-                if grams.size >= least:
-                    out.append((doc, n, grams.tobytes(), grams[: grams.size - least + 1].tolist()))
-            if out:
-                cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc", "n", "grams", "head"])
+            for docs, numbers, grams in zip(*(b.column(i).to_pylist() for i in range(3))):
+                table = [np.frombuffer(d, "<i8").reshape(-1, 2) for d in docs]
+                rows = np.concatenate([t[np.frombuffer(n, "<u2")] for t, n in zip(table, numbers)])
+                gram = np.concatenate([np.frombuffer(g, "<i8") for g in grams])
+                by = np.lexsort((gram, rows[:, 0]))
+                rows, gram = rows[by], gram[by]
+                head = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))[: rows.shape[0]]
+                out = []
+                for a, z in zip(head.tolist(), [*head[1:].tolist(), gram.size]):
+                    doc, n = rows[a].tolist()
+                    least = -(-threshold * n // 100)  # n-grams in common that any link needs
+                    if z - a >= least:
+                        out.append((doc, n, gram[a:z].tobytes(), gram[a : z - least + 1].tolist()))
+                if out:
+                    cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc", "n", "grams", "head"])
 
     return run
 
@@ -373,11 +383,12 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     frequent = spark.sparkContext.broadcast((hot[order], np.array([r["n"] for r in got], np.int64)[order]))
 
     standing = each.filter("n > 0 AND doc IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"))
-    index = rows.filter("doc IS NOT NULL AND text IS NOT NULL").mapInArrow(_index(size, buckets, frequent), "bucket long, h binary, number binary, docs binary")
-    shared = index.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "doc long, grams binary")
-    shared = shared.groupBy("doc").agg(F.collect_list("grams").alias("parts"))  # one for each bucket at most
-    ready = shared.join(standing.select(F.col("rep").alias("doc"), "n"), "doc").select("doc", "n", "parts")
-    ready = saved(ready.mapInArrow(_heads(threshold), "doc long, n long, grams binary, head array<long>"), "ordered-sets")
+    index = rows.filter("doc IS NOT NULL AND text IS NOT NULL").mapInArrow(_index(size, buckets, frequent), "bucket long, chunk long, h binary, number binary, docs binary")
+    shared = index.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "chunk long, docs binary, number binary, grams binary")
+    # A chunk's blocks: one for each bucket at most, together no larger than the sets of its documents.
+    chunks = shared.groupBy("chunk").agg(*[F.collect_list(c).alias(c) for c in ("docs", "number", "grams")]).drop("chunk")
+    ready = chunks.mapInArrow(_heads(threshold), "doc long, n long, grams binary, head array<long>")
+    ready = saved(ready.join(standing.select(F.col("rep").alias("doc"), "n"), ["doc", "n"]).select("doc", "n", "grams", "head"), "ordered-sets")
 
     heads = ready.select("doc", F.explode("head").alias("gram"))
     least = heads.groupBy("gram").agg(F.min("doc").alias("b"), F.count("*").alias("c")).filter("c > 1").select("gram", "b")
