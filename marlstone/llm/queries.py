@@ -28,4 +28,27 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "pipeline": pipeline,
 }
-ORACLE_SQL: dict[str, str] = {} if PIPELINE_SQL is None else {"pipeline": PIPELINE_SQL}
+REACH = "r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a, MIN(b) AS m FROM r GROUP BY a)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') AS g FROM (SELECT doc_id, w, UNNEST(range(1, GREATEST(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, COUNT(*) AS k FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+{REACH}
+SELECT doc_id, COALESCE(n, 0) AS n_shingles, LEAST(doc_id, COALESCE(m, doc_id)) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = doc_id""",
+    "op4_near_vectors": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9),
+{REACH},
+k AS (SELECT a, COUNT(*) AS n FROM l GROUP BY a)
+SELECT vec_id, COALESCE(n, 0) AS n_links, LEAST(vec_id, COALESCE(m, vec_id)) AS component_id, vec_id <= COALESCE(m, vec_id) AS kept
+FROM embeddings LEFT JOIN k ON k.a = vec_id LEFT JOIN c ON c.a = vec_id""",
+}
+if PIPELINE_SQL is not None:
+    ORACLE_SQL["pipeline"] = PIPELINE_SQL
