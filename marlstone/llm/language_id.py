@@ -73,9 +73,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", fit_rows: int =
             k = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([g] * k.size), pa.array(k), pa.array(n[k])], ["lang", "bucket", "n"])
 
-    got = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang").agg(
-        F.collect_list(F.struct("bucket", "n")).alias("cells")
-    )  # one row for each language, with a cell for each bucket and task at most
+    sums = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    got = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))  # a row for each language, BUCKETS cells at most
     table = {r["lang"]: r["cells"] for r in got.collect()}
     langs = sorted(table)
     counts = np.ones((BUCKETS, len(langs)))
