@@ -110,7 +110,7 @@ def brute_spans(docs):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1 << 21, 700])
+@pytest.mark.parametrize("chunk", [1 << 20, 700])
 def test_suffix_dedup(spark, monkeypatch, chunk):
     monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
     monkeypatch.setattr(suffix_dedup, "SORTED_BYTES", 3000)

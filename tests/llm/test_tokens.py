@@ -124,7 +124,8 @@ def test_packing_edges(spark, library):
     check_pieces(packing.pack_documents(frame).collect(), docs, library)
     assert packing.pack_documents(frame.limit(0)).collect() == []
     twice = frame.filter("doc_id = 5").union(frame.filter("doc_id = 5")).coalesce(1)
-    assert len({(r["sequence_id"], r["offset"]) for r in packing.pack_documents(twice).collect()}) == 2
+    rows = packing.pack_documents(twice).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows) and sum(r["length"] for r in rows) == 2 * rows[0]["doc_tokens"]
     null_key = spark.createDataFrame([(None, "x", None, None)], SCHEMA)
     assert packing.pack_documents(null_key, with_ids=True).first()["doc_id"] is None
 
