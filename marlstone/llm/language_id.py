@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.codepoints import codes, groups
 from marlstone.llm.shared import slices, with_fields
+from marlstone.llm.worker import only
 
 BUCKETS = 1 << 15
 FIT_ROWS = 20_000
@@ -116,6 +117,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("language_id")
         langs, matrix = shared.value
         for whole in batches:
             for b in slices(whole, 512):

@@ -27,8 +27,9 @@ from pyspark.sql import Window
 
 from marlstone.llm.components import components
 from marlstone.llm.shared import saved
+from marlstone.llm.worker import only
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 BUCKET_ENTRIES = 3_000_000
 BLOCK_DOCS = 1_024
 # An n-gram is frequent if it is met so often in chunks where it is met so often.
@@ -87,6 +88,7 @@ def ngram_sets(texts: list[str], size: int) -> list[np.ndarray]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
+    only("n-grams")
     keys, texts, size = [], [], 0
     for b in batches:
         for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -348,6 +350,7 @@ def _join(threshold: int):
                     a, b = zip(*e)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+        only("n-grams")
         held, last = [], None
         for b in batches:
             for cluster, pair, *rest in zip(*(b.column(i).to_pylist() for i in range(5))):

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.shared import slices
+from marlstone.llm.worker import kept
 
 MARK = "▁"
 _OWN_MARK = "\ud800"  # a marker of the text itself; it is in no piece and no valid text
@@ -225,14 +226,9 @@ class PieceModel:
         return text[1:] if text[:1] == " " else text
 
 
-_MODELS: dict[str, PieceModel] = {}
-
-
 def piece_model(path: str) -> PieceModel:
     """The model of this worker process for ``path``."""
-    if path not in _MODELS:
-        _MODELS[path] = PieceModel(path)
-    return _MODELS[path]
+    return kept("pieces", path, lambda: PieceModel(path))
 
 
 def encode_pieces(docs: DataFrame, text: str = "text", path: str | None = None, digest: bool = False) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.codepoints import codes, groups
 from marlstone.llm.language_id import fold
 from marlstone.llm.shared import slices, with_fields
+from marlstone.llm.worker import only
 
 PASSAGE = 512
 FIT_ROWS = 6_000
@@ -185,6 +186,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("quality")
         for whole in batches:
             for b in slices(whole, 512):
                 got = shared.value.scores(b.column(at).to_pylist())

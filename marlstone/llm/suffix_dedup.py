@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.shared import saved
+from marlstone.llm.worker import kept, only
 
 LENGTH = 100
 GRAM = 24
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 SORTED_BYTES = 1 << 20
 
 
@@ -47,17 +48,14 @@ def _powers(m: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 class _Hashes:
     """Hashes of substrings from prefix sums; the powers are made once in a worker."""
 
-    made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     # Odd multipliers.
     FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
     def __init__(self, b: np.ndarray, m: int):
-        kept = self.made.get(m)
-        if kept is None or kept[0].size <= b.size:
-            kept = self.made[m] = _powers(m, max(CHUNK + CHUNK // 4, b.size + 1))
-        self.inverse = kept[1]
+        n = max(2 * (CHUNK + LENGTH), b.size + 1)
+        power, self.inverse = kept("suffixes", (m, n), lambda: _powers(m, n))
         self.sums = np.zeros(b.size + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * kept[0][: b.size], out=self.sums[1:])
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: b.size], out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[stop] - self.sums[start]) * self.inverse[start])
@@ -158,6 +156,7 @@ def _batch(h, s, doc, at, n) -> pa.RecordBatch:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments of texts (doc, text), and spans already known to be repeats."""
+    only("suffixes")
     keys, offsets, pieces, size = [], [], [], 0
 
     def emit() -> Iterator[pa.RecordBatch]:
@@ -247,6 +246,7 @@ def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removed spans (doc, at, n) of segments sorted by anchor; whole anchors are compared together."""
+    only("suffixes")
     doc, at, raw, size, last = [], [], [], 0, None
 
     def emit() -> pa.RecordBatch:
