@@ -23,6 +23,7 @@ from pyspark.sql import Window
 
 from marlstone.llm.shared import saved
 from marlstone.llm.vectors import blocks, matrix, unblock, usual_size, valid
+from marlstone.llm.worker import only
 
 SUBSTRINGS = 8
 FIT_ROWS = 8_000
@@ -110,6 +111,7 @@ def _audit(rows: DataFrame, codes: Codes, size: int, k: int, queries: np.ndarray
     shared = rows.sparkSession.sparkContext.broadcast((codes, queries, query_ids))  # AUDIT_QUERIES vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("vectors")
         codes, queries, query_ids = shared.value
         code = codes.of(queries, query=True)
         for b in batches:
@@ -157,6 +159,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     pairs = index.join(asked.repartition(shards * sets, "part", F.xxhash64("q_ids")), "part").repartition(min(shards * sets, 4096), "part", F.xxhash64("q_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("vectors")
         codes = shared.value
         for b in batches:
             for row in b.to_pylist():

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.components import components
 from marlstone.llm.shared import saved
 from marlstone.llm.vectors import blocks, unblock, usual_size, valid
+from marlstone.llm.worker import only
 
 SHARDS = 8
 QUERY_ROWS = 8_192
@@ -296,6 +297,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", v
     pairs = graphs.join(asked.repartition(shards * sets, "part", F.xxhash64("q_ids")), "part").repartition(min(shards * sets, 4096), "part", F.xxhash64("q_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("vectors")
         for batch in batches:
             for row in batch.to_pylist():
                 ids, weight, x = unblock(row, size)
