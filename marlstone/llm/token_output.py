@@ -30,6 +30,7 @@ BLOCK_IDS = 65_536
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0, 1], np.int64)
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0, 64], np.int64)
 ESCAPE = 15
+_BITS = np.array([i.bit_length() for i in range(1 << 17)], np.int64)
 
 BLOCK_SCHEMA = "shard int, block int, first long, keys array<long>, sizes array<long>, words binary, lanes binary"
 _BLOCK_ARROW = pa.schema(
@@ -48,19 +49,15 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lane_end = np.minimum((at // LANE + 1) * LANE, n)
     choice = np.full(n, ESCAPE, np.int64)
     open_ = np.ones(n, bool)
-    top = int(ids.max())
+    bits = _BITS[ids.astype(np.int64)] if int(ids.max()) < _BITS.size else np.ceil(np.log2(ids.astype(np.longdouble) + 1)).astype(np.int64)
     for s in range(14):
         c, w = int(COUNTS[s]), int(WIDTHS[s])
-        if top < 1 << w:
-            choice[open_] = s
-            open_[:] = False
-            break
-        over = np.concatenate([[0], np.cumsum(ids >> np.uint64(w) != 0, dtype=np.int32)])
-        if c > 8 and over[-1] > n - n // 16:  # hardly any id is that small
-            run = open_ & (ids >> np.uint64(w) == 0)
-            i = np.flatnonzero(run)
-        else:
-            i = np.flatnonzero(open_)
+        small = bits <= w
+        i = np.flatnonzero(small & open_)
+        if not i.size:
+            continue
+        over = np.zeros(n + 1, np.int32)
+        np.cumsum(~small, out=over[1:])
         i = i[over[np.minimum(i + c, lane_end[i])] == over[i]]
         choice[i] = s
         open_[i] = False

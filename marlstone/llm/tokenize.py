@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import islice, repeat
+from itertools import islice
 
 import numpy as np
 
+from marlstone.llm.worker import kept
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # The pre-tokenizer pattern of byte-level BPE files of this kind.
@@ -24,7 +26,6 @@ PRE_TOKEN = (
 # Characters for which the pattern above and the library are known to agree whatever their Unicode
 # versions; a text with others is encoded by the library as a whole.
 _UNCOMMON = re.compile(r"[^\t\n\r -~ -ɏΑ-ωА-я‐-‧€]")
-_ODD_SPACE = re.compile(r" (?:\s|$)")
 _SPLIT = re.compile(r" (?=\S)")
 
 
@@ -37,7 +38,7 @@ def default_path() -> str:
 class Encoder:
     """Encodes texts to little-endian uint32 id bytes; ``cache`` bounds the chunks and pre-tokens kept."""
 
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int = 800_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -74,13 +75,13 @@ class Encoder:
                 learnt[w] = np.array(e.ids, "<u4").tobytes()
         return learnt
 
-    def _learn_chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        split = [self.find(c) for c in chunks]
-        new = list({w for s in split for w in s}.difference(self.words))
+    def _learn_chunks(self, chunks: list[str]) -> list[bytes]:
+        split = [[c] if c[:1] == " " and c[1:].isalpha() else self.find(c) for c in chunks]
+        new = list(set().union(*split).difference(self.words))
         if new:
             self.words.update(self._learn_words(new))
         get = self.words.__getitem__
-        learnt = {c: b"".join(map(get, s)) for c, s in zip(chunks, split)}
+        learnt = [get(s[0]) if len(s) == 1 else b"".join(map(get, s)) for s in split]
         self.words = self._bounded(self.words)
         return learnt
 
@@ -94,30 +95,33 @@ class Encoder:
         for t in texts:
             if not t:
                 split.append([])
-            elif _UNCOMMON.search(t) or any(s in t for s in self.special):
+            elif not t.isascii() and _UNCOMMON.search(t) or any(s in t for s in self.special):
                 split.append(None)
             else:
-                parts = _SPLIT.split(t) if _ODD_SPACE.search(t) else t.split(" ")
-                parts = list(map("".join, zip(repeat(" "), parts)))
-                parts[0] = parts[0][1:]
-                split.append(parts)
-        new = list({c for s in split if s for c in s}.difference(self.chunks))
-        for i in range(0, len(new), 50_000):
-            self.chunks.update(self._learn_chunks(new[i : i + 50_000]))
+                split.append(t.split(" "))
+        # A chunk is kept under its text without the space in front; the head of a text has none.
+        heads = [s.pop(0) if s else "" for s in split]
+        new = set().union(*(s for s in split if s)).difference(self.chunks)
+        odd = {c for c in new if not c or c[0].isspace()}  # a space before white space starts no chunk
+        if odd:
+            for i, s in enumerate(split):
+                if s and not odd.isdisjoint(s):
+                    split[i] = _SPLIT.split(texts[i])
+                    heads[i] = split[i].pop(0)
+            new = set().union(*(s for s in split if s)).difference(self.chunks)
+        fresh = list(new)
+        for i in range(0, len(fresh), 50_000):
+            part = fresh[i : i + 50_000]
+            self.chunks.update(zip(part, self._learn_chunks([" " + c for c in part])))
         get = self.chunks.__getitem__
         out = [
-            np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if s is None else b"".join(map(get, s))
-            for t, s in zip(texts, split)
+            np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if s is None else h + b"".join(map(get, s))
+            for t, s, h in zip(texts, split, self._learn_chunks(heads))
         ]
         self.chunks = self._bounded(self.chunks)
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The encoder of this worker process for ``path``."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept("encoder", path, lambda: Encoder(path))
