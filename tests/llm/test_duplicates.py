@@ -176,6 +176,18 @@ def test_near_vectors(spark, shards):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in rows)
 
 
+def test_pairs_beside_a_large_family(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=96)
+    a = rng.normal(size=(300, 96))
+    x = np.concatenate([a + 0.35 * rng.normal(size=a.shape), base + 0.2 * rng.normal(size=(1000, 96)), a])
+    x = x[rng.permutation(len(x))].astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = dict(enumerate(((u @ u.T >= 0.9).sum(1) - 1).tolist()))
+    assert sorted(set(want.values())) == [1, 999]
+    assert {r["vec_id"]: r["n_links"] for r in near_vectors.near_vectors(table(spark, x), shards=1).collect() if r["vec_id"] < 9000} == want
+
+
 def test_near_vectors_edges(spark):
     empty = table(spark, vectors(60)).limit(0)
     assert near_vectors.near_vectors(empty).collect() == []
