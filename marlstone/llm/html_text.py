@@ -5,8 +5,10 @@ its text-to-tag ratio: characters outside links by tags met since the line befor
 smoothed with a Gaussian; lines above the threshold (``THRESHOLD`` standard deviations) cluster into
 content regions. A region stands for the element that holds it: an article or main element, else the
 nearest block container. All lines of that element are content, so that short paragraphs stay.
-Elements that are never content (navigation, forms, notices, comments ...) are told by tag, role and
-class words and send no lines at all.
+Elements that are never content (navigation, menus, scripts ...) are told by tag and role and send no lines
+at all. Forms and elements with the class words of notices, comments and the like send lines that are
+dropped at the end of the page, unless such an element proves to be a wrapper: it holds most of the text in
+articles, or most of all text, or nothing else is left. The regions then decide on its lines.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ from marlstone.llm.shared import slices
 THRESHOLD = 0.5
 # HTML vocabulary.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = frozenset("head script style noscript template nav footer aside form button select textarea iframe object svg canvas audio video dialog menu title option datalist map math".split())
-BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
+SKIP = frozenset("head script style noscript template nav footer aside button select textarea iframe object svg canvas audio video dialog menu title option datalist map math".split())
+BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure form h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CONTAINER = frozenset("article main section div td body blockquote".split())
 CLOSES_P = BLOCK - {"body", "html"}
-SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
+SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 SKIP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices"
     " sidebar menu nav navbar navigation topnav subnav breadcrumb breadcrumbs footer comment comments disqus respond replies share sharing"
@@ -36,31 +38,45 @@ SKIP_WORDS = frozenset(
     " copyright".split()
 )
 HEAD_WORDS = frozenset("header masthead topbar".split())
+COMMENT_WORDS = frozenset("comment comments disqus respond replies".split())
+STATE_FIRST = frozenset("with without has have no not is show hide enable supports".split())  # "with-sidebar" names another element
+STATE_LAST = frozenset("open closed enabled disabled on off result results".split())
+IN_HEAD = frozenset("title style script noscript template base link meta".split())
 _WORD = re.compile(r"[a-z]+|\d+")
 _SPACE = re.compile(r"\s+")
 
 
+def _named(value: str) -> set[str]:
+    """The first and last word of each class, but not of those that tell a state."""
+    words: set[str] = set()
+    for name in value.lower().split():
+        parts = [w for w in _WORD.findall(name) if not w.isdigit()]
+        if parts and (len(parts) == 1 or parts[0] not in STATE_FIRST and parts[-1] not in STATE_LAST):
+            words.update((parts[0], parts[-1]))
+    return words
+
+
 class _Lines(HTMLParser):
-    """Collects (text, tags, link characters, container number, content element number) of each line."""
+    """Collects (text, tags, link characters, container number, content element number, doubtful element number) of each line."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, int]] = []  # tag, skipped, container, article or main
-        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.open: list[tuple[str, bool, int, int, int]] = []  # tag, skipped, container, article or main, doubtful element
+        self.lines: list[tuple[str, int, int, int, int, int]] = []
+        self.doubtful: list[tuple[int, str, int]] = [(-1, "", -1)]  # the one around it, kind, the article or main around it
         self.parent: dict[int, int] = {0: -1}
         self.named: dict[int, str] = {0: "body"}
         self.text: list[str] = []
         self.tags = self.links = self.in_link = self.made = 0
 
-    def _state(self) -> tuple[str, bool, int, int]:
-        return self.open[-1] if self.open else ("", False, 0, -1)
+    def _state(self) -> tuple[str, bool, int, int, int]:
+        return self.open[-1] if self.open else ("", False, 0, -1, 0)
 
     def flush(self) -> None:
         if self.text:
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             if text:
-                _, _, container, content = self._state()
-                self.lines.append((text, self.tags, self.links, container, content))
+                self.lines.append((text, self.tags, self.links, *self._state()[2:]))
                 self.tags = 0
             self.text = []
             self.links = 0
@@ -70,25 +86,72 @@ class _Lines(HTMLParser):
             self.in_link -= tag == "a"
         del self.open[to:]
 
-    def _skipped(self, tag: str, attrs: list[tuple[str, str | None]], content: int) -> bool:
+    def _skipped(self, tag: str, attrs: list[tuple[str, str | None]], content: int) -> tuple[bool, str]:
+        """Whether an element is never content, else the kind of doubt about it, if any."""
         if tag in SKIP or tag == "header" and content < 0:
-            return True
+            return True, ""
         if tag in ("html", "body"):
-            return False
+            return False, ""
         words: set[str] = set()
         for k, v in attrs:
             if k in ("class", "id"):
-                words.update(_WORD.findall((v or "").lower()))
+                words |= _named(v or "")
             elif k == "role" and (v or "").lower() in SKIP_ROLES or k == "hidden":
-                return True
+                return True, ""
             elif k == "aria-hidden" and v == "true" or k == "style" and "display:none" in (v or "").replace(" ", "").lower():
-                return True
+                return True, ""
+        if words & COMMENT_WORDS if tag not in ("article", "main") else words & {"comment", "comments"}:
+            return False, "comment"
         if tag in ("article", "main"):
-            return bool(words & {"comment", "comments"})
-        return bool(words & SKIP_WORDS) or content < 0 and bool(words & HEAD_WORDS)
+            return False, ""
+        if words & SKIP_WORDS or content < 0 and words & HEAD_WORDS:
+            return False, "word"
+        return False, "form" if tag == "form" or ("role", "form") in attrs else ""
+
+    def _close_head(self, body: bool) -> None:
+        """Ends a head whose end tag was left out; ``body`` ends what is open in it, too."""
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == "head":
+                self._pop(i)
+                return
+            if not body and self.open[i][0] != "title":
+                return
+
+    def kept(self) -> list[tuple[str, int, int, int, int]]:
+        """The lines that stand outside doubtful elements or in such ones as are mere wrappers."""
+        if len(self.doubtful) == 1:
+            return [x[:5] for x in self.lines]
+        everything, articles, forms = 0, 0, 0
+        size, inner = [0] * len(self.doubtful), [0] * len(self.doubtful)
+        for text, _, links, _, content, at in self.lines:
+            n, kinds = max(0, len(text) - links), set()
+            while at > 0:
+                around, kind, outer = self.doubtful[at]
+                kinds.add(kind)
+                size[at] += n
+                inner[at] += n * (content != outer)
+                at = around
+            everything += n * ("comment" not in kinds)
+            articles += n * (content >= 0)
+            forms += n * ("form" in kinds and "comment" not in kinds)
+        keep = [True]
+        for i, (around, kind, _) in enumerate(self.doubtful[1:], 1):
+            most = 2 * (forms if kind == "form" else size[i]) > everything and kind != "comment"
+            keep.append(keep[around] and (most or 2 * inner[i] > articles))
+        if not any(keep[x[5]] for x in self.lines):
+            keep = [True] * len(keep)
+        out, tags = [], 0
+        for text, own, links, container, content, at in self.lines:
+            tags += own  # those of dropped lines count with the next line
+            if keep[at]:
+                out.append((text, tags, links, container, content))
+                tags = 0
+        return out
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        if tag not in IN_HEAD and tag != "head":
+            self._close_head(tag == "body")
         if tag == "br":
             self.text.append(" ")
         if tag in BLOCK:
@@ -106,17 +169,23 @@ class _Lines(HTMLParser):
             same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}.get(tag, (tag,))
             while self.open and self.open[-1][0] in same:
                 self._pop(len(self.open) - 1)
-        _, skipped, container, content = self._state()
-        if not skipped and (skipped := self._skipped(tag, attrs, content)):
-            self.flush()
+        _, skipped, container, content, doubt = self._state()
+        kind = ""
+        if not skipped:
+            skipped, kind = self._skipped(tag, attrs, content)
+            if skipped or kind:
+                self.flush()
+            if kind:
+                self.doubtful.append((doubt, kind, content))
+                doubt = len(self.doubtful) - 1
         if tag in CONTAINER and not skipped:
             self.made += 1
             self.parent[self.made], self.named[self.made] = container, tag
             container = self.made
-            if tag in ("article", "main"):
+            if tag in ("article", "main") and not kind:
                 content = self.made
         self.in_link += tag == "a"
-        self.open.append((tag, skipped, container, content))
+        self.open.append((tag, skipped, container, content, doubt))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -127,7 +196,7 @@ class _Lines(HTMLParser):
         self.tags += 1
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                if tag in BLOCK or self.open[i][1]:
+                if tag in BLOCK or self.open[i][1] or self.open[i][4] != (self.open[i - 1][4] if i else 0):
                     self.flush()
                 self._pop(i)
                 return
@@ -135,6 +204,8 @@ class _Lines(HTMLParser):
                 return  # a stray end of an inline element
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._close_head(False)
         if not self._state()[1]:
             self.text.append(data)
             if self.in_link:
@@ -157,7 +228,7 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.flush()
-    lines = page.lines
+    lines = page.kept()
     if not lines:
         return ""
     ratio = np.array([max(0, len(t) - links) / max(1, tags) for t, tags, links, _, _ in lines])

@@ -93,6 +93,27 @@ def test_main_text(name):
     assert html_text.main_text(html) == want
 
 
+LONG = "A long paragraph of the page, which is all that it has to say."
+WRAPPED = {
+    "open head": f"<head><title>x</title><body><article><p>{LONG}</p></article>",
+    "head without body": f"<head><meta charset=utf-8><title>x</title><p>{LONG}</p>",
+    "words in the head": f"<head><title>x</title>{LONG}",
+    "with-sidebar": f'<div class="content with-sidebar"><p>{LONG}</p></div><div class="sidebar-left"><p>Links</p></div>',
+    "has-banner": f'<div class="has-banner"><p>{LONG}</p></div>',
+    "search-results": f'<div class="search-results"><p>{LONG}</p></div>',
+    "comments-open": f'<article class="post comments-open"><p>{LONG}</p></article><div id="comments"><p>{LONG} {LONG} So says a reader.</p></div>',
+    "wrapper": f'<div class="sidebar-right"><article><p>{LONG}</p></article></div><div class="related"><article><p>Read on</p></article></div>',
+    "form": f'<body><form id="aspnet"><nav>x</nav><div><p>{LONG}</p></div><div class="footer"><p>Terms</p></div></form></body>',
+    "forms": f'<body><form role="form"><p>{LONG}</p></form><form><p>Name</p></form><form class="newsletter"><p>Sign up</p></form></body>',
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_wrappers_are_not_skipped(name):
+    assert LONG in (got := html_text.main_text(WRAPPED[name]))
+    assert not any(x in got for x in ("Links", "reader", "Read on", "Terms", "Sign up"))
+
+
 def test_pages(spark):
     rows = [(i, "u", h, "t", "n") for i, (h, _) in enumerate(PAGES.values())]
     frame = spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string, text string, n_chars string")
