@@ -12,6 +12,8 @@ only with those of its anchor's hash. Adjacent windows with one anchor form a se
    anchor. There the suffixes at the starts of windows are sorted (a suffix array, compared on
    ``LENGTH`` bytes), and the previous and next smaller positions in suffix order give the longest
    previous factor of each; where it reaches ``LENGTH``, the window is removed.
+3. Anchors whose different segments hold more than ``HOT_BYTES`` are not compared in one task: their
+   windows are dealt out one by one, by the hash of the window, and treated as the segments of step 1.
 
 Only rows of a fixed size and segments of at most some hundred bytes are shuffled besides the texts.
 """
@@ -33,6 +35,7 @@ LENGTH = 100
 GRAM = 24
 CHUNK = 1 << 20
 SORTED_BYTES = 1 << 20
+HOT_BYTES = 2 << 20
 
 
 def _powers(m: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,6 +157,21 @@ def _batch(h, s, doc, at, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), s, pa.array(doc), pa.array(at), pa.array(n)], _ROWS)
 
 
+def _firsts(h, s, doc, at, n) -> Iterator[pa.RecordBatch]:
+    """The first of equal segments, which come by document and place; the others as spans."""
+    both = s ^ (h * np.uint64(_Hashes.SECOND))
+    by = np.argsort(both, kind="stable")
+    new = np.concatenate([[True], both[by[1:]] != both[by[:-1]]])[: by.size]
+    first = by[np.maximum.accumulate(np.where(new, np.arange(by.size), 0))]
+    keep, later = np.zeros(by.size, bool), np.zeros(by.size, bool)
+    keep[by[new]] = True
+    later[by] = (doc[by] != doc[first]) | (at[by] != at[first])  # else it is the first one's row again
+    yield _batch(h[keep], s[keep], doc[keep], at[keep], n[keep])
+    if later.any():
+        d, a, b = merged(doc[later], at[later], at[later] + n[later] + LENGTH - 1)
+        yield _batch(_mixed(d.view(np.uint64) * np.uint64(3) + a.view(np.uint64)), None, d, a, b - a)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments of texts (doc, text), and spans already known to be repeats."""
     only("suffixes")
@@ -162,18 +180,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def emit() -> Iterator[pa.RecordBatch]:
         order = sorted(range(len(keys)), key=lambda i: (keys[i], offsets[i]))
         piece, at, n, h, s = segments([pieces[i] for i in order])
-        doc, at = np.array([keys[i] for i in order], np.int64)[piece], at + np.array([offsets[i] for i in order], np.int64)[piece]
-        both = s ^ (h * np.uint64(_Hashes.SECOND))
-        by = np.argsort(both, kind="stable")
-        new = np.concatenate([[True], both[by[1:]] != both[by[:-1]]])[: by.size]
-        first = by[np.maximum.accumulate(np.where(new, np.arange(by.size), 0))]
-        keep, later = np.zeros(by.size, bool), np.zeros(by.size, bool)
-        keep[by[new]] = True
-        later[by] = (doc[by] != doc[first]) | (at[by] != at[first])  # else it is the first one's row again
-        yield _batch(h[keep], s[keep], doc[keep], at[keep], n[keep])
-        if later.any():
-            d, a, b = merged(doc[later], at[later], at[later] + n[later] + LENGTH - 1)
-            yield _batch(_mixed(d.view(np.uint64) * np.uint64(3) + a.view(np.uint64)), None, d, a, b - a)
+        yield from _firsts(h, s, np.array([keys[i] for i in order], np.int64)[piece], at + np.array([offsets[i] for i in order], np.int64)[piece], n)
 
     for b in batches:
         for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -244,6 +251,31 @@ def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, ["h", "doc", "at", "raw"])
 
 
+def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of segments (h, doc, at, raw) as segments of one window each, and spans already known to be repeats."""
+    only("suffixes")
+    held, size = [], 0
+
+    def emit() -> Iterator[pa.RecordBatch]:
+        rows = sorted(held, key=lambda x: x[1:3])
+        n = np.array([len(x[3]) - LENGTH + 1 for x in rows], np.int64)
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        begin = np.repeat(np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1), n) + inside
+        s = _Hashes(np.frombuffer(b"".join(x[3] for x in rows), np.uint8), _Hashes.SECOND).of(begin, begin + LENGTH)
+        h, doc, at = (np.repeat(np.array([x[i] for x in rows], np.int64), n) for i in range(3))
+        yield from _firsts(h.view(np.uint64), s, doc, at + inside, np.ones(at.size, np.int64))
+
+    for b in batches:
+        for row in zip(*(b.column(j).to_pylist() for j in range(4))):
+            held.append(row)
+            size += len(row[3])
+            if size >= CHUNK:
+                yield from emit()
+                held, size = [], 0
+    if held:
+        yield from emit()
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removed spans (doc, at, n) of segments sorted by anchor; whole anchors are compared together."""
     only("suffixes")
@@ -292,8 +324,18 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = rows.repartition("h").sortWithinPartitions("h", "s", "doc", "at")
     sifted = saved(rows.mapInArrow(_sift, "h long, s long, doc long, at long, n long"), "segments")
     spans = sifted.filter("s IS NULL").select("doc", "at", "n")
-    rivals = sifted.filter("s IS NOT NULL").groupBy("doc").agg(F.collect_list(F.struct("h", "at", "n")).alias("rivals"))  # as many as a text has
+    rival = sifted.filter("s IS NOT NULL")
+    hot = rival.groupBy("h").agg(F.sum(F.col("n") + LENGTH - 1).alias("bytes")).filter(F.col("bytes") > HOT_BYTES)
+    rivals = rival.groupBy("doc").agg(F.collect_list(F.struct("h", "at", "n")).alias("rivals"))  # as many as a text has
     cut = whole.join(rivals, "doc").select("doc", "text", "rivals").mapInArrow(_texts_of, "h long, doc long, at long, raw binary")
+    many = [r["h"] for r in hot.select("h").collect()]  # one of each HOT_BYTES of segments at most
+    if many:
+        cut = saved(cut, "hot-segments")
+        of = F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in many], "h long"))
+        dealt = cut.join(of, "h", "left_semi").select("h", "doc", "at", "raw").mapInArrow(_windows_of, "h long, s long, doc long, at long, n long")
+        dealt = dealt.repartition("h", "s", F.when(F.col("s").isNull(), F.col("doc"))).sortWithinPartitions("h", "s", "doc", "at")
+        spans = spans.unionByName(dealt.mapInArrow(_sift, "h long, s long, doc long, at long, n long").filter("s IS NULL").select("doc", "at", "n"))
+        cut = cut.join(of, "h", "left_anti").select("h", "doc", "at", "raw")
     found = cut.repartition("h").sortWithinPartitions("h", "doc", "at").mapInArrow(_compare, "doc long, at long, n long")
     return spans.unionByName(found)
 

@@ -126,6 +126,34 @@ def test_suffix_dedup(spark, monkeypatch, chunk):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == brute_spans(docs)
 
 
+def test_hot_anchors_are_split(spark, monkeypatch):
+    limit = 20_000
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", limit, raising=False)
+    compare = suffix_dedup._compare
+
+    def watched(batches):
+        size = {}
+
+        def through():
+            for b in batches:
+                for h, raw in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
+                    size[h] = size.get(h, 0) + len(raw)
+                assert max(size.values(), default=0) <= limit, "one anchor in one task"
+                yield b
+
+        yield from compare(through())
+
+    monkeypatch.setattr(suffix_dedup, "_compare", watched)
+    rng = np.random.default_rng(7)
+    text = lambda n, of="abcdefgh ": "".join(rng.choice(list(of), n))
+    line = text(97)
+    docs = [(i, text(150) + "xyz"[i % 3] + line + text(1, "no") + text(rng.integers(0, 9), "pq") + text(140)) for i in range(600)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    rows = suffix_dedup.remove_repeats(frame, digest=True).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == brute_spans(docs)
+    assert sum(r["n_removed"] > 0 for r in rows) > 50
+
+
 def test_suffix_dedup_edges(spark):
     text = "".join(np.random.default_rng(6).choice(list("abcdefgh "), 300))
     frame = spark.createDataFrame([(1, text), (1, text), (None, text), (None, None)], "doc_id long, text string")
