@@ -43,6 +43,13 @@ def context_after(rows: DataFrame, keys: list[str], order: str, hit: str, after:
     return rows.withColumn("_near", F.max(F.col(hit).cast("int")).over(w)).filter("_near = 1").drop("_near")
 
 
+def context_around(rows: DataFrame, keys: list[str], order: str, hit: str, pad: int = 3) -> DataFrame:
+    """Rows that hit and the ``pad`` rows before and behind each, by key in order, with ``mark`` (``>>`` at a hit)."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-pad, pad)
+    near = rows.withColumn("_near", F.max(F.col(hit).cast("int")).over(w)).filter("_near = 1").drop("_near")
+    return near.withColumn("mark", F.when(F.col(hit), F.lit(">>")).otherwise(F.lit("  ")))
+
+
 def longest_prefix(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str, longest: int) -> DataFrame:
     """For each row the longest prefix of its text that the other table holds (null if none).
 

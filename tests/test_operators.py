@@ -222,3 +222,9 @@ def test_stores(spark, tmp_path):
     (tmp_path / "rules.json").write_text('{"rules": [{"when": {"test": ["x"]}, "message": "m"}]}')
     assert stores.load_rules(spark, str(tmp_path / "rules.json")) == [{"id": "0", "when": {"test": ["x"]}, "message": "m"}]
     assert spark.read.parquet(stores.write_version(spark.range(3), str(tmp_path / "t"), 1)).count() == 3
+
+
+def test_context_around(spark):
+    lines = spark.createDataFrame([(d, n, (d, n) in {("a", 2), ("a", 9), ("c", 5)}) for d in "abc" for n in range(1, 13)], "doc string, n int, probe boolean")
+    got = sorted((r["doc"], r["n"], r["mark"]) for r in spans.context_around(lines, ["doc"], "n", "probe").collect())
+    assert got == [("a", n, ">>" if n in (2, 9) else "  ") for n in [*range(1, 6), *range(6, 13)]] + [("c", n, ">>" if n == 5 else "  ") for n in range(2, 9)]
