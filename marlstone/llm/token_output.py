@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.shared import shared_dir, slices
-from marlstone.llm.tokenize import default_path, encoder
+from marlstone.llm.tokenize import default_path, encoder, text_slices
 
 LANE = 128
 BLOCK_IDS = 65_536
@@ -30,7 +30,7 @@ BLOCK_IDS = 65_536
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0, 1], np.int64)
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0, 64], np.int64)
 ESCAPE = 15
-_BITS = np.array([i.bit_length() for i in range(1 << 17)], np.int64)
+_BITS = np.array([i.bit_length() for i in range(1 << 17)], np.uint8)
 
 BLOCK_SCHEMA = "shard int, block int, first long, keys array<long>, sizes array<long>, words binary, lanes binary"
 _BLOCK_ARROW = pa.schema(
@@ -45,22 +45,23 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = ids.size
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    at = np.arange(n)
-    lane_end = np.minimum((at // LANE + 1) * LANE, n)
-    choice = np.full(n, ESCAPE, np.int64)
-    open_ = np.ones(n, bool)
-    bits = _BITS[ids.astype(np.int64)] if int(ids.max()) < _BITS.size else np.ceil(np.log2(ids.astype(np.longdouble) + 1)).astype(np.int64)
-    for s in range(14):
-        c, w = int(COUNTS[s]), int(WIDTHS[s])
-        small = bits <= w
-        i = np.flatnonzero(small & open_)
-        if not i.size:
-            continue
-        over = np.zeros(n + 1, np.int32)
-        np.cumsum(~small, out=over[1:])
-        i = i[over[np.minimum(i + c, lane_end[i])] == over[i]]
-        choice[i] = s
-        open_[i] = False
+    lane_end = np.minimum((np.arange(n) // LANE + 1) * LANE, n)
+    bits = _BITS[ids.astype(np.int64)] if int(ids.max()) < _BITS.size else np.ceil(np.log2(ids.astype(np.longdouble) + 1)).astype(np.uint8)
+    # A selector fits where all ids that it would take, up to the end of the lane, are small enough.
+    rows = -(-n // LANE)
+    grid = np.zeros((rows, LANE + 64), np.uint8)
+    body = np.zeros(rows * LANE, np.uint8)
+    body[:n] = bits
+    grid[:, :LANE] = body.reshape(rows, LANE)
+    choice = np.full((rows, LANE), ESCAPE, np.uint8)
+    for s in range(13, -1, -1):
+        fits, have, c = grid <= WIDTHS[s], 1, int(COUNTS[s])
+        while have < c:
+            more = min(have, c - have)
+            fits = fits[:, :-more] & fits[:, more:]
+            have += more
+        np.putmask(choice, fits[:, :LANE], np.uint8(s))
+    choice = choice.ravel()[:n]
     step = COUNTS[choice]
     # All lanes advance side by side from word to word.
     pos, ends = np.arange(0, n, LANE), np.minimum(np.arange(LANE, n + LANE, LANE), n)
@@ -125,10 +126,9 @@ def unpack(words: np.ndarray, lanes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _block(shard: int, block: int, first: int, keys: list, parts: list[bytes]) -> pa.RecordBatch:
-    ids = np.frombuffer(b"".join(parts), "<u4")
-    words, lanes = pack(ids)
-    cols = [[shard], [block], [first], [keys], [[len(p) // 4 for p in parts]], [words.astype("<u8").tobytes()], [lanes.astype("<u4").tobytes()]]
+def _block(shard: int, block: int, first: int, keys: list, sizes: list[np.ndarray], parts: list[np.ndarray]) -> pa.RecordBatch:
+    words, lanes = pack(np.concatenate(parts))
+    cols = [[shard], [block], [first], [keys], [np.concatenate(sizes)], [words.astype("<u8").tobytes()], [lanes.astype("<u4").tobytes()]]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _BLOCK_ARROW.types)], schema=_BLOCK_ARROW)
 
 
@@ -140,23 +140,27 @@ def write_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
     one block, so a block is as large as its longest document. An empty table writes an empty folder.
     """
     tokenizer = tokenizer or default_path()
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        encode, shard = encoder(tokenizer).encode, TaskContext.get().partitionId()
         block = first = size = 0
-        keys, parts = [], []
+        held: list[list] = [[], [], []]
         for whole in batches:
-            for b in slices(whole, 256):
-                for k, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
-                    keys.append(k)
-                    parts.append(ids + end)
-                    size += len(ids) // 4 + 1
+            for b in text_slices(whole, 1):
+                keys, (ids, sizes) = b.column(0).to_pylist(), encode(b.column(1), end_id)
+                ends, at = np.cumsum(sizes), 0
+                while at < len(keys):
+                    before = int(ends[at] - sizes[at])
+                    to = min(len(keys), int(np.searchsorted(ends, before + BLOCK_IDS - size)) + 1)
+                    held[0] += keys[at:to]
+                    held[1].append(sizes[at:to])
+                    held[2].append(ids[before : ends[to - 1]])
+                    size, at = size + int(ends[to - 1]) - before, to
                     if size >= BLOCK_IDS:
-                        yield _block(shard, block, first, keys, parts)
-                        block, first, size, keys, parts = block + 1, first + size, 0, [], []
-        if keys:
-            yield _block(shard, block, first, keys, parts)
+                        yield _block(shard, block, first, *held)
+                        block, first, size, held = block + 1, first + size, 0, [[], [], []]
+        if size:
+            yield _block(shard, block, first, *held)
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
@@ -187,8 +191,8 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                 ends = np.cumsum(sizes)
                 words, lanes = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["lanes"], "<u4")
                 ids = unpack(words, lanes, int(ends[-1])).astype("<u4")
-                each = [ids[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist())]
-                last = [zlib.crc32(x.tobytes()) for x in each] if digest else [x.astype(np.int64) for x in each]
+                spans, raw = list(zip((ends - sizes).tolist(), ends.tolist())), memoryview(ids).cast("B")
+                last = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in spans] if digest else [ids[a:z].astype(np.int64) for a, z in spans]
                 cols = [r["keys"], base[r["shard"]] + r["first"] + ends - sizes, sizes, last]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
 
