@@ -23,8 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import slices
-from marlstone.llm.tokenize import default_path, encoder
+from marlstone.llm.tokenize import default_path, encoder, text_slices
 
 STREAM_IDS = 262_144
 
@@ -55,14 +54,16 @@ def stream_cuts(sizes: list[int], sentence_ends: np.ndarray, window: int = 1024,
     """The cuts of one stream of documents of ``sizes`` ids; ``sentence_ends`` are positions after sentences."""
     ends = np.cumsum(np.array(sizes, np.int64))
     total = int(ends[-1])
-    cost = {}
-    marks = np.union1d(np.concatenate([[0], sentence_ends]), ends)
-    gaps = np.flatnonzero(np.diff(marks) > stride)
-    inner = [np.arange(marks[g] + stride, marks[g + 1], stride) for g in gaps.tolist()]
-    places = np.union1d(marks, np.concatenate(inner)) if inner else marks
-    cost = np.full(places.size, truncation_cost, np.int64)
-    cost[np.searchsorted(places, sentence_ends)] = sentence_cost
-    cost[np.searchsorted(places, ends)] = 0
+    cost = np.full(total + 1, truncation_cost, np.int8)
+    cost[sentence_ends] = sentence_cost
+    cost[ends] = 0
+    mark = np.zeros(total + 1, bool)
+    mark[0] = mark[sentence_ends] = mark[ends] = True
+    marks = np.flatnonzero(mark)
+    more = (np.diff(marks) - 1) // stride  # further places in each gap
+    mark[np.repeat(marks[:-1], more) + stride * (1 + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more))] = True
+    places = np.flatnonzero(mark)
+    cost = cost[places]
     cuts = best_cuts(places.tolist(), cost.tolist(), window)
     at = cuts[-2] if len(cuts) > 1 else 0
     del cuts[-1]
@@ -95,14 +96,12 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tok
     other columns are ignored; an empty table gives no rows.
     """
     tokenizer = tokenizer or default_path()
-    end = np.array([end_id], "<u4").tobytes()
     kinds = [("doc_id", pa.int64()), *((n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length"))]
     schema = pa.schema([*kinds, *([("ids", pa.list_(pa.int64()))] if with_ids else [])])
 
-    def emit(keys: list, parts: list[bytes], sequence: int) -> tuple[pa.RecordBatch, int]:
-        raw = b"".join(parts)
-        ids = np.frombuffer(raw, "<u4")
-        sizes = np.array([len(p) // 4 for p in parts], np.int64)
+    def emit(keys: list, sizes: list[np.ndarray], parts: list[np.ndarray], sequence: int) -> tuple[pa.RecordBatch, int]:
+        ids, sizes = np.concatenate(parts).astype("<u4"), np.concatenate(sizes)
+        raw = memoryview(ids).cast("B")
         cuts = np.array(stream_cuts(sizes.tolist(), np.flatnonzero(_sentence_end_ids(tokenizer)[ids]) + 1, window), np.int64)
         ends = np.cumsum(sizes)
         stops = np.union1d(ends, cuts)
@@ -117,24 +116,31 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tok
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema), sequence + len(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, sequence = encoder(tokenizer), TaskContext.get().partitionId() << 33
-        keys, parts, size = [], [], 0
+        encode, sequence = encoder(tokenizer).encode, TaskContext.get().partitionId() << 33
+        held: list[list] = [[], [], []]
+        size = 0
         for whole in batches:
-            for b in slices(whole, 256):
-                for k, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
-                    keys.append(k)
-                    parts.append(ids + end)
-                    size += len(ids) // 4 + 1
+            for b in text_slices(whole, 1):
+                keys, (ids, sizes) = b.column(0).to_pylist(), encode(b.column(1), end_id)
+                ends, at = np.cumsum(sizes), 0
+                while at < len(keys):
+                    before = int(ends[at] - sizes[at])
+                    to = min(len(keys), int(np.searchsorted(ends, before + STREAM_IDS - size)) + 1)
+                    held[0] += keys[at:to]
+                    held[1].append(sizes[at:to])
+                    held[2].append(ids[before : ends[to - 1]])
+                    size, at = size + int(ends[to - 1]) - before, to
                     if size >= STREAM_IDS:
-                        out, sequence = emit(keys, parts, sequence)
+                        out, sequence = emit(*held, sequence)
                         yield out
-                        keys, parts, size = [], [], 0
-        if keys:
-            yield emit(keys, parts, sequence)[0]
+                        held, size = [[], [], []], 0
+        if size:
+            yield emit(*held, sequence)[0]
 
     names = ", ".join(f"{f.name} long" for f in schema if f.name != "ids") + (", ids array<long>" if with_ids else "")
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, names)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all ``documents``; nulls, repeated rows and an empty table as ``pack_documents`` says."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
