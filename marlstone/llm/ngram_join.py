@@ -1,15 +1,19 @@
 """Join of documents by the Jaccard similarity of their word n-gram sets, with prefix trees.
 
 1. Equal sets count once: their smallest document stands for them.
-2. An inverted index of the n-grams, dealt out by hash in numpy blocks, tells which n-grams other
-   documents have too. The global order is by document frequency (its logarithm), then by hash; n-grams of
-   one document only come first. Links need ``threshold`` of a set in common, so a document of which fewer
-   n-grams are shared is done with, and the others meet a partner in the rare head of their order.
-3. Documents that share a head n-gram are clustered. Each cluster is joined in a trie of its ordered sets:
-   documents with a common head share its overlaps; a subtree is left when the overlap so far and what
-   remains below it (or of the query) cannot reach the overlap that its smallest set needs. Documents that
-   are known to be in one component are not compared again. Large clusters are split into blocks by set
-   size; pairs of blocks whose sizes allow links are joined each.
+2. A filter. An inverted index of shortened n-gram hashes, dealt out in numpy blocks, tells which n-grams
+   other documents may have too and how many; a shortened hash can only make two n-grams look the same,
+   never apart. Links need ``threshold`` of a set in common, so a document of which fewer n-grams may be
+   shared is done with. The texts of the others are read once more for their full 64-bit n-gram sets, in the
+   global order: by document frequency (its logarithm), then by hash.
+3. Documents that share one of the n-grams at the head of their order are candidates. Each is compared with
+   the smallest document of each such n-gram; links found so tie most copies together.
+4. Candidates that are connected by head n-grams form clusters. Clusters that are not tied in full are joined
+   in tries of their ordered sets: documents with a common head share its overlaps; a subtree is left when
+   the overlap so far and what remains below it (or of the query) cannot reach the overlap that its smallest
+   set needs. Documents that are known to be in one component are not compared again. Clusters are dealt out
+   in blocks of like set sizes, big tied groups in blocks of their own; only pairs of blocks that can hold
+   links between different groups meet.
 
 n-grams that a large share of all documents holds are counted before and sent by no index block, so no
 block grows with them.
@@ -21,19 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from marlstone.llm.components import components
-from marlstone.llm.shared import saved
+from marlstone.llm.shared import saved, slices
 from marlstone.llm.worker import only
 
 CHUNK = 1 << 20
 BUCKET_ENTRIES = 3_000_000
-BLOCK_DOCS = 1_024
+BLOCK_DOCS = 256
+TIE_DOCS = 1_024
 # An n-gram is frequent if it is met so often in chunks where it is met so often.
 LOCAL_COUNT, FREQUENT_SHARE = 16, 512
+SHORT = 32  # bits of a hash that the index keeps beside its bucket
 # Odd multipliers of the hashes.
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -126,47 +132,46 @@ def _facts(size: int):
     return run
 
 
-def _index(size: int, buckets: int, frequent):
-    """Blocks (bucket, chunk, n-gram hashes, document numbers, documents with set sizes) of the index.
+def _index(size: int, buckets: int, bits: int, frequent):
+    """Blocks (bucket, chunk, shortened n-gram hashes, document numbers) of the index.
 
-    A chunk is a batch of documents, told by its first one. Its frequent n-grams go back to it as they are.
+    A chunk is a batch of documents. Its table of documents (key, set key, set size) and a mark (-1) for each
+    of its frequent n-grams go back to it as they are, in one row of a negative bucket.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, hot_count = frequent.value
+        chunk = TaskContext.get().partitionId() << 32
         for keys, texts in _chunks(batches):
             sets = ngram_sets(texts, size)
-            order = sorted(range(len(keys)), key=keys.__getitem__)
             seen: set[tuple[int, int]] = set()
-            mine = []
-            for i in order:  # of equal sets only the smallest document can stand for them
+            mine, table = [], []
+            for i in sorted(range(len(keys)), key=keys.__getitem__):  # of equal sets only the smallest document can stand for them
                 k = _set_key(sets[i])
                 if sets[i].size and k not in seen:
                     seen.add(k)
                     mine.append(i)
+                    table.append((keys[i], *k, sets[i].size))
             if not mine:
                 continue
+            chunk += 1
             h = np.concatenate([sets[i] for i in mine])
-            d = np.repeat(np.arange(len(mine)), [sets[i].size for i in mine])
-            docs = np.array([(keys[i], sets[i].size) for i in mine], np.int64)
-            chunk = int(docs[0, 0])
-            rows: list[tuple] = []
+            d = np.repeat(np.arange(len(mine)), [sets[i].size for i in mine]).astype(np.uint16)
+            is_hot = np.zeros(h.size, bool)
+            first = np.zeros(0, np.int64)
             if hot.size:
                 at = np.minimum(np.searchsorted(hot, h), hot.size - 1)
                 is_hot = hot[at] == h
-                who, number = np.unique(d[is_hot], return_inverse=True)
-                rows.append((-1 - chunk % buckets, chunk, _ordered(h[is_hot], hot_count[at[is_hot]], buckets).tobytes(), number.astype(np.uint16).tobytes(), docs[who].tobytes()))
-                h, d = h[~is_hot], d[~is_hot]
+                first = np.full(int(is_hot.sum()), -1, np.int64)
+            rows = [(-1 - chunk % buckets, chunk, first.tobytes(), d[is_hot].tobytes(), np.array(table, "<i8").tobytes())]
+            h, d = h[~is_hot], d[~is_hot]
             bucket = (h % np.uint64(buckets)).astype(np.int64)
-            low = (h >> np.uint64(32)).astype(np.uint32)
+            low = _short(h, bits)
             by = np.lexsort((low, bucket))
             bucket, low, d = bucket[by], low[by], d[by]
             edge = np.searchsorted(bucket, np.arange(buckets + 1))
-            for j in range(buckets):
-                a, z = edge[j], edge[j + 1]
-                if a < z:
-                    who, number = np.unique(d[a:z], return_inverse=True)
-                    rows.append((j, chunk, low[a:z].tobytes(), number.astype(np.uint16).tobytes(), docs[who].tobytes()))
+            for j in np.flatnonzero(np.diff(edge)).tolist():
+                rows.append((j, chunk, low[edge[j] : edge[j + 1]].tobytes(), d[edge[j] : edge[j + 1]].tobytes(), None))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             for i in range(0, len(rows), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 2000]), kinds)], ["bucket", "chunk", "h", "number", "docs"])
@@ -174,74 +179,128 @@ def _index(size: int, buckets: int, frequent):
     return run
 
 
-def _order_of(count: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(count, 1)) * 2, 60).astype(np.int64)
+def _short(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.uint32)
 
 
-def _ordered(h: np.ndarray, count: np.ndarray, buckets: int) -> np.ndarray:
-    """n-grams as integers whose order is the global one: frequency class, then hash."""
-    low, bucket = (h >> np.uint64(32)).astype(np.int64), (h % np.uint64(buckets)).astype(np.int64)
-    return (_order_of(count) << 57) | ((bucket & 0x1FFFFFF) << 32) | low
+def _order_of(count: np.ndarray) -> np.ndarray:
+    """Classes of document frequencies, 0 to 60."""
+    return np.minimum(np.log2(np.maximum(count, 1)) * 2, 60).astype(np.int64)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block (chunk, docs, number, grams) of the n-grams that more than one document has; input is sorted by bucket."""
-    names = ["chunk", "docs", "number", "grams"]
+    """For each block (chunk, number, grams, docs) of the n-grams that more than one document may have; input is sorted by bucket."""
+    names, kinds = ["chunk", "number", "grams", "docs"], (pa.int64(), pa.binary(), pa.binary(), pa.binary())
 
     def emit(bucket: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        parts = [np.frombuffer(h, "<u4") for _, h, _, _ in held]
+        parts = [np.frombuffer(h, "<u4") for _, h, _ in held]
         low = np.concatenate(parts)
         order = np.argsort(low, kind="stable")
-        head = np.flatnonzero(np.concatenate([[True], low[order[1:]] != low[order[:-1]]]))
+        size = np.diff(np.append(np.flatnonzero(np.concatenate([[True], low[order[1:]] != low[order[:-1]]])), low.size))
         count = np.empty(low.size, np.int64)
-        count[order] = np.repeat(np.diff(np.append(head, low.size)), np.diff(np.append(head, low.size)))
-        gram = ((_order_of(count) << 57) | ((bucket & 0x1FFFFFF) << 32)) | low.astype(np.int64)
+        count[order] = np.repeat(size, size)
+        gram = bucket << 38 | low.astype(np.int64) << 6 | _order_of(count)
         out, at = [], 0
-        for (chunk, _, number, docs), part in zip(held, parts):
+        for (chunk, _, number), part in zip(held, parts):
             again = count[at : at + part.size] > 1
             if again.any():
-                out.append((chunk, docs, np.frombuffer(number, "<u2")[again].tobytes(), gram[at : at + part.size][again].tobytes()))
+                out.append((chunk, np.frombuffer(number, "<u2")[again].tobytes(), gram[at : at + part.size][again].tobytes(), None))
             at += part.size
         for i in range(0, len(out), 500):
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 500]), kinds)], names)
 
     held, last = [], None
     for b in batches:
         for bucket, chunk, h, number, docs in zip(*(b.column(i).to_pylist() for i in range(5))):
-            if bucket < 0:  # frequent n-grams of a chunk
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([docs], pa.binary()), pa.array([number], pa.binary()), pa.array([h], pa.binary())], names)
+            if bucket < 0:
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((chunk, number, h, docs), kinds)], names)
                 continue
             if held and bucket != last:
                 yield from emit(last, held)
                 held = []
             last = bucket
-            held.append((chunk, h, number, docs))
+            held.append((chunk, h, number))
     if held:
         yield from emit(last, held)
 
 
-def _heads(threshold: int):
-    """(doc, n, grams, head) of the documents that enough shared n-grams are left of, from all blocks of a chunk."""
+def _left(threshold: int):
+    """(doc, k1, k2, n, coarse) of the documents of which enough n-grams may be shared, from all blocks of a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for docs, numbers, grams in zip(*(b.column(i).to_pylist() for i in range(3))):
-                table = [np.frombuffer(d, "<i8").reshape(-1, 2) for d in docs]
-                rows = np.concatenate([t[np.frombuffer(n, "<u2")] for t, n in zip(table, numbers)])
+            for numbers, grams, docs in zip(*(b.column(i).to_pylist() for i in range(3))):
+                table = np.frombuffer(docs[0], "<i8").reshape(-1, 4)
+                number = np.concatenate([np.frombuffer(n, "<u2") for n in numbers])
                 gram = np.concatenate([np.frombuffer(g, "<i8") for g in grams])
-                by = np.lexsort((gram, rows[:, 0]))
-                rows, gram = rows[by], gram[by]
-                head = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))[: rows.shape[0]]
+                by = np.lexsort((gram, number))
+                number, gram = number[by], gram[by]
+                edge = np.searchsorted(number, np.arange(len(table) + 1))
+                enough = np.flatnonzero(100 * np.diff(edge) >= threshold * table[:, 3])
+                if enough.size:
+                    cols = [*(pa.array(table[enough, j]) for j in range(4)), pa.array([gram[edge[i] : edge[i + 1]].tobytes() for i in enough.tolist()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc", "k1", "k2", "n", "coarse"])
+
+    return run
+
+
+def _exact(size: int, buckets: int, bits: int, threshold: int, frequent):
+    """(doc, n, grams, classes, head) of rows (doc, text, k1, k2, n, coarse): the full hashes of what may be shared, in global order."""
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("n-grams")
+        hot, hot_count = frequent.value
+        for whole in batches:
+            for b in slices(whole, 256):
                 out = []
-                for a, z in zip(head.tolist(), [*head[1:].tolist(), gram.size]):
-                    doc, n = rows[a].tolist()
+                rows = list(zip(*(b.column(i).to_pylist() for i in range(6))))
+                for (doc, _, k1, k2, n, coarse), h in zip(rows, ngram_sets([r[1] for r in rows], size)):
+                    if _set_key(h) != (k1, k2):
+                        continue  # another text under the same key
+                    known = np.frombuffer(coarse, "<i8")
+                    known = np.append(known[known >= 0], np.iinfo(np.int64).max)
+                    mine = (h % np.uint64(buckets)).astype(np.int64) << 32 | _short(h, bits)
+                    at = np.minimum(np.searchsorted(known >> 6, mine), known.size - 1)
+                    may, kind = (known >> 6)[at] == mine, known[at] & 63
+                    if hot.size:  # the class of an n-gram is its own, not that of one which looks the same
+                        at = np.minimum(np.searchsorted(hot, h), hot.size - 1)
+                        may |= hot[at] == h
+                        kind = np.where(hot[at] == h, _order_of(hot_count[at]), kind)
+                    h, kind = h[may], kind[may]
+                    by = np.lexsort((h, kind))
                     least = -(-threshold * n // 100)  # n-grams in common that any link needs
-                    if z - a >= least:
-                        out.append((doc, n, gram[a:z].tobytes(), gram[a : z - least + 1].tolist()))
+                    if by.size >= least:
+                        h, kind = h[by], kind[by]
+                        out.append((doc, n, h.tobytes(), kind.astype(np.uint8).tobytes(), h[: by.size - least + 1].view(np.int64)))
                 if out:
-                    cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc", "n", "grams", "head"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc", "n", "grams", "classes", "head"])
+
+    return run
+
+
+def links_needed(a: int, b: int, overlap: int, threshold: int) -> bool:
+    """Whether sets of ``a`` and ``b`` n-grams with ``overlap`` in common link: 100 * intersection >= threshold * union."""
+    return (100 + threshold) * overlap >= threshold * (a + b)
+
+
+def _ties(threshold: int):
+    """True links (a, b) of rows (b, part, side, doc, n, grams) sorted by these; side 0 holds the sets of ``b``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, []
+        for batch in batches:
+            a, z = [], []
+            for b, part, side, doc, n, grams in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if (b, part) != last:
+                    last, own = (b, part), []
+                h = np.frombuffer(grams, "<u8")
+                if not side:
+                    own.append((n, h))
+                elif any(links_needed(n, m, np.intersect1d(h, g, assume_unique=True).size, threshold) for m, g in own):
+                    a.append(doc)
+                    z.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
 
     return run
 
@@ -306,29 +365,38 @@ class Trie:
         return np.concatenate(found_q), np.concatenate(found_d)
 
 
-def linked(docs: np.ndarray, n: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
-    """Edges that tie together the documents which links connect; every pair is looked at unless it is tied already."""
-    vocabulary, ranks = np.unique(np.concatenate(sets), return_inverse=True)
-    at = np.cumsum([s.size for s in sets])[:-1]
-    ranked = np.split(ranks, at)
-    trie = Trie(ranked, n)
+def linked(docs: np.ndarray, n: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray]], ties: np.ndarray, sides: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Edges that tie together the documents which links connect, unless they are tied already.
+
+    ``sets`` are hashes and classes in global order; equal ``ties`` are known to be one component. Where
+    there are two ``sides``, only documents of different sides are compared.
+    """
     size = len(sets)
-    ranked, n, docs = [ranked[i] for i in trie.order.tolist()], n[trie.order], docs[trie.order]
-    batch = max(4, min(64, 6_000_000 // max(1, vocabulary.size)))
-    group, open_ = np.arange(size), np.ones(size, bool)
+    h, which = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True)
+    kind = np.zeros(h.size, np.uint8)
+    kind[which] = np.concatenate([c for _, c in sets])
+    rank = np.empty(h.size, np.int64)
+    rank[np.lexsort((h, kind))] = np.arange(h.size)
+    ranked = np.split(rank[which], np.cumsum([x.size for x, _ in sets])[:-1])
+    trie = Trie(ranked, n)
+    ranked, n, docs, sides = [ranked[i] for i in trie.order.tolist()], n[trie.order], docs[trie.order], sides[trie.order]
+    group = np.unique(ties[trie.order], return_inverse=True)[1]
+    batch = max(4, min(64, 6_000_000 // max(1, h.size)))
+    two = sides.min() < sides.max()
+    asks = 0 if (sides == 0).sum() <= (sides == 1).sum() else 1
+    open_ = sides == asks if two else np.ones(size, bool)
     edges = []
     while open_.any():
         waiting = np.flatnonzero(open_)
         # Many documents of one group are asked together: those of that group need not be found again.
         counts = np.bincount(group[waiting], minlength=size)
         big = int(counts.argmax())
+        some = waiting[group[waiting] == big][:batch] if counts[big] > 1 else waiting[:batch]
+        alive = sides != asks if two else open_.copy()
         if counts[big] > 1:
-            some = waiting[group[waiting] == big][:batch]
-            alive = open_ & (group != big)
-        else:
-            some, alive = waiting[:batch], open_.copy()
+            alive &= group != big
         if alive.any():
-            a, d = trie.links([ranked[i] for i in some.tolist()], n[some], alive, threshold, vocabulary.size)
+            a, d = trie.links([ranked[i] for i in some.tolist()], n[some], alive, threshold, h.size)
             for x, y in zip(some[a].tolist(), d.tolist()):
                 gx, gy = group[x], group[y]
                 if gx != gy:
@@ -339,13 +407,14 @@ def linked(docs: np.ndarray, n: np.ndarray, sets: list[np.ndarray], threshold: i
 
 
 def _join(threshold: int):
-    """Edges (a, b) of rows (cluster, pair, side, doc, n, grams), sorted by cluster and pair of blocks."""
+    """Edges (a, b) of rows (task, side, doc, tie, n, grams, classes), sorted by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(held: list[tuple]) -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
-                docs, n, grams = zip(*held)
-                e = linked(np.array(docs, np.int64), np.array(n, np.int64), [np.frombuffer(g, "<i8") for g in grams], threshold)
+                side, doc, tie, n, grams, classes = zip(*held)
+                sets = [(np.frombuffer(g, "<u8"), np.frombuffer(c, np.uint8)) for g, c in zip(grams, classes)]
+                e = linked(np.array(doc, np.int64), np.array(n, np.int64), sets, np.array(tie, np.int64), np.array(side), threshold)
                 if e:
                     a, b = zip(*e)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -353,24 +422,62 @@ def _join(threshold: int):
         only("n-grams")
         held, last = [], None
         for b in batches:
-            for cluster, pair, *rest in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if (cluster, pair) != last:
+            for task, *rest in zip(*(b.column(i).to_pylist() for i in range(7))):
+                if task != last:
                     yield from emit(held)
-                    held, last = [], (cluster, pair)
+                    held, last = [], task
                 held.append(tuple(rest))
         yield from emit(held)
 
     return run
 
 
-def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, threshold: int = 85) -> DataFrame:
+def _tied(ready: DataFrame, candidates: DataFrame, threshold: int) -> DataFrame:
+    """The links among candidate pairs (a, b); those of one ``b`` are dealt out by ``TIE_DOCS``, each part with the set of ``b``."""
+    parts = candidates.groupBy("b").agg((F.floor(F.count("*") / TIE_DOCS) + 1).cast("long").alias("parts"))
+    asks = candidates.join(parts, "b").select("b", F.pmod(F.xxhash64("a"), "parts").alias("part"), F.lit(1).alias("side"), F.col("a").alias("doc"))
+    asked = parts.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("b").alias("doc"))
+    rows = asks.unionByName(asked).join(ready.select("doc", "n", "grams"), "doc").select("b", "part", "side", "doc", "n", "grams")
+    return rows.repartition("b", "part").sortWithinPartitions("b", "part", "side").mapInArrow(_ties(threshold), "a long, b long")
+
+
+def _dealt(members: DataFrame, threshold: int) -> DataFrame:
+    """Rows (task, side, doc, n, tie) of the pairs of blocks of members (doc, n, cluster, tie) that may hold new links.
+
+    Sets that link have sizes in one class or in adjacent ones. A tied group of more than ``BLOCK_DOCS``
+    documents of one class has blocks of its own, which need not meet one another.
+    """
+    width = float(np.log(100 / threshold) * 1.0001) if threshold < 100 else 1.0
+    members = members.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / width))
+    groups = members.groupBy("cluster", "class", "tie").agg(F.count("*").alias("size")).withColumn("own", F.when(F.col("size") > BLOCK_DOCS, F.col("tie")))
+    blocks = groups.groupBy("cluster", "class", "own").agg(F.sum("size").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK_DOCS))
+    same = (F.col("cluster") == F.col("c2")) & (F.col("class") == F.col("k2")) & F.col("own").eqNullSafe(F.col("o2"))
+    far = blocks.select(F.col("cluster").alias("c2"), F.col("class").alias("k2"), F.col("own").alias("o2"), "blocks")
+    homes = groups.join(far, same).select("cluster", "class", "tie", "own", "blocks")
+    place = members.join(homes, ["cluster", "class", "tie"])
+    # Small groups stay whole, so that their documents meet in one block only.
+    place = place.withColumn("sub", F.pmod(F.when(F.col("own").isNull(), F.xxhash64("tie")).otherwise(F.xxhash64("doc")), "blocks"))
+    place = place.select("doc", "n", "tie", "cluster", F.concat_ws(" ", "class", F.coalesce(F.col("own").cast("string"), F.lit("-")), "sub").alias("block"), "class", "own")
+    place = saved(place, "blocks")
+    each = place.select("cluster", "class", "own", "block").distinct()
+    other = each.select("cluster", F.col("class").alias("k2"), F.col("own").alias("o2"), F.col("block").alias("other"))
+    pairs = each.join(other, "cluster").filter((F.col("k2") - F.col("class")).isin(0, 1) & ~((F.col("class") == F.col("k2")) & (F.col("block") > F.col("other"))))
+    pairs = pairs.filter(F.col("own").isNull() | ~F.col("own").eqNullSafe(F.col("o2")))
+    pairs = pairs.select("cluster", "block", "other", F.concat_ws("/", "cluster", "block", "other").alias("task"))
+    sides = pairs.select("cluster", "task", F.lit(0).alias("side"), "block")
+    sides = sides.unionByName(pairs.filter("block <> other").select("cluster", "task", F.lit(1).alias("side"), F.col("other").alias("block")))
+    return place.join(sides, ["cluster", "block"]).select("task", "side", "doc", "n", "tie")
+
+
+def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, threshold: int = 85, bits: int = SHORT) -> DataFrame:
     """The components of documents that are linked by their sets of ``size``-word n-grams.
 
     Words are runs other than space and \\t to \\r, A-Z lower-cased; a shorter document's whole sequence is
     its one n-gram. Two documents link when 100 * intersection >= ``threshold`` * union. Returns one row for
     each row: the key, ``n_shingles`` and ``component_id`` (smallest key reachable). Null, empty and blank
     texts have no n-grams and link with nothing. Rows with a null key link with nothing and have a null
-    component; rows that share a key are one node. Other columns are ignored.
+    component; rows that share a key are one node, whatever their texts. Other columns are ignored. ``bits``
+    (at most 32) of a hash are kept by the filter, which lets more through where they are few.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -385,33 +492,41 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     order = np.argsort(hot)
     frequent = spark.sparkContext.broadcast((hot[order], np.array([r["n"] for r in got], np.int64)[order]))
 
-    standing = each.filter("n > 0 AND doc IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"))
-    index = rows.filter("doc IS NOT NULL AND text IS NOT NULL").mapInArrow(_index(size, buckets, frequent), "bucket long, chunk long, h binary, number binary, docs binary")
-    shared = index.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "chunk long, docs binary, number binary, grams binary")
+    keyed = each.filter("n > 0 AND doc IS NOT NULL")
+    standing = keyed.groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"))
+    index = rows.filter("doc IS NOT NULL AND text IS NOT NULL").mapInArrow(_index(size, buckets, bits, frequent), "bucket long, chunk long, h binary, number binary, docs binary")
+    shared = index.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "chunk long, number binary, grams binary, docs binary")
     # A chunk's blocks: one for each bucket at most, together no larger than the sets of its documents.
-    chunks = shared.groupBy("chunk").agg(*[F.collect_list(c).alias(c) for c in ("docs", "number", "grams")]).drop("chunk")
-    ready = chunks.mapInArrow(_heads(threshold), "doc long, n long, grams binary, head array<long>")
-    ready = saved(ready.join(standing.select(F.col("rep").alias("doc"), "n"), ["doc", "n"]).select("doc", "n", "grams", "head"), "ordered-sets")
-
-    heads = ready.select("doc", F.explode("head").alias("gram"))
-    least = heads.groupBy("gram").agg(F.min("doc").alias("b"), F.count("*").alias("c")).filter("c > 1").select("gram", "b")
-    clusters = components(heads.join(least, "gram").filter("doc <> b").select(F.col("doc").alias("a"), "b").distinct())
-    members = ready.join(clusters.select(F.col("id").alias("doc"), F.col("component").alias("cluster")), "doc")
-    place = members.select("cluster", "doc", "n").withColumn("block", F.floor((F.row_number().over(Window.partitionBy("cluster").orderBy("n", "doc")) - 1) / BLOCK_DOCS))
-    place = saved(place, "blocks")
-    ranges = place.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = ranges.select("cluster", F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = ranges.join(other, "cluster").filter((F.col("block") <= F.col("other")) & (100 * F.col("hi") >= threshold * F.col("lo2")))
-    pairs = pairs.select("cluster", "block", "other", (F.col("block") * 100_000 + F.col("other")).alias("pair"))
-    sides = pairs.select("cluster", "pair", "block").unionByName(pairs.filter("block <> other").select("cluster", "pair", F.col("other").alias("block")))
-    dealt = place.join(sides, ["cluster", "block"]).select("doc", "cluster", "pair").join(ready.select("doc", "n", "grams"), "doc").select("cluster", "pair", "doc", "n", "grams")
-    edges = saved(dealt.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair").mapInArrow(_join(threshold), "a long, b long"), "links")
-    tied = components(edges).withColumnRenamed("id", "rep")
-    named = standing.join(tied, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
+    chunks = shared.groupBy("chunk").agg(*[F.collect_list(c).alias(c) for c in ("number", "grams", "docs")]).drop("chunk")
+    left = chunks.mapInArrow(_left(threshold), "doc long, k1 long, k2 long, n long, coarse binary")
+    left = saved(left.join(standing.withColumnRenamed("rep", "doc"), ["k1", "k2", "n", "doc"]).dropDuplicates(["doc", "k1", "k2"]), "left")
+    texts = rows.join(saved(left.select("doc").distinct(), "left-keys"), "doc", "left_semi")
+    exact = texts.join(left, "doc").select("doc", "text", "k1", "k2", "n", "coarse").mapInArrow(_exact(size, buckets, bits, threshold, frequent), "doc long, n long, grams binary, classes binary, head array<long>")
+    ready = saved(exact, "ordered-sets")
+
+    heads = ready.select("doc", "n", F.explode("head").alias("gram"))
+    least = heads.groupBy("gram").agg(F.min(F.struct("doc", "n")).alias("b"), F.count("*").alias("c")).filter("c > 1").select("gram", F.col("b.doc").alias("b"), F.col("b.n").alias("m"))
+    near = saved(heads.join(least, "gram").filter("doc <> b").select(F.col("doc").alias("a"), "b", "n", "m").distinct(), "candidates")
+    like = near.filter((100 * F.least("n", "m") >= threshold * F.greatest("n", "m"))).select("a", "b").distinct()
+    ties = saved(_tied(ready, like, threshold), "ties")
+    tied = components(ties).select(F.col("id").alias("doc"), F.col("component").alias("tie"))
+    clusters = components(near.select("a", "b")).select(F.col("id").alias("doc"), F.col("component").alias("cluster"))
+    members = ready.select("doc", "n").join(clusters, "doc").join(tied, "doc", "left").select("doc", "n", "cluster", F.coalesce("tie", "doc").alias("tie"))
+    members = saved(members, "members")
+    unsettled = members.groupBy("cluster").agg(F.min("tie").alias("x"), F.max("tie").alias("y")).filter("x <> y").select("cluster")
+    dealt = _dealt(members.join(unsettled, "cluster", "left_semi"), threshold).join(ready.select("doc", "n", "grams", "classes"), ["doc", "n"])
+    joined = dealt.select("task", "side", "doc", "tie", "n", "grams", "classes").repartition("task").sortWithinPartitions("task")
+    links = saved(joined.mapInArrow(_join(threshold), "a long, b long"), "links")
+    # Keys with several sets tie what stands for these together.
+    several = keyed.groupBy("doc").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x <> y").select("doc")
+    same_key = keyed.join(several, "doc", "left_semi").join(standing, ["k1", "k2", "n"]).select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    nodes = components(ties.unionByName(links).unionByName(same_key)).withColumnRenamed("id", "rep")
+    named = standing.join(nodes, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     return each.join(named, ["k1", "k2", "n"], "left").select(
         F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id")
     )
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The n-gram components of all ``documents``, four words and 85 %; nulls and repeated rows as ``ngram_components`` says."""
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -53,13 +53,15 @@ def variants(seed, n=60):
     return out
 
 
-@pytest.mark.parametrize("size,threshold,block", [(4, 85, 1024), (5, 80, 16)])
-def test_ngram_components(spark, monkeypatch, size, threshold, block):
+@pytest.mark.parametrize("size,threshold,block,bits", [(4, 85, 1024, 32), (5, 80, 4, 8)])
+def test_ngram_components(spark, monkeypatch, size, threshold, block, bits):
+    """Short hashes collide everywhere; they must cost time alone."""
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
+    monkeypatch.setattr(ngram_join, "TIE_DOCS", block)
     texts = [*variants(1), None, "", " \t ", "one", "One", "one two three", "ONE two\nthree", "a b c d", "é É", "w " * 30_000]
     docs = [*enumerate(texts), *((1000 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())]
     frame = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, n_shingles string, component_id int")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(frame, size=size, threshold=threshold).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(frame, size=size, threshold=threshold, bits=bits).collect()}
     assert got == brute_components(docs, size, threshold)
 
 
@@ -70,6 +72,19 @@ def test_ngram_edges(spark):
     assert ngram_join.ngram_components(frame.limit(0)).collect() == []
 
 
+def test_texts_that_share_nothing_stay_apart(spark):
+    rows = [(1, "w4x alpha139684 beta46561 gamma442"), (2, "w18x alpha246592 beta82197 gamma396")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for bits in (32, 1):
+        assert {r["component_id"] for r in ngram_join.ngram_components(frame, bits=bits).collect()} == {1, 2}
+
+
+def test_one_key_with_several_texts_is_one_node(spark):
+    rows = [(1, "a b c d e"), (2, "p q r s t u"), (2, "a b c d e"), (3, "P q r s t u"), (4, "other words are these ones")]
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_frequent_ngrams_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LOCAL_COUNT", 2)
     monkeypatch.setattr(ngram_join, "FREQUENT_SHARE", 10**9)
