@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from marlstone.llm.shared import saved
 from marlstone.llm.worker import kept, only
@@ -121,30 +122,36 @@ def merged(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return key[new], start[new], (reach - shift)[last]
 
 
-def earlier_copy(windows: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Which windows (rows of ``LENGTH`` bytes) have a longest previous factor of that length.
+def _smaller_before(place: np.ndarray) -> np.ndarray:
+    """For each entry the nearest one before it with a smaller value, -1 if there is none, by pointer jumping."""
+    found = np.arange(place.size) - 1
+    while True:
+        bad = np.flatnonzero((found >= 0) & (place[found] >= place))
+        if not bad.size:
+            return found
+        found[bad] = found[found[bad]]
 
-    ``order`` is the place of each in the corpus. Sorted by suffix, equal windows are neighbours; the
-    nearest smaller places before and after a window in that order are found by pointer jumping.
+
+def previous_factors(windows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each window (rows of ``LENGTH`` bytes), cut at ``LENGTH``.
+
+    ``order`` is the place of each in the corpus; a window met twice has one place. The windows are the
+    suffixes at their places. Of the suffixes at smaller places, the longest common prefix is that of the
+    nearest one before or after in suffix order.
     """
     w = np.ascontiguousarray(windows)
     suffix = np.argsort(w.view(f"S{LENGTH}")[:, 0], kind="stable")
     w, place = w[suffix], order[suffix]
-    new = np.concatenate([[True], (w[1:] != w[:-1]).any(1)])  # a common prefix shorter than LENGTH
-    out = np.zeros(place.size, bool)
-    for back in (False, True):
-        p = place[::-1] if back else place
-        edge = np.concatenate([[True], new[::-1][:-1]]) if back else new
-        smaller = np.where(edge, -1, np.arange(p.size) - 1)
-        while True:
-            bad = np.flatnonzero((smaller >= 0) & (p[smaller] >= p))
-            if not bad.size:
-                break
-            smaller[bad] = smaller[smaller[bad]]
-        hit = smaller >= 0
-        out |= hit[::-1] if back else hit
-    result = np.zeros(place.size, bool)
-    result[suffix] = out
+    longest = np.zeros(place.size, np.int64)
+    before, after = _smaller_before(place), place.size - 1 - _smaller_before(place[::-1])[::-1]
+    for other, has in ((before, before >= 0), (after, after < place.size)):
+        i = np.flatnonzero(has)
+        for j in range(0, i.size, 8192):
+            k = i[j : j + 8192]
+            same = w[k] == w[other[k]]
+            longest[k] = np.maximum(longest[k], np.where(same.all(1), LENGTH, same.argmin(1)))
+    result = np.zeros(place.size, np.int64)
+    result[suffix] = longest
     return result
 
 
@@ -173,7 +180,7 @@ def _firsts(h, s, doc, at, n) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of texts (doc, text), and spans already known to be repeats."""
+    """Segments of texts (doc, text, base), and spans already known to be repeats; places count from ``base``."""
     only("suffixes")
     keys, offsets, pieces, size = [], [], [], 0
 
@@ -183,12 +190,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _firsts(h, s, np.array([keys[i] for i in order], np.int64)[piece], at + np.array([offsets[i] for i in order], np.int64)[piece], n)
 
     for b in batches:
-        for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for k, t, base in zip(*(b.column(i).to_pylist() for i in range(3))):
             raw = t.encode("utf-8", "surrogatepass")
             for o in range(0, max(1, len(raw) - LENGTH + 1), CHUNK):
                 part = raw[o : o + CHUNK + LENGTH - 1]
                 keys.append(k)
-                offsets.append(o)
+                offsets.append(base + o)
                 pieces.append(part)
                 size += len(part)
                 if size >= CHUNK:
@@ -244,10 +251,10 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, doc, at, bytes) of the segments of each text."""
     for b in batches:
-        for doc, text, rivals in zip(*(b.column(i).to_pylist() for i in range(3))):
+        for doc, text, base, rivals in zip(*(b.column(i).to_pylist() for i in range(4))):
             raw = text.encode("utf-8", "surrogatepass")
             h, at, n = zip(*((r["h"], r["at"], r["n"]) for r in rivals))
-            cols = [pa.array(h, pa.int64()), pa.array([doc] * len(h), pa.int64()), pa.array(at, pa.int64()), pa.array([raw[a : a + m + LENGTH - 1] for a, m in zip(at, n)], pa.binary())]
+            cols = [pa.array(h, pa.int64()), pa.array([doc] * len(h), pa.int64()), pa.array(at, pa.int64()), pa.array([raw[a - base : a - base + m + LENGTH - 1] for a, m in zip(at, n)], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["h", "doc", "at", "raw"])
 
 
@@ -293,7 +300,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.concatenate([[True], (d[of][by[1:]] != d[of][by[:-1]]) | (place[by[1:]] != place[by[:-1]])])
         order = np.empty(place.size, np.int64)
         order[by] = np.cumsum(new)  # a place met twice is one place
-        gone = np.flatnonzero(earlier_copy(windows, order))
+        gone = np.flatnonzero(previous_factors(windows, order) >= LENGTH)
         x, y, z = merged(d[of[gone]], place[gone], place[gone] + LENGTH)
         return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(z - y)], ["doc", "at", "n"])
 
@@ -312,13 +319,33 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def with_bases(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs`` with ``__base``, where the places of each row's text begin.
+
+    It is 0 but for keys that several different texts share: these are told apart by multiples of 2^32, in
+    the order of a hash of the text, so that they are different documents of one key.
+    """
+    each = docs.select(F.col(key).cast("long").alias("__key"), F.xxhash64(text).alias("__hash"))
+    shared = each.filter("__key IS NOT NULL").groupBy("__key").agg(F.min("__hash").alias("lo"), F.max("__hash").alias("hi")).filter("lo <> hi").select("__key")
+    shared = saved(shared, "shared-keys")
+    if shared.isEmpty():
+        return docs.withColumn("__base", F.lit(0).cast("long"))
+    # Two longs a text of a shared key; the window numbers them without holding them.
+    texts = each.join(shared, "__key", "left_semi").distinct()
+    rank = F.row_number().over(Window.partitionBy("__key").orderBy("__hash")) - 1
+    bases = texts.withColumn("__base", F.shiftleft(rank.cast("long"), 32))
+    out = docs.withColumn("__key", F.col(key).cast("long")).withColumn("__hash", F.xxhash64(text)).join(bases, ["__key", "__hash"], "left")
+    return out.withColumn("__base", F.coalesce("__base", F.lit(0).cast("long"))).select(*[docs[c] for c in docs.columns], "__base")
+
+
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", base: str = "__base") -> DataFrame:
     """Spans of bytes (``doc``, ``at``, ``n``) that repeat; they may overlap, together they are complete.
 
-    Keys are taken to be unique: equal rows count as one document. Rows with a null key or text have no
-    spans and are no earlier copies.
+    ``docs`` come from ``with_bases``, and places count from the base. Rows with equal keys and bases count
+    as one document. Rows with a null key or text have no spans and are no earlier copies. Two strings are
+    taken to be equal where 64 bits of their anchor and 64 bits of their content agree.
     """
-    whole = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
+    whole = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), F.col(base).alias("base")).filter("doc IS NOT NULL AND text IS NOT NULL")
     long_enough = whole.filter(F.octet_length("text") >= LENGTH)
     rows = long_enough.mapInArrow(_cut, "h long, s long, doc long, at long, n long")
     rows = rows.repartition("h").sortWithinPartitions("h", "s", "doc", "at")
@@ -326,8 +353,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spans = sifted.filter("s IS NULL").select("doc", "at", "n")
     rival = sifted.filter("s IS NOT NULL")
     hot = rival.groupBy("h").agg(F.sum(F.col("n") + LENGTH - 1).alias("bytes")).filter(F.col("bytes") > HOT_BYTES)
-    rivals = rival.groupBy("doc").agg(F.collect_list(F.struct("h", "at", "n")).alias("rivals"))  # as many as a text has
-    cut = whole.join(rivals, "doc").select("doc", "text", "rivals").mapInArrow(_texts_of, "h long, doc long, at long, raw binary")
+    base_of = F.shiftleft(F.shiftright("at", 32), 32).alias("base")
+    rivals = rival.groupBy("doc", base_of).agg(F.collect_list(F.struct("h", "at", "n")).alias("rivals"))  # as many as a text has
+    cut = whole.join(rivals, ["doc", "base"]).select("doc", "text", "base", "rivals").mapInArrow(_texts_of, "h long, doc long, at long, raw binary")
     many = [r["h"] for r in hot.select("h").collect()]  # one of each HOT_BYTES of segments at most
     if many:
         cut = saved(cut, "hot-segments")
@@ -374,11 +402,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
     Adds ``n_bytes`` (UTF-8 bytes before), ``n_removed``, ``n_spans`` (maximal removed runs) and, with
     ``digest``, ``kept_sha256`` of the remaining bytes, the text staying as it was. A character of which
     bytes remain only in part is dropped from the text. Null texts count as empty and stay null; columns
-    of these names are replaced; all others and repeated rows are kept.
+    of these names are replaced; all others and repeated rows are kept. Equal rows count as one document;
+    different texts of one key are documents of their own, in the order of a hash of the text.
     """
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "__spans")
-    spans = repeated_spans(docs, key, text).groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("__spans"))  # as many as a text has
-    joined = docs.join(spans, docs[key].cast("long") == spans["doc"], "left").select(*[docs[c] for c in docs.columns], "__spans")
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "__spans", "__base", "__key", "__hash")
+    based = with_bases(docs, key, text)
+    place = F.struct((F.col("at") - F.shiftleft(F.shiftright("at", 32), 32)).alias("at"), "n")
+    spans = repeated_spans(based, key, text).groupBy("doc", F.shiftleft(F.shiftright("at", 32), 32).alias("base"))
+    spans = spans.agg(F.collect_list(place).alias("__spans"))  # as many as a text has
+    joined = based.join(spans, (based[key].cast("long") == spans["doc"]) & (based["__base"] == spans["base"]), "left").select(*[based[c] for c in docs.columns], "__spans")
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     done = joined.mapInArrow(_apply(digest, docs.columns.index(text)), ", ".join([*kinds, "n_bytes long, n_removed long, n_spans long, last string"]))
     if digest:
@@ -387,5 +419,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeats in all ``documents``; nulls, repeated rows and shared keys as ``remove_repeats`` says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return remove_repeats(docs.select("doc_id", "text"), digest=True).drop("text")

@@ -179,13 +179,24 @@ def test_suffix_dedup_edges(spark):
     assert {r["doc_id"]: r["text"] for r in suffix_dedup.remove_repeats(both).collect()} == {1: text, 2: "xy"}
 
 
+def test_shared_keys(spark):
+    rng = np.random.default_rng(9)
+    a, b, c, d = ("".join(rng.choice(list("abcdefgh "), 300)) for _ in range(4))
+    rows = [(1, a), (2, a + b), (2, c), (2, "x" + d), (2, "y" + d), (3, c)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), digest=True).collect()
+    got = {(r["doc_id"], r["text"]): r["n_removed"] for r in got}
+    assert got[1, a] == 0 and got[2, a + b] == 300 and got[2, c] == 0 and got[3, c] == 300
+    assert sorted((got[2, "x" + d], got[2, "y" + d])) == [0, 300]  # one of the two is the first
+
+
 def test_longest_previous_factor():
     rng = np.random.default_rng(0)
-    for n in (1, 2, 50, 400):
-        w = rng.integers(0, 3, (n // 3 + 1, 100)).astype(np.uint8)[rng.integers(0, n // 3 + 1, n)]
+    for n in (1, 2, 50, 200):
+        w = rng.integers(0, 2, (n // 3 + 1, 100)).astype(np.uint8)[rng.integers(0, n // 3 + 1, n)]
+        w[:, 7:] ^= (rng.random((n, 1)) < 0.3).astype(np.uint8)
         order = rng.permutation(n)
-        want = [bool(((w == w[i]).all(1) & (order < order[i])).any()) for i in range(n)]
-        assert suffix_dedup.earlier_copy(w, order).tolist() == want
+        same = [[int((w[i] != w[j]).argmax()) if (w[i] != w[j]).any() else 100 for j in range(n) if order[j] < order[i]] for i in range(n)]
+        assert suffix_dedup.previous_factors(w, order).tolist() == [max(x, default=0) for x in same]
 
 
 def vectors(n=500, size=16, seed=8):
