@@ -2,7 +2,8 @@
 
 A document is a bag of passages of ``PASSAGE`` code points. A passage is encoded from its character
 classes, the pairs of adjacent classes and the repetition of its words. A gated attention layer, learned
-from document labels alone, weighs the passages; the weighted sum of their encodings is scored.
+from document labels alone, weighs the passages; the weighted sum of their encodings is scored. A bag is a
+whole document, in learning as in scoring.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from marlstone.llm.codepoints import codes, groups
 from marlstone.llm.language_id import fold
@@ -20,7 +22,7 @@ from marlstone.llm.shared import slices, with_fields
 from marlstone.llm.worker import only
 
 PASSAGE = 512
-FIT_ROWS = 6_000
+FIT_ROWS, FIT_BYTES = 6_000, 64 << 20
 THRESHOLD = 0.3
 # Character classes of ASCII; the rest are letters (11) or other signs (12).
 _GROUPS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\x0b\x0c", "\n", ".", ",;:", "!?", "*#%$&@^~", "|", "()[]{}<>/\\=+_-"]
@@ -100,12 +102,32 @@ class Model:
         weight, rep = np.zeros(len(texts)), np.zeros((len(texts), self.p["c"].size))
         for x, of in bags(texts):
             _, e, _, _, a = self.passages(x)
-            a = np.exp(np.clip(a, -20, 20)).astype(np.float64)
+            a = np.exp(a.astype(np.float64))  # at most the sum of the sizes of ``w``
             np.add.at(weight, of, a)
             first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
             np.add.at(rep, of[first], np.add.reduceat(e * a[:, None], first, axis=0))
         return _sigmoid(rep / weight[:, None] @ self.p["c"] + self.p["b"][0])
 
+    def gradients(self, x: np.ndarray, size: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """The weighted log loss of documents of ``size`` passages each, and its derivatives."""
+        p = self.p
+        starts = np.cumsum(size) - size
+        k = np.repeat(np.arange(size.size), size)
+        x, e, t, g, a = self.passages(x)
+        a = np.exp(a - np.maximum.reduceat(a, starts)[k])
+        a /= np.add.reduceat(a, starts)[k]
+        z = np.add.reduceat(e * a[:, None], starts, axis=0)
+        s = _sigmoid(z @ p["c"] + p["b"])
+        loss = -(weight * np.log(np.where(y == 1, s, 1 - s))).sum()
+        dl = ((s - y) * weight).astype(s.dtype)
+        dz = dl[:, None] * p["c"]
+        da = (e * dz[k]).sum(1)
+        ds = a * (da - np.add.reduceat(a * da, starts)[k])
+        dt, dg = ds[:, None] * p["w"] * g * (1 - t * t), ds[:, None] * p["w"] * t * g * (1 - g)
+        de = a[:, None] * dz[k] + dt @ p["V"].T + dg @ p["U"].T
+        de *= 1 - e * e
+        return float(loss), {"E": x.T @ de, "e": de.sum(0), "V": e.T @ dt, "U": e.T @ dg, "w": (t * g).T @ ds, "c": z.T @ dl, "b": dl.sum(keepdims=True)}
+
     def train(self, x: np.ndarray, of: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 3e-3, seed: int = 7) -> None:
         """Adam on the class-balanced log loss of the documents; ``of`` is sorted."""
         rng, p = np.random.default_rng(seed), self.p
@@ -117,21 +139,8 @@ class Model:
             for i in range(0, y.size, batch):
                 d = order[i : i + batch]
                 size = hi[d] - lo[d]
-                starts = np.cumsum(size) - size
-                rows = np.repeat(lo[d] - starts, size) + np.arange(size.sum())
-                k = np.repeat(np.arange(d.size), size)
-                xs, e, t, g, a = self.passages(x[rows])
-                a = np.exp(a - np.maximum.reduceat(a, starts)[k])
-                a /= np.add.reduceat(a, starts)[k]
-                z = np.add.reduceat(e * a[:, None], starts, axis=0)
-                dl = ((_sigmoid(z @ p["c"] + p["b"]) - y[d]) * balance[d] / d.size).astype(np.float32)
-                dz = dl[:, None] * p["c"]
-                da = (e * dz[k]).sum(1)
-                ds = a * (da - np.add.reduceat(a * da, starts)[k])
-                dt, dg = ds[:, None] * p["w"] * g * (1 - t * t), ds[:, None] * p["w"] * t * g * (1 - g)
-                de = a[:, None] * dz[k] + dt @ p["V"].T + dg @ p["U"].T
-                de *= 1 - e * e
-                grad = {"E": xs.T @ de, "e": de.sum(0), "V": e.T @ dt, "U": e.T @ dg, "w": (t * g).T @ ds, "c": z.T @ dl, "b": dl.sum(keepdims=True)}
+                rows = np.repeat(lo[d] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                _, grad = self.gradients(x[rows], size, y[d], balance[d] / d.size)
                 step += 1
                 for n, q in grad.items():
                     q = q + 1e-4 * p[n]
@@ -140,10 +149,11 @@ class Model:
                     p[n] -= (rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", where: Column | None = None, fit_rows: int = FIT_ROWS) -> Model:
-    """A model from at most ``fit_rows`` labelled documents, taken in the order of a hash of their keys.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", where: Column | None = None, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model:
+    """A model from labelled documents in the order of a hash of their keys, as many as ``fit_rows`` and ``fit_bytes`` of features allow.
 
-    A document with several labels counts as 1 only if all are 1; null keys and labels are no examples. Without
+    A document with several labels counts as 1 only if all are 1, and one with several texts as the first in
+    their order; null keys and labels are no examples. Features are kept in 16 bits. Without
     examples of both labels the model gives 0.5 plus or minus nothing it has learned: it stays untrained.
     """
     some = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"))
@@ -152,17 +162,21 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         some = some.filter(where)
     some = some.groupBy("key").agg(F.min("y").alias("y")).orderBy(F.xxhash64("key"), "key").limit(fit_rows)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(some), "key")  # fit_rows rows at most
+    rows = rows.groupBy("key", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, 256):
-                y, keys = b.column(2).to_pylist(), b.column(0).to_pylist()
-                for x, of in bags(b.column(1).to_pylist()):
-                    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                    for s, t in zip(first, [*first[1:], of.size]):
-                        yield pa.RecordBatch.from_arrays([pa.array([keys[of[s]]], pa.int64()), pa.array([y[of[s]]], pa.int64()), pa.array([x[s:t].astype("<f2").tobytes()])], ["key", "y", "x"])
-
-    got = sorted(rows.mapInArrow(encode, "key long, y long, x binary").collect(), key=lambda r: (r["key"], bytes(r["x"])))
+                held: dict[int, list[np.ndarray]] = {}
+                for x, of in bags(b.column(2).to_pylist()):
+                    for i in np.unique(of).tolist():
+                        held.setdefault(i, []).append(x[of == i].astype("<f2"))
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int64()), pa.array([np.concatenate(held[i]).tobytes() for i in range(b.num_rows)], pa.binary())], ["key", "y", "x"])
+
+    rows = rows.mapInArrow(encode, "key long, y long, x binary")
+    # At most fit_rows rows are numbered.
+    so_far = F.sum(F.octet_length("x")).over(Window.orderBy(F.xxhash64("key"), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    got = sorted(rows.withColumn("bytes", so_far).filter(F.col("bytes") <= fit_bytes).select("key", "y", "x").collect(), key=lambda r: r["key"])
     if len({r["y"] for r in got}) < 2:
         model = Model(np.zeros(FEATURES, np.float32), np.ones(FEATURES, np.float32))
         model.p["c"][:] = 0
@@ -196,6 +210,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents``; nulls, empty texts and repeated rows as ``fit`` and ``score`` say."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(docs, labels, where=fold(F.col("key"), 5) != 0)

@@ -56,23 +56,48 @@ def test_quality_edges(spark):
 
 
 def test_attention_gradient():
+    """Each derivative against a central difference, in doubles."""
+    rng = np.random.default_rng(1)
+    x, size, y, weight = rng.normal(size=(9, 5)), np.array([3, 1, 2, 3]), np.array([1, 0, 1, 0]), rng.uniform(0.5, 2, 4)
+    model = quality.Model(rng.normal(size=5), rng.uniform(0.5, 2, 5), hidden=4, gate=3)
+    model.p = {k: a.astype(np.float64) + 0.1 * rng.normal(size=a.shape) for k, a in model.p.items()}
+    _, grad = model.gradients(x, size, y, weight)
+    assert set(grad) == {"E", "e", "V", "U", "w", "c", "b"}
+    for name, a in model.p.items():
+        for at in np.ndindex(a.shape):
+            old, both = a[at], []
+            for step in (1e-5, -1e-5):
+                a[at] = old + step
+                both.append(model.gradients(x, size, y, weight)[0])
+            a[at] = old
+            assert grad[name][at] == pytest.approx((both[0] - both[1]) / 2e-5, rel=1e-5, abs=1e-8), (name, at)
+
+
+def test_training_lowers_the_loss():
     rng = np.random.default_rng(1)
     x, of, y = rng.normal(size=(9, 5)).astype(np.float32), np.array([0, 0, 0, 1, 2, 2, 3, 3, 3]), np.array([1, 0, 1, 0])
     model = quality.Model(np.zeros(5, np.float32), np.ones(5, np.float32), hidden=4, gate=3)
+    loss = lambda: model.gradients(x, np.bincount(of), y, np.ones(4))[0]
+    before = loss()
+    model.train(x, of, y, epochs=100, batch=4)
+    assert loss() < 0.6 * before
 
-    def loss():
-        _, e, _, _, a = model.passages(x)
-        total = 0
-        for d in range(4):
-            w = np.exp(a[of == d])
-            z = (e[of == d] * w[:, None]).sum(0) / w.sum()
-            p = 1 / (1 + np.exp(-(z @ model.p["c"] + model.p["b"][0])))
-            total -= np.log(p if y[d] else 1 - p)
-        return total
 
-    before = loss()
-    model.train(x, of, y, epochs=200, batch=4)
-    assert loss() < 0.2 * before
+def test_a_long_text_is_one_bag(spark):
+    long = "word and more. " * 160_000  # several groups of passages
+    docs = spark.createDataFrame([(1, long, "x", "y"), (2, "Bad!! " * 90, None, None), (3, None, None, None)], ROWS)
+    seen = []
+
+    class Watched(quality.Model):
+        def train(self, x, of, y, **more):
+            seen.append(np.bincount(of).tolist())
+
+    was, quality.Model = quality.Model, Watched
+    try:
+        quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int"))
+    finally:
+        quality.Model = was
+    assert seen == [[-(-len(long) // quality.PASSAGE), 2, 1]]
 
 
 PAGES = {
