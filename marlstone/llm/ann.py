@@ -1,14 +1,15 @@
 """Nearest neighbours by multi-index hashing of learned rotated binary codes.
 
 Vectors get one more component that makes their lengths equal, so that the largest inner product is the
-smallest angle. A rotation learned on a bounded sample (principal axes, then iterative quantisation)
-turns each into a code of up to 64 bits, split into ``SUBSTRINGS`` parts with one table each. By the
-pigeonhole principle every code within radius r of the query's is within floor(r / parts) in some part
-(within one less in the parts beyond the remainder), so probing those buckets retrieves all of them; the
-retrieved vectors are then ranked by their inner products in doubles.
+smallest angle. ``ROTATIONS`` rotations learned on a bounded sample (principal axes, then iterative
+quantisation from different starts) turn each into a code of up to 64 bits a rotation, split into substrings
+of 8 bits with one table each. By the pigeonhole principle every code within radius r of the query's is within
+floor(r / parts) in some part (within one less in the parts beyond the remainder), so probing those buckets
+retrieves all of them; the retrieved vectors are then ranked by their inner products in doubles.
 
 The radius is the smallest at which audit queries, searched by brute force over all rows, find
-``AUDIT_RECALL`` of their neighbours.
+``AUDIT_RECALL`` of their neighbours. Queries that find fewer than they ask for are searched again with
+twice the radius, until they have enough or the radius takes in all codes.
 """
 
 from __future__ import annotations
@@ -22,21 +23,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from marlstone.llm.shared import saved
-from marlstone.llm.vectors import blocks, matrix, unblock, usual_size, valid
+from marlstone.llm.vectors import blocks, lengths, matrix, meet, unblock, valid
 from marlstone.llm.worker import only
 
-SUBSTRINGS = 8
+ROTATIONS = 4
 FIT_ROWS = 8_000
 AUDIT_QUERIES = 96
 AUDIT_RECALL = 0.97
 SHARD_ROWS = 8_192
-QUERY_ROWS = 1_024
+QUERY_ROWS, QUERY_BLOCKS = 1_024, 8
 
 
 class Codes:
-    """The learned rotation; a few thousand doubles."""
+    """The learned rotations; some ten thousand doubles."""
 
-    def __init__(self, sample: np.ndarray, longest: float, rounds: int = 30, seed: int = 3):
+    def __init__(self, sample: np.ndarray, longest: float, rotations: int = ROTATIONS, rounds: int = 30, seed: int = 3):
         self.longest = max(longest, 1e-300)
         y = self.lifted(sample)
         self.mean = y.mean(0)
@@ -44,53 +45,57 @@ class Codes:
         bits = min(64, y.shape[1])
         _, axes = np.linalg.eigh(y.T @ y)
         axes = axes[:, ::-1][:, :bits]
-        v = y @ axes
-        r = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))[0]
-        for _ in range(rounds):
-            u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
-            r = (u @ w).T
-        self.turn, self.bits = axes @ r, bits
+        v, turns = y @ axes, []
+        for k in range(rotations):
+            r = np.linalg.qr(np.random.default_rng(seed + k).normal(size=(bits, bits)))[0]
+            for _ in range(rounds):
+                u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
+                r = (u @ w).T
+            turns.append(axes @ r)
+        self.turn = np.concatenate(turns, 1)
+        self.bits = bits * rotations
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         x = x / self.longest
         return np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1, keepdims=True)))], 1)
 
     def of(self, x: np.ndarray, query: bool = False) -> np.ndarray:
-        """The code of each row; queries have no added length."""
+        """The code of each row, as bytes; queries have no added length."""
         if query:
             x = np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))], 1)
         else:
             x = self.lifted(x)
-        on = np.zeros((len(x), 64), np.uint8)
-        on[:, : self.bits] = (x - self.mean) @ self.turn >= 0
-        return np.packbits(on, axis=1).view(">u8")[:, 0].astype(np.uint64)
+        return np.packbits((x - self.mean) @ self.turn >= 0, axis=1)
+
+
+def distances(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Differing bits of each code and ``code``."""
+    return np.bitwise_count(codes ^ code).sum(1, dtype=np.int64)
 
 
 class Tables:
-    """One table for each substring of the codes: rows ordered by its value, and where each value begins."""
+    """One table for each substring (byte) of the codes: rows ordered by its value, and where each value begins."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.sub = codes.astype(">u8").view(np.uint8).reshape(-1, 8)
-        self.rows = [np.argsort(self.sub[:, m], kind="stable") for m in range(SUBSTRINGS)]
-        self.begin = [np.searchsorted(self.sub[self.rows[m], m], np.arange(257)) for m in range(SUBSTRINGS)]
+        self.rows = [np.argsort(codes[:, m], kind="stable") for m in range(codes.shape[1])]
+        self.begin = [np.searchsorted(codes[r, m], np.arange(257)) for m, r in enumerate(self.rows)]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows whose code differs from ``code`` (a uint64) in at most ``radius`` bits."""
-        near, rest = divmod(radius, SUBSTRINGS)
-        mark = np.zeros(self.codes.size, bool)
-        parts = np.array([code], ">u8").view(np.uint8)
+        """All rows whose code differs from ``code`` in at most ``radius`` bits."""
+        near, rest = divmod(radius, len(self.rows))
+        mark = np.zeros(len(self.codes), bool)
         values = np.arange(256, dtype=np.uint8)
-        for m in range(SUBSTRINGS):
+        for m in range(len(self.rows)):
             reach = near if m <= rest else near - 1
-            if reach < 0:
+            if reach < 0 or mark.all():
                 continue
-            hit = np.bitwise_count(values ^ parts[m]) <= reach
+            hit = np.bitwise_count(values ^ code[m]) <= reach
             edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
             for a, b in edge.reshape(-1, 2).tolist():
                 mark[self.rows[m][self.begin[m][a] : self.begin[m][b]]] = True
         got = np.flatnonzero(mark)
-        return got[np.bitwise_count(self.codes[got] ^ code) <= radius]
+        return got[distances(self.codes[got], code) <= radius]
 
 
 def top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -116,71 +121,88 @@ def _audit(rows: DataFrame, codes: Codes, size: int, k: int, queries: np.ndarray
         code = codes.of(queries, query=True)
         for b in batches:
             ids, x = b.column(0).to_numpy(), matrix(b.column(1), size)
-            all_scores, far = queries @ x.T, np.bitwise_count(code[:, None] ^ codes.of(x)[None, :])
+            all_scores, mine = queries @ x.T, codes.of(x)
             for j in range(len(queries)):
                 other = np.flatnonzero(ids != query_ids[j])
                 t = other[top(ids[other], all_scores[j, other], k)]
-                yield pa.RecordBatch.from_arrays([pa.array([j] * t.size, pa.int64()), pa.array(all_scores[j, t]), pa.array(far[j, t].astype(np.int64))], ["q", "score", "far"])
+                yield pa.RecordBatch.from_arrays([pa.array([j] * t.size, pa.int64()), pa.array(all_scores[j, t]), pa.array(distances(mine[t], code[j]))], ["q", "score", "far"])
 
     found = rows.select("id", "v").mapInArrow(run, "q long, score double, far long")
     best = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "far"))).filter(F.col("rank") <= k)
     far = np.sort(np.array([r["far"] for r in best.select("far").collect()], np.int64))
-    return int(far[min(far.size - 1, int(np.ceil(AUDIT_RECALL * far.size)))]) if far.size else 64
+    return int(far[min(far.size - 1, int(np.ceil(AUDIT_RECALL * far.size)))]) if far.size else codes.bits
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """For each row where ``is_query``, the ``k`` other rows found with the largest inner products.
-
-    Returns ``query_id``, ``rank`` from 1, ``vec_id`` and ``score``; ties go to the smaller id. A shard with
-    fewer than ``k`` codes within the radius is searched whole. Vectors that are null, zero, of another
-    length than the commonest, or hold null or non-finite components take no part; neither do rows with a
-    null key; a repeated key is a row each, never a neighbour of its own key; other columns are ignored.
-    """
-    spark = vectors.sparkSession
-    size = usual_size(vectors, vector)
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).cast("long").alias("extra"))
-    rows = rows.filter(valid(F.col("v"), size) & F.col("id").isNotNull())
-    facts = rows.agg(F.count("*").alias("n"), F.sum("extra").alias("q"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
+def _search(rows: DataFrame, size: int, k: int) -> DataFrame | None:
+    """(query_id, rank, vec_id, score) of the queries among vectors of one length; none without queries."""
+    spark = rows.sparkSession
+    facts = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("extra"), F.lit(0)).alias("q"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).first()
     if not facts["q"]:
-        return spark.createDataFrame([], schema)
+        return None
     sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < 1_000_003 * min(1.0, FIT_ROWS / facts["n"])).select("v").limit(2 * FIT_ROWS).toPandas()
-    x = np.stack(sample["v"]) if len(sample) else np.zeros((1, size))
-    codes = Codes(x, facts["longest"])
+    codes = Codes(np.stack(sample["v"]) if len(sample) else np.zeros((1, size)), facts["longest"])
     some = rows.filter("extra = 1").orderBy(F.xxhash64("id"), "id").limit(AUDIT_QUERIES).select("id", "v").collect()
     radius = _audit(rows, codes, size, k, np.array([r["v"] for r in some]), np.array([r["id"] for r in some]))
-    shards = -(-facts["n"] // SHARD_ROWS)
-    sets = -(-facts["q"] // QUERY_ROWS)
-    shared = spark.sparkContext.broadcast(codes)
+    parts, shared = -(-facts["n"] // SHARD_ROWS), spark.sparkContext.broadcast(codes)
+    index = saved(blocks(rows, parts, size), "shards")
+
+    def run(radius: int):
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            only("vectors")
+            codes, part = shared.value, None
+            for b in batches:
+                for row in b.to_pylist():
+                    if not row["side"]:
+                        part, (ids, _, x) = row["part"], unblock(row, size)
+                        tables = Tables(codes.of(x))
+                    if row["side"] == 0 or row["part"] != part:
+                        continue
+                    q_ids, _, q_x = unblock(row, size)
+                    out = []
+                    for q, v, c in zip(q_ids.tolist(), q_x, codes.of(q_x, query=True)):
+                        near = tables.within(c, radius)
+                        near = near[ids[near] != q]
+                        score = products(x[near], v)
+                        t = top(ids[near], score, k)
+                        out.append((np.full(t.size, q), ids[near[t]], score[t]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in zip(*out)], ["query_id", "vec_id", "score"])
+
+        return go
+
+    done, asked = None, rows.filter("extra = 1")
+    while True:
+        # The stated query set against all rows: every block of queries meets every shard.
+        sets = max(1, -(-asked.count() // QUERY_ROWS))
+        found = meet(index, blocks(asked, sets, size), parts, sets, QUERY_BLOCKS).mapInArrow(run(radius), "query_id long, vec_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
+        found = saved(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "found")
+        enough = found.filter(F.col("rank") == k).select(F.col("query_id").alias("id"))
+        short = saved(asked.join(enough, "id", "left_anti"), "short")
+        if radius >= codes.bits or short.isEmpty():
+            return found if done is None else done.unionByName(found)
+        found = found.join(enough, found["query_id"] == enough["id"], "left_semi")
+        done = found if done is None else done.unionByName(found)
+        asked, radius = short, min(codes.bits, 2 * radius)
 
-    index = saved(blocks(rows, shards, size), "shards")
-    asked = blocks(rows.filter("extra = 1"), sets, size).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("part"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
-    # The stated query set against all rows: every block of queries meets every shard.
-    pairs = index.join(asked.repartition(shards * sets, "part", F.xxhash64("q_ids")), "part").repartition(min(shards * sets, 4096), "part", F.xxhash64("q_ids"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("vectors")
-        codes = shared.value
-        for b in batches:
-            for row in b.to_pylist():
-                ids, _, x = unblock(row, size)
-                tables = Tables(codes.of(x))
-                q_ids, q_x = np.array(row["q_ids"], np.int64), np.frombuffer(row["q_x"], "<f8").reshape(-1, size)
-                out = []
-                for q, v, c in zip(q_ids.tolist(), q_x, codes.of(q_x, query=True)):
-                    near = tables.within(c, radius)
-                    near = near[ids[near] != q]
-                    if near.size < k:
-                        near = np.flatnonzero(ids != q)
-                    score = products(x[near], v)
-                    t = top(ids[near], score, k)
-                    out.append((np.full(t.size, q), ids[near[t]], score[t]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in zip(*out)], ["query_id", "vec_id", "score"])
-
-    found = pairs.select("part", "ids", "extra", "x", "q_ids", "q_x").mapInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """For each row where ``is_query``, the ``k`` other rows found with the largest inner products.
+
+    Returns ``query_id``, ``rank`` from 1, ``vec_id`` and ``score``; ties go to the smaller id; where there are
+    fewer than ``k`` other rows all are returned. Rows are searched among those whose vectors have the same
+    length. Vectors that are null, zero, or hold null or non-finite components take no part; neither do rows
+    with a null key; a repeated key is a row each, never a neighbour of its own key, and asks once for the
+    distinct vectors it has; other columns are ignored.
+    """
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).cast("long").alias("extra"))
+    rows = rows.filter(valid(F.col("v")) & F.col("id").isNotNull())
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for size, _ in lengths(rows):
+        got = _search(rows.filter(F.size("v") == size), size, k)
+        out = out if got is None else out.unionByName(got)
+    return out
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest rows of every 20th of all ``embeddings``; nulls, repeated rows and lengths as ``nearest`` says."""
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)

@@ -1,7 +1,7 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs.
 
-Equal vectors count as one with a weight. The vectors are dealt into ``SHARDS`` shards, each of which
-builds a graph; every vector is then searched in every shard, in batches that advance side by side in
+Equal vectors count as one with a weight. The vectors of one length are dealt into shards of at most about
+``SHARD_ROWS``, each of which builds a graph; every vector is then searched in every shard, in batches that advance side by side in
 numpy. A search that meets a near vector goes on through all near ones around it, so a large group of
 copies is walked, not cut off by the beam. Each block of searches is audited against brute force on a
 sample of its queries and its beam is doubled until the audit passes. The audit judges the links of queries
@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
 from marlstone.llm.shared import saved
-from marlstone.llm.vectors import blocks, unblock, usual_size, valid
+from marlstone.llm.vectors import blocks, lengths, meet, unblock, valid
 from marlstone.llm.worker import only
 
-SHARDS = 8
-QUERY_ROWS = 8_192
+SHARD_ROWS, LEAST_ROWS, SMALL_SHARDS = 65_536, 1_024, 8  # small tables have up to SMALL_SHARDS shards of LEAST_ROWS
+QUERY_ROWS, QUERY_BLOCKS = 8_192, 4
 LINKS, LINKS_0, SPARE, FEW, NEAR_COPY = 12, 24, 8, 6, 0.8
 BEAM, BUILD_BEAM = 24, 40
 BATCH = 256
@@ -275,7 +275,7 @@ def _links(graph: Graph, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: n
     some = np.arange(0, len(q), max(1, len(q) // AUDIT_QUERIES))[:AUDIT_QUERIES]
     audit = q32[some]
     true, kind = _audit(graph, audit, ids, q_ids[some], cosine)
-    while beam < len(x):
+    while beam < len(x):  # beyond that the beam is the whole shard
         found = [i * len(x) + graph.search(audit[i : i + BATCH], beam, near)[1] for i in range(0, len(audit), BATCH)]
         if _worst(true, kind, np.concatenate(found)) >= AUDIT_RECALL:
             break
@@ -290,44 +290,35 @@ def _links(graph: Graph, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: n
         yield i, a[ok], b[ok]
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", vector: str = "embedding", shards: int = SHARDS) -> DataFrame:
-    """Links and components of the vectors with a cosine of ``cosine`` at least.
-
-    Returns one row per row with a key: the key, ``n_links`` (other vectors linked directly),
-    ``component_id`` (smallest key reachable) and ``kept`` (the row is its component's first). Vectors
-    that are null, zero, of another length than the commonest, or hold null or non-finite components link
-    with nothing. Rows with a null key are left out; a repeated key is a vector each time; other columns
-    are ignored; an empty table gives no rows.
-    """
-    spark = vectors.sparkSession
-    size = usual_size(vectors, vector)
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter("id IS NOT NULL")
-    rows = rows.withColumn("v", F.when(valid(F.col("v"), size), F.col("v")))
-    each = rows.filter("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("extra"))
-    each = saved(each, "distinct-vectors")
-    sets = max(1, -(-each.count() // QUERY_ROWS))
+def _search(each: DataFrame, size: int, count: int, cosine: float, shards: int | None) -> DataFrame:
+    """(a, null, n): the number of links of a vector; (a, b, 0): edges that tie linked vectors together."""
+    parts = shards or max(-(-count // SHARD_ROWS), min(SMALL_SHARDS, -(-count // LEAST_ROWS)))
+    sets = -(-count // QUERY_ROWS)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
         for b in batches:
             for row in b.to_pylist():
                 _, _, x = unblock(row, size)
                 g = Graph(x / np.linalg.norm(x, axis=1, keepdims=True))
-                cols = [[row["part"]], [row["ids"]], [row["extra"]], [row["x"]], [pickle.dumps((g.links, g.entry))]]
-                yield pa.RecordBatch.from_arrays([pa.array([c[0]], t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()))], ["part", "ids", "extra", "x", "graph"])
+                cols = [row["part"], row["ids"], row["extra"], row["x"], pickle.dumps((g.links, g.entry))]
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, kinds)], ["part", "ids", "extra", "x", "graph"])
 
-    graphs = saved(blocks(each, shards, size).mapInArrow(build, "part long, ids array<long>, extra array<long>, x binary, graph binary"), "graphs")
-    asked = blocks(each, sets, size).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("part"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
-    pairs = graphs.join(asked.repartition(shards * sets, "part", F.xxhash64("q_ids")), "part").repartition(min(shards * sets, 4096), "part", F.xxhash64("q_ids"))
+    graphs = saved(blocks(each, parts, size).mapInArrow(build, "part long, ids array<long>, extra array<long>, x binary, graph binary"), "graphs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("vectors")
+        part = None
         for batch in batches:
             for row in batch.to_pylist():
-                ids, weight, x = unblock(row, size)
-                g = Graph.__new__(Graph)
-                g.links, g.entry = pickle.loads(row["graph"])
-                g.x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-                q_ids, q = np.array(row["q_ids"], np.int64), np.frombuffer(row["q_x"], "<f8").reshape(-1, size)
+                if not row["side"]:
+                    part, (ids, weight, x) = row["part"], unblock(row, size)
+                    g = Graph.__new__(Graph)
+                    g.links, g.entry = pickle.loads(row["graph"])
+                    g.x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+                if row["side"] == 0 or row["part"] != part:
+                    continue
+                q_ids, _, q = unblock(row, size)
                 label, own, count, edges = ids.copy(), q_ids.copy(), np.zeros(q_ids.size, np.int64), []
                 for i, a, b in _links(g, ids, x, q_ids, q, cosine):
                     other = ids[b] != q_ids[i + a]
@@ -348,7 +339,27 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", v
                 b = pa.array(np.concatenate([np.zeros(has.size, np.int64), e[:, 1]]), mask=np.arange(has.size + len(e)) < has.size)
                 yield pa.RecordBatch.from_arrays([a, b, pa.array(np.concatenate([count[has], np.zeros(len(e), np.int64)]))], ["a", "b", "n"])
 
-    found = saved(pairs.select("ids", "extra", "x", "graph", "q_ids", "q_x").mapInArrow(run, "a long, b long, n long"), "links")
+    return meet(graphs, blocks(each, sets, size), parts, sets, QUERY_BLOCKS).mapInArrow(run, "a long, b long, n long")
+
+
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", vector: str = "embedding", shards: int | None = None) -> DataFrame:
+    """Links and components of the vectors with a cosine of ``cosine`` at least.
+
+    Returns one row per row with a key: the key, ``n_links`` (other vectors linked directly),
+    ``component_id`` (smallest key reachable) and ``kept`` (the row is its component's first). Vectors
+    that are null, zero, or hold null or non-finite components link with nothing; vectors of different
+    lengths do not link. Rows with a null key are left out; a repeated key is a vector each time; other
+    columns are ignored; an empty table gives no rows. ``shards`` is the number for each length of vectors,
+    by default as the number of rows asks.
+    """
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter("id IS NOT NULL")
+    rows = rows.withColumn("v", F.when(valid(F.col("v")), F.col("v")))
+    each = rows.filter("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("extra"))
+    each = saved(each, "distinct-vectors")
+    found = vectors.sparkSession.createDataFrame([], "a long, b long, n long")
+    for size, count in lengths(each):
+        found = found.unionByName(_search(each.filter(F.size("v") == size), size, count, cosine, shards))
+    found = saved(found, "links")
     counts = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "rep")
     groups = components(found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "rep")
     facts = each.select("v", F.col("id").alias("rep"), F.col("extra").alias("weight")).join(counts, "rep", "left").join(groups, "rep", "left")
@@ -361,4 +372,5 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", v
 
 
 def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all ``embeddings``; nulls, repeated rows and lengths as ``near_vectors`` says."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -13,17 +13,16 @@ BLOCK_SCHEMA = "part long, ids array<long>, extra array<long>, x binary"
 _ARROW = pa.schema([("part", pa.int64()), ("ids", pa.list_(pa.int64())), ("extra", pa.list_(pa.int64())), ("x", pa.binary())])
 
 
-def valid(v: Column, size: int) -> Column:
-    """True for vectors of ``size`` finite components that are not all zero; false, never null, for others."""
+def valid(v: Column) -> Column:
+    """True for vectors of finite components that are not all zero; false, never null, for others."""
     v = v.cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce((F.size(v) == size) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
+    return F.coalesce(fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def usual_size(vectors: DataFrame, vector: str) -> int:
-    """The commonest length of the vectors (the smallest of several), 0 if there are none."""
-    got = vectors.filter(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return got["n"] if got else 0
+def lengths(vectors: DataFrame) -> list[tuple[int, int]]:
+    """Each length of the vectors ``v`` and how many have it; there are no more lengths than the longest one."""
+    return [(r["size"], r["n"]) for r in vectors.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy("size").collect()]
 
 
 def matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -55,3 +54,17 @@ def blocks(rows: DataFrame, parts: int, size: int) -> DataFrame:
 
 def unblock(row: dict, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(row["ids"], np.int64), np.array(row["extra"], np.int64), np.frombuffer(row["x"], "<f8").reshape(-1, size)
+
+
+def meet(shards: DataFrame, queries: DataFrame, parts: int, sets: int, per_task: int) -> DataFrame:
+    """Every shard (``side`` 0) followed by every block of queries (``side`` 1), ``per_task`` blocks for each copy of a shard.
+
+    Both have ``part``, ``ids``, ``extra`` and ``x``; shards may have ``graph``. Queries of a part that has no
+    shard come without one.
+    """
+    groups, long = -(-sets // per_task), lambda n: F.lit(n).cast("long")
+    graph = F.col("graph") if "graph" in shards.columns else F.lit(None).cast("binary")
+    left = shards.select("part", F.explode(F.sequence(long(0), long(groups - 1))).alias("group"), F.lit(0).alias("side"), "ids", "extra", "x", graph.alias("graph"))
+    right = queries.select(F.explode(F.sequence(long(0), long(parts - 1))).alias("part"), F.floor(F.col("part") / per_task).alias("group"), F.lit(1).alias("side"), "ids", "extra", "x", F.lit(None).cast("binary").alias("graph"))
+    rows = left.unionByName(right).repartition(min(4096, 3 * parts * groups), "part", "group").sortWithinPartitions("part", "group", "side")
+    return rows.select("part", "side", "ids", "extra", "x", "graph")

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,7 +209,7 @@ def vectors(n=500, size=16, seed=8):
     return x.astype(np.float32)
 
 
-EXTRA = [(9001, None), (9002, []), (9003, [0.0] * 16), (9004, [None] + [1.0] * 15), (9005, [float("nan")] + [1.0] * 15), (9006, [float("inf")] + [1.0] * 15), (9007, [1.0] * 3)]
+EXTRA = [(9001, None), (9002, []), (9003, [0.0] * 16), (9004, [None] + [1.0] * 15), (9005, [float("nan")] + [1.0] * 15), (9006, [float("inf")] + [1.0] * 15), (9007, [1.0] * 3), (9008, [2.0] * 3), (9009, [1.0, 1.0])]
 
 
 def table(spark, x):
@@ -224,7 +225,7 @@ def test_near_vectors(spark, shards):
     union = Union()
     for a, b in zip(*np.nonzero(link)):
         union.tie(int(a), int(b))
-    want = {i: (int(link[i].sum()) - 1, union.root(i)) for i in range(len(x))} | {k: (0, k) for k, _ in EXTRA}
+    want = {i: (int(link[i].sum()) - 1, union.root(i)) for i in range(len(x))} | {k: (0, k) for k, _ in EXTRA} | {9007: (1, 9007), 9008: (1, 9007)}
     rows = near_vectors.near_vectors(table(spark, x), shards=shards).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows} == want
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in rows)
@@ -276,8 +277,30 @@ def test_nearest_few_and_none(spark):
 
 
 def test_every_code_within_the_radius_is_found():
-    codes = np.random.default_rng(2).integers(0, 2**63, 3000).astype(np.uint64)
-    codes[:500] = codes[0] ^ (np.uint64(1) << np.random.default_rng(3).integers(0, 63, 500).astype(np.uint64))
+    rng = np.random.default_rng(2)
+    codes = rng.integers(0, 256, (3000, 16), np.uint8)
+    codes[:500] = codes[0]
+    codes[np.arange(500), rng.integers(0, 16, 500)] ^= rng.integers(0, 256, 500).astype(np.uint8)
     tables = ann.Tables(codes)
-    for radius in (0, 1, 7, 20, 27):
-        assert tables.within(codes[3], radius).tolist() == np.flatnonzero(np.bitwise_count(codes ^ codes[3]) <= radius).tolist()
+    for radius in (0, 1, 7, 20, 55):
+        assert tables.within(codes[3], radius).tolist() == np.flatnonzero(np.bitwise_count(codes ^ codes[3]).sum(1) <= radius).tolist()
+
+
+def test_share_of_candidates():
+    """At the radius that finds 0.97 of the neighbours in a table of 2,000 rows, less than a tenth of the rows is ranked."""
+    rows = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").column("embedding").to_pylist()
+    x = np.array([v for v in rows if v and all(c is not None and np.isfinite(c) for c in v) and any(v)])
+    codes = ann.Codes(x, float(np.linalg.norm(x, axis=1).max()))
+    q, score = codes.of(x[::20], query=True), x[::20] @ x.T
+    score[np.arange(len(q)), np.arange(0, len(x), 20)] = -np.inf
+    far = np.stack([ann.distances(codes.of(x), c) for c in q])
+    radius = np.sort(np.take_along_axis(far, np.argsort(-score, axis=1)[:, :20], 1).ravel())[int(0.97 * 20 * len(q))]
+    assert (far <= radius).mean() < 0.1
+
+
+def test_queries_with_few_neighbours_are_searched_again(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(200, 8)) + 9, -np.eye(8)[:1]])  # the last one has no code near its own
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(900, [1.0, 2.0]), (901, [2.0, 1.0])], "vec_id long, embedding array<float>")
+    got = ann.nearest(frame, F.col("vec_id").isin(0, 200, 900), k=30).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {0: 30, 200: 30, 900: 1}
