@@ -5,10 +5,12 @@ its text-to-tag ratio: characters outside links by tags met since the line befor
 smoothed with a Gaussian; lines above the threshold (``THRESHOLD`` standard deviations) cluster into
 content regions. A region stands for the element that holds it: an article or main element, else the
 nearest block container. All lines of that element are content, so that short paragraphs stay.
-Elements that are never content (navigation, menus, scripts ...) are told by tag and role and send no lines
-at all. Forms and elements with the class words of notices, comments and the like send lines that are
+Elements that are never content (scripts, menus ...) are told by tag and role and send no lines at all.
+Navigation, forms and elements with the class words of notices, comments and the like send lines that are
 dropped at the end of the page, unless such an element proves to be a wrapper: it holds most of the text in
-articles, or most of all text, or nothing else is left. The regions then decide on its lines.
+articles, or most of all text (navigation only if its end tag is missing), or nothing else is left. The
+regions then decide on its lines. Where other words stand in the class beside the listed one, the smoothed
+ratio of each line decides.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from marlstone.llm.shared import slices
 THRESHOLD = 0.5
 # HTML vocabulary.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = frozenset("head script style noscript template nav footer aside button select textarea iframe object svg canvas audio video dialog menu title option datalist map math".split())
-BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure form h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
+SKIP = frozenset("head script style noscript template button select textarea iframe object svg canvas audio video dialog menu title option datalist map".split())
+AROUND = frozenset("nav footer aside".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CONTAINER = frozenset("article main section div td body blockquote".split())
 CLOSES_P = BLOCK - {"body", "html"}
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
@@ -39,6 +42,8 @@ SKIP_WORDS = frozenset(
 )
 HEAD_WORDS = frozenset("header masthead topbar".split())
 COMMENT_WORDS = frozenset("comment comments disqus respond replies".split())
+# Words that say where or how an element stands, not what it holds.
+PLACES = frozenset("site page main primary secondary global top bottom left right inner outer wrapper wrap container box bar block section area list links link item items module panel group row col column content text form slot unit first last".split())
 STATE_FIRST = frozenset("with without has have no not is show hide enable supports".split())  # "with-sidebar" names another element
 STATE_LAST = frozenset("open closed enabled disabled on off result results".split())
 IN_HEAD = frozenset("title style script noscript template base link meta".split())
@@ -46,14 +51,17 @@ _WORD = re.compile(r"[a-z]+|\d+")
 _SPACE = re.compile(r"\s+")
 
 
-def _named(value: str) -> set[str]:
-    """The first and last word of each class, but not of those that tell a state."""
-    words: set[str] = set()
+def _named(value: str) -> tuple[set[str], set[str]]:
+    """The first and last word of each class but of those that tell a state, and the classes' words that say what an element holds."""
+    ends: set[str] = set()
+    others: set[str] = set()
     for name in value.lower().split():
         parts = [w for w in _WORD.findall(name) if not w.isdigit()]
         if parts and (len(parts) == 1 or parts[0] not in STATE_FIRST and parts[-1] not in STATE_LAST):
-            words.update((parts[0], parts[-1]))
-    return words
+            ends.update((parts[0], parts[-1]))
+            if {parts[0], parts[-1]} & (SKIP_WORDS | HEAD_WORDS):
+                others.update(w for w in parts if w not in SKIP_WORDS and w not in HEAD_WORDS and w not in PLACES)
+    return ends, others
 
 
 class _Lines(HTMLParser):
@@ -64,6 +72,7 @@ class _Lines(HTMLParser):
         self.open: list[tuple[str, bool, int, int, int]] = []  # tag, skipped, container, article or main, doubtful element
         self.lines: list[tuple[str, int, int, int, int, int]] = []
         self.doubtful: list[tuple[int, str, int]] = [(-1, "", -1)]  # the one around it, kind, the article or main around it
+        self.ended: set[int] = set()  # doubtful elements whose end tag was met
         self.parent: dict[int, int] = {0: -1}
         self.named: dict[int, str] = {0: "body"}
         self.text: list[str] = []
@@ -88,14 +97,17 @@ class _Lines(HTMLParser):
 
     def _skipped(self, tag: str, attrs: list[tuple[str, str | None]], content: int) -> tuple[bool, str]:
         """Whether an element is never content, else the kind of doubt about it, if any."""
-        if tag in SKIP or tag == "header" and content < 0:
+        if tag in SKIP:
             return True, ""
         if tag in ("html", "body"):
             return False, ""
         words: set[str] = set()
+        others: set[str] = set()
         for k, v in attrs:
             if k in ("class", "id"):
-                words |= _named(v or "")
+                ends, more = _named(v or "")
+                words |= ends
+                others |= more
             elif k == "role" and (v or "").lower() in SKIP_ROLES or k == "hidden":
                 return True, ""
             elif k == "aria-hidden" and v == "true" or k == "style" and "display:none" in (v or "").replace(" ", "").lower():
@@ -104,8 +116,10 @@ class _Lines(HTMLParser):
             return False, "comment"
         if tag in ("article", "main"):
             return False, ""
+        if tag in AROUND or tag == "header" and content < 0:
+            return False, "tag"
         if words & SKIP_WORDS or content < 0 and words & HEAD_WORDS:
-            return False, "word"
+            return False, "weak" if others else "word"
         return False, "form" if tag == "form" or ("role", "form") in attrs else ""
 
     def _close_head(self, body: bool) -> None:
@@ -117,12 +131,10 @@ class _Lines(HTMLParser):
             if not body and self.open[i][0] != "title":
                 return
 
-    def kept(self) -> list[tuple[str, int, int, int, int]]:
-        """The lines that stand outside doubtful elements or in such ones as are mere wrappers."""
-        if len(self.doubtful) == 1:
-            return [x[:5] for x in self.lines]
-        everything, articles, forms = 0, 0, 0
+    def kept(self) -> list[tuple[str, int, int, int, int, bool]]:
+        """The lines outside doubtful elements or in such ones as are mere wrappers, and whether the ratio must speak for each."""
         size, inner = [0] * len(self.doubtful), [0] * len(self.doubtful)
+        everything, articles, forms = 0, 0, 0
         for text, _, links, _, content, at in self.lines:
             n, kinds = max(0, len(text) - links), set()
             while at > 0:
@@ -134,17 +146,21 @@ class _Lines(HTMLParser):
             everything += n * ("comment" not in kinds)
             articles += n * (content >= 0)
             forms += n * ("form" in kinds and "comment" not in kinds)
-        keep = [True]
+        keep, weak = [True], [False]
         for i, (around, kind, _) in enumerate(self.doubtful[1:], 1):
-            most = 2 * (forms if kind == "form" else size[i]) > everything and kind != "comment"
-            keep.append(keep[around] and (most or 2 * inner[i] > articles))
+            most = 2 * (forms if kind == "form" else size[i]) > everything and kind != "comment" and not (kind == "tag" and i in self.ended)
+            wrapper = most or 2 * inner[i] > articles
+            keep.append(keep[around] and (wrapper or kind == "weak"))
+            weak.append(weak[around] or kind == "weak" and not wrapper)
         if not any(keep[x[5]] for x in self.lines):
-            keep = [True] * len(keep)
+            keep = [kind != "tag" for _, kind, _ in self.doubtful]
+            for i, (around, _, _) in enumerate(self.doubtful[1:], 1):
+                keep[i] = keep[i] and keep[around]
         out, tags = [], 0
         for text, own, links, container, content, at in self.lines:
             tags += own  # those of dropped lines count with the next line
             if keep[at]:
-                out.append((text, tags, links, container, content))
+                out.append((text, tags, links, container, content, weak[at]))
                 tags = 0
         return out
 
@@ -154,11 +170,11 @@ class _Lines(HTMLParser):
             self._close_head(tag == "body")
         if tag == "br":
             self.text.append(" ")
-        if tag in BLOCK:
+        if tag in BLOCK and not self._state()[1]:
             self.flush()
         if tag in VOID:
             return
-        if tag in CLOSES_P or tag in SKIP:
+        if tag in CLOSES_P:
             for i in range(len(self.open) - 1, -1, -1):
                 if self.open[i][0] == "p":
                     self._pop(i)
@@ -173,9 +189,8 @@ class _Lines(HTMLParser):
         kind = ""
         if not skipped:
             skipped, kind = self._skipped(tag, attrs, content)
-            if skipped or kind:
-                self.flush()
             if kind:
+                self.flush()
                 self.doubtful.append((doubt, kind, content))
                 doubt = len(self.doubtful) - 1
         if tag in CONTAINER and not skipped:
@@ -196,8 +211,10 @@ class _Lines(HTMLParser):
         self.tags += 1
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                if tag in BLOCK or self.open[i][1] or self.open[i][4] != (self.open[i - 1][4] if i else 0):
+                doubt = self.open[i][4] if self.open[i][4] != (self.open[i - 1][4] if i else 0) else 0
+                if doubt or tag in BLOCK and not self.open[i][1] or self._state()[4] != self.open[i][4]:
                     self.flush()
+                self.ended.add(doubt)
                 self._pop(i)
                 return
             if tag not in BLOCK and tag not in SKIP and self.open[i][0] in BLOCK:
@@ -220,6 +237,12 @@ def smoothed(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(values, k)[at] / np.convolve(np.ones(values.size), k)[at]
 
 
+def dense(sizes: list[int], tags: list[int]) -> np.ndarray:
+    """Which lines are content: those of ``sizes`` characters and ``tags`` tags whose smoothed ratio reaches the threshold."""
+    ratio = np.array(sizes) / np.maximum(1, np.array(tags))
+    return smoothed(ratio) >= THRESHOLD * ratio.std()
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page; blocks in page order joined by a blank line."""
     if not html:
@@ -231,10 +254,11 @@ def main_text(html: str | None) -> str:
     lines = page.kept()
     if not lines:
         return ""
-    ratio = np.array([max(0, len(t) - links) / max(1, tags) for t, tags, links, _, _ in lines])
-    smooth = smoothed(ratio)
-    content = smooth >= THRESHOLD * ratio.std()
+    sizes = [max(0, len(x[0]) - x[2]) for x in lines]
+    content, ratio = dense(sizes, [x[1] for x in lines]), np.array(sizes)
     solid = content & (ratio > 0)
+    use = [i for i, x in enumerate(lines) if solid[i] or not x[5]]
+    lines, ratio, solid = [lines[i] for i in use], ratio[use], solid[use]
     roots = {lines[i][4] for i in np.flatnonzero(solid).tolist()} - {-1} or {x[4] for x in lines} - {-1}
     if roots:
         return "\n\n".join(x[0] for x in lines if x[4] in roots)
@@ -276,4 +300,5 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all ``pages``; nulls, empty pages and repeated rows as ``extract`` says."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))

@@ -139,6 +139,44 @@ def test_wrappers_are_not_skipped(name):
     assert not any(x in got for x in ("Links", "reader", "Read on", "Terms", "Sign up"))
 
 
+LOST = {
+    "form around": (f'<form id=aspnetForm><div class=menu><a href=x>Menu</a></div><article><p>{LONG}</p></article><p>Terms</p></form>', LONG),
+    "related-work": (f"<div class='intro'><p>{LONG}</p><p>{LONG}</p></div><div class='related-work'><p>{LONG} Work.</p></div>", f"{LONG} Work."),
+    "unclosed nav": (f"<nav><a href=x>Home</a><a href=y>Two</a><div class=content><p>{LONG}</p><p>{LONG}</p></div>", LONG),
+    "notice-of-award": (f"<article><p>{LONG} {LONG}</p><section id='notice-of-award'><p>{LONG} Award.</p></section></article>", f"{LONG} Award."),
+    "social-science": (f"<article><p>{LONG} {LONG}</p><div class='social-science'><p>{LONG} Science.</p></div></article>", f"{LONG} Science."),
+    "formula": ("<article><p>We have <math><mi>x</mi></math> as the value of the thing that we look for here.</p></article>", "We have x as the value of the thing that we look for here."),
+    "script in a sentence": ("<article><p>We have <script>x()</script>it, the value of the thing that we look for here.</p></article>", "We have it, the value of the thing that we look for here."),
+}
+
+
+@pytest.mark.parametrize("name", LOST)
+def test_articles_are_not_lost(name):
+    html, want = LOST[name]
+    got = html_text.main_text(html).split("\n\n")
+    assert want in got and not {"Menu", "Home", "Two", "Terms"} & set(got)
+
+
+def test_listed_words_still_drop():
+    words = ("ad", "cookie-banner", "sidebar-left", "newsletter_signup", "site-footer", "share", "related")
+    html = f"<article><p>{LONG} {LONG}</p>" + "".join(f'<div class="{w}"><p>{LONG} {w}</p></div>' for w in words) + "<nav>n</nav></article><footer>f</footer>"
+    assert html_text.main_text(html) == f"{LONG} {LONG}"
+
+
+def test_ratio_rule_against_a_plain_one():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 9, 60):
+        sizes, tags = rng.integers(0, 300, n).tolist(), rng.integers(0, 9, n).tolist()
+        ratio = [a / max(1, b) for a, b in zip(sizes, tags)]
+        mean = sum(ratio) / n
+        bound = html_text.THRESHOLD * (sum((r - mean) ** 2 for r in ratio) / n) ** 0.5
+        want = []
+        for i in range(n):
+            w = {j: np.exp(-0.5 * (i - j) ** 2) for j in range(max(0, i - 2), min(n, i + 3))}
+            want.append(sum(ratio[j] * x for j, x in w.items()) / sum(w.values()) >= bound - 1e-12)
+        assert html_text.dense(sizes, tags).tolist() == want
+
+
 def test_pages(spark):
     rows = [(i, "u", h, "t", "n") for i, (h, _) in enumerate(PAGES.values())]
     frame = spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string, text string, n_chars string")
