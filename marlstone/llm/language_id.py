@@ -3,7 +3,8 @@
 A text is lower-cased; its n-grams of 1 to 3 code points, white-space runs and digits folded, are hashed
 into ``BUCKETS`` buckets. Counts by language are summed by Spark over a sample of at most ``fit_rows``
 labelled rows (a documented bound of the fit, not of the prediction); the log-probability matrix, of
-languages x buckets, is broadcast, and batches are scored by summing its rows over the n-grams.
+languages x buckets, and the log of each language's share of the sample are broadcast, and batches are
+scored by summing rows of the matrix over the n-grams.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from marlstone.llm.worker import only
 
 BUCKETS = 1 << 15
 FIT_ROWS = 20_000
+MAX_LANGUAGES = 1_000  # 128 MiB of matrix
 UNDETERMINED = "und"
 # n-grams that count at most towards the score of a text; more evidence changes the choice, not its scale.
 EVIDENCE = 60.0
@@ -49,11 +51,12 @@ def ngram_buckets(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, length
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS, where: Column | None = None) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probability matrix (buckets x languages) from at most ``fit_rows`` labelled rows.
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS, where: Column | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, their log-probability matrix (buckets x languages) and log priors from at most ``fit_rows`` labelled rows.
 
     Rows are sampled by the hash of their text at the rate that the labelled rows allow. Rows without
     text or language are no examples; without any example there is no language and nothing can be told.
+    More than ``MAX_LANGUAGES`` languages are an error, for the matrix is broadcast.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), (F.lit(True) if where is None else where).alias("ok"))
     rows = rows.filter("ok AND lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
@@ -62,9 +65,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", fit_rows: int =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+        examples: dict[str, int] = {}
         for b in batches:
             langs = b.column(1).to_pylist()
-            for at, parts in groups([t.lower() for t in b.column(0).to_pylist()]):
+            for g in langs:
+                examples[g] = examples.get(g, 0) + 1
+            for at, parts in groups([t.lower() for t in b.column(0).to_pylist()], overlap=2):
                 h, length = ngram_buckets(parts)
                 of = np.repeat(np.array([langs[i] for i in at], object), length)
                 for g in {langs[i] for i in at}:
@@ -72,19 +78,23 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", fit_rows: int =
                     sums[g] += np.bincount(h[of == g].ravel(), minlength=BUCKETS)
         for g, n in sums.items():
             k = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([g] * k.size), pa.array(k), pa.array(n[k])], ["lang", "bucket", "n"])
+            k, n = np.append(k, BUCKETS), np.append(n[k], examples[g])  # the last one counts rows
+            yield pa.RecordBatch.from_arrays([pa.array([g] * k.size), pa.array(k), pa.array(n)], ["lang", "bucket", "n"])
 
     sums = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    if rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     got = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))  # a row for each language, BUCKETS cells at most
     table = {r["lang"]: r["cells"] for r in got.collect()}
     langs = sorted(table)
-    counts = np.ones((BUCKETS, len(langs)))
+    counts = np.ones((BUCKETS + 1, len(langs)))
     for j, g in enumerate(langs):
         np.add.at(counts[:, j], [x["bucket"] for x in table[g]], [x["n"] for x in table[g]])
-    return langs, np.log(counts / counts.sum(0, keepdims=True)).astype(np.float32)
+    grams, examples = counts[:-1], counts[-1]
+    return langs, np.log(grams / grams.sum(0, keepdims=True)).astype(np.float32), np.log(examples / max(1.0, examples.sum()))
 
 
-def predict_texts(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
+def predict_texts(texts: list[str | None], langs: list[str], matrix: np.ndarray, prior: np.ndarray | float = 0.0) -> tuple[list[str], np.ndarray]:
     """The language of each text and its score; ``und`` and 0 for texts without a letter."""
     letters = [bool(t and _LETTER.search(t)) for t in texts]
     total, n = np.zeros((len(texts), max(1, len(langs)))), np.zeros(len(texts))
@@ -98,7 +108,7 @@ def predict_texts(texts: list[str | None], langs: list[str], matrix: np.ndarray)
                 np.add.at(total, np.array(at)[full], np.add.reduceat(cells, starts, axis=0, dtype=np.float64))
                 np.add.at(n, np.array(at)[full], 3.0 * length[full])
     n = np.maximum(n, 1)
-    z = total * (np.minimum(n, EVIDENCE) / n)[:, None]
+    z = (total + prior) * (np.minimum(n, EVIDENCE) / n)[:, None] if langs else total
     p = np.exp(z - z.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
     known = np.array(letters) & bool(langs)
@@ -106,7 +116,7 @@ def predict_texts(texts: list[str | None], langs: list[str], matrix: np.ndarray)
     return [langs[j] if ok else UNDETERMINED for j, ok in zip(best.tolist(), known.tolist())], np.where(known, p.max(1), 0.0)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1) of every whole text.
 
     Null texts, empty texts and texts without a letter are ``und`` with score 0. Columns of these two
@@ -118,10 +128,10 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("language_id")
-        langs, matrix = shared.value
+        langs, matrix, prior = shared.value
         for whole in batches:
             for b in slices(whole, 512):
-                found, score = predict_texts(b.column(at).to_pylist(), langs, matrix)
+                found, score = predict_texts(b.column(at).to_pylist(), langs, matrix, prior)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, with_fields(docs, lang_pred="string", score="double"))
@@ -132,6 +142,7 @@ def fold(key: Column, n: int) -> Column:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all ``documents``; nulls, texts without letters and repeated rows as ``fit`` and ``identify`` say."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, where=fold(F.col("doc_id"), 4) != 2)
     found = identify(docs.select("doc_id", "text"), model)

@@ -35,6 +35,15 @@ def test_language_is_multinomial_naive_bayes():
     for t, f in zip(texts, found):
         h, _ = language_id.ngram_buckets([t.lower()])
         assert f == langs[int(matrix[h.ravel()].sum(0, dtype=np.float64).argmax())]
+    assert language_id.predict_texts(["x"], langs, matrix, np.log([1e-9, 1]))[0] == ["b"] and language_id.predict_texts(["x"], langs, matrix, np.log([1, 1e-9]))[0] == ["a"]
+
+
+def test_language_bounds(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word", f"l{i % 3}") for i in range(12)], "doc_id long, text string, lang string")
+    assert np.allclose(np.exp(language_id.fit(docs)[2]), 1 / 3)
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        language_id.fit(docs)
 
 
 def test_quality_held_out(spark):
