@@ -57,3 +57,21 @@ def exclusive_layer(tags: Column, unit: dict[str, int], device: dict[str, int],
 def missing_items(checks: dict[str, Column]) -> Column:
     """The names of the checks that do not hold, in order."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]))
+
+
+def disposition(confirmed: Column, dismissed: Column) -> Column:
+    """The state of a finding: dismissed before confirmed, else candidate."""
+    return F.when(F.coalesce(dismissed, F.lit(False)), "dismissed").when(F.coalesce(confirmed, F.lit(False)), "confirmed").otherwise("candidate")
+
+
+def cites(paths: Column, needles: list[str]) -> Column:
+    """True if a cited path ends in one of the needles, at a folder."""
+    return F.coalesce(F.exists(paths, lambda p: F.array_contains(F.transform(F.array(*map(F.lit, needles)), lambda n: (p == n) | p.endswith(F.concat(F.lit("/"), n))), True)), F.lit(False))
+
+
+def marker_profile(text: Column, markers: dict[str, str], lines: int = 220, functions: int = 10, few: int = 4) -> Column:
+    """Struct of the ``markers`` that a text has and whether it is ``complex``: many markers, lines or functions."""
+    body = F.coalesce(text, F.lit(""))
+    found = F.array_compact(F.array(*[F.when(body.rlike(p), n) for n, p in markers.items()]))
+    n_lines, n_functions = F.size(F.split(body, "\n")), F.regexp_count(body, F.lit(r"\bfun\s"))
+    return F.struct(found.alias("markers"), ((F.size(found) >= few) | (n_lines >= lines) | (n_functions >= functions)).alias("complex"))

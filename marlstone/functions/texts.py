@@ -6,9 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Names of generated sources.
-GENERATED_PACKAGES = ("dagger", "hilt_aggregated_deps")
-GENERATED_SUFFIXES = ("_Factory.kt", "_Factory.java", "_HiltModules.java", "Binding.java", "_Impl.java", "_Impl.kt", "_MembersInjector.java")
-GENERATED_NAMES = ("BuildConfig.java", "R.java", "BR.java", "DataBinderMapperImpl.java")
+GENERATED_PACKAGES = ("dagger/hilt/internal", "hilt_aggregated_deps")
+GENERATED_FOLDER, GENERATED_TAIL = "build/generated", "/databinding"
+GENERATED_NAMES = ("BuildConfig", "R", "Manifest")
+GENERATED_HEADS = ("R$", "_", "Hilt_")
+GENERATED_ENDS = ("Binding", "BindingImpl", "_MembersInjector", "_GeneratedInjector", "_Factory")
 
 
 def source_key(package: Column, name: Column) -> Column:
@@ -22,18 +24,28 @@ def module_name(module: Column) -> Column:
 
 
 def module_of_report(path: Column, root: str) -> Column:
-    """The folder of a report below ``root`` before its first ``build`` folder; ``.`` for the root itself."""
-    rest = F.regexp_replace(path, "^(file:)?/*" + root.strip("/") + "/?", "")
-    return F.coalesce(F.nullif(F.regexp_extract(rest, "^(.*?)/?(?:^|/)build/", 1), F.lit("")), F.lit("."))
+    """The folder of a report below ``root`` before its first ``build`` folder, or without one its own folder.
+
+    ``.`` is the root itself; of a report that is not below ``root`` the whole path of its folder.
+    """
+    plain = F.regexp_replace(path, "^file:/+", "/")
+    head = "/" + root.strip("/") + "/" if root.strip("/") else "/"
+    parts = F.split(F.substring(plain, F.lit(len(head) + 1), F.length(plain)), "/")
+    build = F.array_position(parts, "build").cast("int")
+    below = F.array_join(F.slice(parts, F.lit(1), F.when(build > 0, build - 1).otherwise(F.size(parts) - 1)), "/")
+    return F.when(plain.startswith(head), F.coalesce(F.nullif(below, F.lit("")), F.lit("."))).otherwise(F.regexp_replace(plain, "/[^/]*$", ""))
 
 
 def is_generated(package: Column, name: Column) -> Column:
     """True for sources that tools wrote."""
-    found = name.isin(*GENERATED_NAMES)
+    folder, stem = F.translate(package, ".", "/"), F.regexp_replace(F.regexp_replace(name, "\\.kt$", ""), "\\.java$", "")
+    found = stem.isin(*GENERATED_NAMES) | folder.contains(GENERATED_FOLDER) | folder.endswith(GENERATED_TAIL)
     for p in GENERATED_PACKAGES:
-        found = found | (F.translate(package, ".", "/") == p) | F.translate(package, ".", "/").startswith(p + "/")
-    for s in GENERATED_SUFFIXES:
-        found = found | name.endswith(s)
+        found = found | folder.startswith(p)
+    for p in GENERATED_HEADS:
+        found = found | stem.startswith(p)
+    for s in GENERATED_ENDS:
+        found = found | stem.endswith(s)
     return F.coalesce(found, F.lit(False))
 
 

@@ -52,3 +52,21 @@ def keep_last(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame
 def first_seen(rows: DataFrame, value: str, order: str) -> DataFrame:
     """Distinct values with the place where each was first seen."""
     return rows.groupBy(value).agg(F.min(order).alias("first_at"), F.count("*").alias("n"))
+
+
+def append_lessons(old: DataFrame, new: DataFrame, keys: list[str], order: str, n: int = 200) -> DataFrame:
+    """The last ``n`` of old and new rows (a bounded store); a new row that repeats the keys of an older one is not added."""
+    every = old.unionByName(new)
+    first = every.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_n = 1").drop("_n")
+    return first.orderBy(F.desc(order)).limit(n)
+
+
+def by_id_then_fifo(calls: DataFrame, responses: DataFrame) -> DataFrame:
+    """Responses (``session``, ``name``, ``ref``, ``at``) matched to calls (``session``, ``name``, ``id``, ``at``): by id, the rest by name in order."""
+    c, r = calls.select("session", "name", "id", F.col("at").alias("called")), responses.select("session", "name", "ref", F.col("at").alias("answered"))
+    by_id = c.join(r.select("session", F.col("ref").alias("id"), "answered"), ["session", "id"])
+    n = lambda d, o: d.withColumn("_n", F.row_number().over(Window.partitionBy("session", "name").orderBy(o)))
+    rest_c = n(c.join(by_id.select("session", "called"), ["session", "called"], "left_anti"), "called")
+    rest_r = n(r.join(by_id.select("session", "answered"), ["session", "answered"], "left_anti"), "answered")
+    fifo = rest_c.join(rest_r.select("session", "name", "answered", "_n"), ["session", "name", "_n"])
+    return by_id.select("session", "name", "called", "answered", F.lit("id").alias("by")).unionByName(fifo.select("session", "name", "called", "answered", F.lit("order").alias("by")))

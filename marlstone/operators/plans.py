@@ -1,11 +1,11 @@
-"""Plan items: clamping, partitions and greedy chunks."""
+"""Plan items: clamping, layers, tags, evidence, deferral and greedy chunks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,74 @@ def exclusive_items(testable: DataFrame, deferred: DataFrame, key: str) -> DataF
     return j.withColumn("lines", F.array_sort(F.array_except("lines", F.coalesce("_gone", F.array().cast("array<int>"))))).filter(F.size("lines") > 0).drop("_gone")
 
 
+def of_layer(items: DataFrame, layer: str) -> DataFrame:
+    """Items of one layer; a blank layer is ``unit``."""
+    return items.filter(F.coalesce(F.nullif(F.lower(F.trim("layer")), F.lit("")), F.lit("unit")) == layer)
+
+
+def pending(entries: DataFrame, flag: str) -> DataFrame:
+    """Entries that are not flagged yet; they keep their index."""
+    return entries.filter(~F.coalesce(F.col(flag), F.lit(False)))
+
+
+def tag_order(tag: Column, priority: list[str], default: str) -> tuple[Column, Column]:
+    """The tag (``default`` if blank) and its place: listed ones first, in their order, then the others."""
+    name = F.coalesce(F.nullif(F.lower(F.trim(tag)), F.lit("")), F.lit(default))
+    place = F.array_position(F.array(*map(F.lit, priority)), name)
+    return name, F.when(place > 0, place).otherwise(len(priority) + 1)
+
+
+def split_items(items: DataFrame, max_lines: int) -> DataFrame:
+    """Items cut to parts of at most ``max_lines`` of their ``lines``; adds ``part`` from 0."""
+    parts = F.greatest(F.ceil(F.size("lines") / max_lines), F.lit(1)).cast("int")
+    cut = items.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return cut.withColumn("lines", F.slice("lines", F.col("part") * max_lines + 1, F.lit(max_lines)))
+
+
+def owner_of(methods: Column, enclosing: Column) -> Column:
+    """The method that an item belongs to: its first one, else the enclosing function."""
+    return F.coalesce(F.nullif(F.trim(F.try_element_at(methods, F.lit(1))), F.lit("")), enclosing, F.lit("<unknown>"))
+
+
+def relabel_by_evidence(items: DataFrame, hits: DataFrame, keys: list[str], branch_hits: int = 1, line_hits: int = 2) -> DataFrame:
+    """Items (``kind`` branch or line, ``exempt``) whose tests (``hits`` rows by key) cover them already become ``residual``.
+
+    Branch items need ``branch_hits`` tests, line items ``line_hits``; exempt ones stay as they are.
+    """
+    n = hits.groupBy(*keys).agg(F.count("*").alias("_n"))
+    j = items.join(n, keys, "left").withColumn("hits", F.coalesce("_n", F.lit(0))).drop("_n")
+    enough = F.when(F.col("kind") == "branch", F.col("hits") >= branch_hits).otherwise(F.col("hits") >= line_hits)
+    return j.withColumn("label", F.when(enough & ~F.coalesce(F.col("exempt"), F.lit(False)), "residual").otherwise("testable"))
+
+
+def item_probes(lines: Column, branches: Column, category: Column, reason: Column) -> tuple[Column, Column]:
+    """Missed lines and branch lines of a deferred item; without a list of branches, category and reason tell what its lines are."""
+    none = F.array().cast("array<int>")
+    as_branch = (F.trim(F.coalesce(category, F.lit(""))) == "kover_residual_branch") | F.lower(F.coalesce(reason, F.lit(""))).rlike("partial[- ]branch")
+    own = F.array_sort(F.coalesce(lines, none))
+    return F.when(branches.isNull() & as_branch, none).otherwise(own), F.when(branches.isNotNull(), F.array_sort(branches)).when(as_branch, own).otherwise(none)
+
+
+def deferred_reason(reason: Column, category: Column, lines: Column, branches: Column) -> Column:
+    """The reason of a deferred item; a blank one is made from its probes."""
+    listed = lambda name, a: F.when(F.size(a) > 0, F.concat(F.lit(name + " ["), F.array_join(F.transform(a, lambda x: x.cast("string")), ", "), F.lit("]")))
+    bits = F.coalesce(F.nullif(F.concat_ws(", ", listed("lines", lines), listed("branches", branches)), F.lit("")), F.lit("none"))
+    made = F.concat(F.lit("Deferred ("), F.coalesce(F.nullif(F.trim(category), F.lit("")), F.lit("not_unit_testable")), F.lit("): "), bits, F.lit(" marked not_testable by planner."))
+    return F.coalesce(F.nullif(F.trim(reason), F.lit("")), made)
+
+
+def defer_failures(items: DataFrame, tickets: DataFrame, key: str) -> DataFrame:
+    """Items with ``label``: those with a ticket (``key``, ``code``) are deferred for the first code, others testable."""
+    codes = tickets.groupBy(key).agg(F.min("code").alias("reason"))
+    return items.join(codes, key, "left").withColumn("label", F.when(F.col("reason").isNotNull(), "deferred").otherwise("testable"))
+
+
+def gap_items(gaps: DataFrame, reason: str, category: str, tag: str) -> DataFrame:
+    """A plan from gaps (``source``, ``missed``, ``branches``): one item of lines and one of branches for each source that has them."""
+    rows = lambda c, kind: gaps.filter(F.size(c) > 0).select("source", F.lit(kind).alias("kind"), F.col(c).alias("lines"), F.lit(reason).alias("reason"), F.lit(category).alias("category"), F.lit(tag).alias("tag"))
+    return rows("missed", "line").unionByName(rows("branches", "branch"))
+
+
 def greedy_chunks(items: DataFrame, key: str, order: str, size: str, max_items: int = 5, max_size: int = 30) -> DataFrame:
     """Items of each key put into chunks in order: a chunk closes before it would pass either limit.
 

@@ -1,6 +1,6 @@
 """Rules over texts, compiled to columns.
 
-A rule is a mapping: ``id``, ``message`` and ``when``, a mapping of condition keys to lists. All
+A rule is a mapping: ``id``, ``message`` and ``when``, a mapping of condition keys to lists or single values. All
 conditions of a rule hold together; a rule without conditions matches every text.
 """
 
@@ -10,6 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def as_list(value) -> list:
+    """Nothing, one value or a list of values as a list."""
+    return [] if value is None else list(value) if isinstance(value, (list, tuple)) else [value]
+
+
 def _flags(when: dict) -> str:
     names = {"I": "i", "M": "m", "S": "s"}
     letters = "".join(names[f] for f in when.get("flags", []) if f in names)
@@ -25,7 +30,7 @@ def context_matches(wanted: dict, context: Column) -> Column:
         elif key.endswith("_false"):
             out = out & F.coalesce(F.try_element_at(context, F.lit(key[:-6])) != "true", F.lit(True))
         elif key.endswith("_any"):
-            out = out & F.coalesce(F.try_element_at(context, F.lit(key[:-4])).isin(*value), F.lit(False))
+            out = out & F.coalesce(F.try_element_at(context, F.lit(key[:-4])).isin(*as_list(value)), F.lit(False))
         else:
             out = out & F.coalesce(F.try_element_at(context, F.lit(key)) == str(value), F.lit(False))
     return out
@@ -34,6 +39,7 @@ def context_matches(wanted: dict, context: Column) -> Column:
 def rule_column(when: dict, test: Column, source: Column, context: Column | None = None) -> Column:
     """The boolean column of one rule's conditions. Null texts count as empty."""
     test, source, mode = F.coalesce(test, F.lit("")), F.coalesce(source, F.lit("")), _flags(when)
+    when = {k: v if k in ("ctx", "flags") else as_list(v) for k, v in when.items()}
     regex = lambda c, ps: [c.rlike(mode + p) for p in ps]
     holds = lambda c, ts: [F.contains(c, F.lit(t)) for t in ts]
     every = {

@@ -44,13 +44,13 @@ def majority_vote(spark, d):
 
 def nearest_ancestor(spark, d):
     p = table(spark, d, "part").select(F.translate(F.concat_ws("/", "p_type", "p_brand", "p_partkey"), " #", "//").alias("path")).distinct()
-    folders = table(spark, d, "part").filter("p_size % 3 = 0").select(F.translate("p_type", " ", "/").alias("folder"))
+    folders = table(spark, d, "part").filter("p_size < 10").select(F.translate(F.concat_ws("/", "p_type", "p_brand"), " #", "//").alias("folder"))
     return K.nearest_ancestor(p, "path", folders, "folder")
 
 
 def suffix_members(spark, d):
     names = table(spark, d, "part").select("p_partkey", F.concat_ws(".", F.lit("x"), F.substring_index("p_brand", "#", 1), F.col("p_size").cast("string")).alias("name"))
-    files = table(spark, d, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("root/"), F.substring_index("p_brand", "#", 1), F.lit("/"), F.col("p_size").cast("string"), F.lit(".kt")).alias("path"))
+    files = table(spark, d, "part").select(F.concat(F.lit("root/"), F.substring_index("p_brand", "#", 1), F.lit("/"), (F.col("p_size") * 2).cast("string"), F.lit(".kt")).alias("path"))
     return K.by_suffix(names, "name", files, "path").select("p_partkey")
 
 
@@ -102,8 +102,8 @@ SQL = {
     "ranked_pick": "SELECT o_custkey, o_orderpriority FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderpriority WHEN '3-MEDIUM' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END, o_orderpriority) = 1",
     "budgeted_rows": "WITH l AS (SELECT l_orderkey, l_linenumber, CAST(MAX(l_quantity) AS INT) AS size FROM lineitem GROUP BY ALL), u AS (SELECT *, CAST(SUM(size) OVER (PARTITION BY l_orderkey ORDER BY size DESC, l_linenumber ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM l) SELECT * FROM u WHERE used <= 60",
     "majority_vote": "SELECT * FROM (SELECT l_orderkey, l_linestatus, COUNT(*) AS votes FROM lineitem GROUP BY ALL) QUALIFY ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY votes DESC, (l_linestatus = 'O') DESC, l_linestatus) = 1",
-    "nearest_ancestor": "WITH p AS (SELECT DISTINCT replace(replace(p_type || '/' || p_brand || '/' || p_partkey, ' ', '/'), '#', '/') AS path FROM part), f AS (SELECT DISTINCT replace(p_type, ' ', '/') AS folder FROM part WHERE p_size % 3 = 0), b AS (SELECT path, ARG_MAX(folder, LENGTH(folder)) AS ancestor FROM p JOIN f ON starts_with(path, folder || '/') GROUP BY path) SELECT path, ancestor FROM p LEFT JOIN b USING (path)",
-    "suffix_members": "SELECT p_partkey FROM part p WHERE EXISTS (SELECT 1 FROM part f WHERE f.p_partkey % 2 = 0 AND split_part(f.p_brand, '#', 1) = split_part(p.p_brand, '#', 1) AND f.p_size = p.p_size)",
+    "nearest_ancestor": "WITH p AS (SELECT DISTINCT replace(replace(p_type || '/' || p_brand || '/' || p_partkey, ' ', '/'), '#', '/') AS path FROM part), f AS (SELECT DISTINCT replace(replace(p_type || '/' || p_brand, ' ', '/'), '#', '/') AS folder FROM part WHERE p_size < 10), b AS (SELECT path, ARG_MAX(folder, LENGTH(folder)) AS ancestor FROM p JOIN f ON starts_with(path, folder || '/') GROUP BY path) SELECT path, ancestor FROM p LEFT JOIN b USING (path)",
+    "suffix_members": "SELECT p_partkey FROM part p WHERE EXISTS (SELECT 1 FROM part f WHERE split_part(f.p_brand, '#', 1) = split_part(p.p_brand, '#', 1) AND f.p_size * 2 = p.p_size)",
     "slice_callees": "WITH f AS (SELECT l_orderkey AS source, l_suppkey AS k, MIN(l_linenumber) AS lo FROM lineitem GROUP BY ALL), s AS (SELECT DISTINCT l_orderkey AS source, l_suppkey AS k FROM lineitem WHERE l_linenumber = 1), c AS (SELECT DISTINCT source, k % 7 + 1 AS k FROM s) SELECT source, CAST(k AS VARCHAR) AS name, lo FROM f SEMI JOIN c USING (source, k) ANTI JOIN s USING (source, k) QUALIFY ROW_NUMBER() OVER (PARTITION BY source ORDER BY lo, CAST(k AS VARCHAR)) <= 2",
     "tag_needs": f"WITH {_TAGS} SELECT p_partkey, concat_ws(',', CASE WHEN list_contains(t, 'STEEL') OR list_contains(t, 'BRASS') AND false THEN 'rust' END, CASE WHEN list_contains(t, 'STEEL') THEN 'weight' END, CASE WHEN list_contains(t, 'BRASS') THEN 'polish' END, CASE WHEN list_contains(t, 'BRASS') AND NOT list_contains(t, 'STEEL') THEN 'weight' END, CASE WHEN list_contains(t, 'TIN') AND NOT list_contains(t, 'STEEL') THEN 'rust' END) AS needed FROM tags",
     "tag_clamp": f"WITH {_TAGS}, e AS (SELECT p_partkey, UNNEST(t) AS x, generate_subscripts(t, 1) AS n FROM tags), m AS (SELECT p_partkey, CASE lower(x) WHEN 'tin' THEN 'soft' WHEN 'copper' THEN 'soft' ELSE lower(x) END AS x, n FROM e), k AS (SELECT p_partkey, x, MIN(n) AS n FROM m WHERE x IN ('soft', 'steel', 'brand') GROUP BY ALL), j AS (SELECT p_partkey, string_agg(x, ',' ORDER BY n) AS tags FROM k GROUP BY p_partkey) SELECT p_partkey, COALESCE(tags, '') AS tags FROM part LEFT JOIN j USING (p_partkey)",

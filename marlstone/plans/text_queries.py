@@ -71,7 +71,7 @@ def trigger_select(spark, d):
 
 def longest_prefix(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_name")
-    heads = p.filter("p_partkey % 10 = 0").select(F.substring("p_name", F.lit(1), (F.col("p_partkey") % 7 + 3).cast("int")).alias("head")).distinct()
+    heads = table(spark, d, "supplier").join(p, F.col("s_suppkey") == F.col("p_partkey")).select(F.substring("p_name", F.lit(1), (F.col("s_nationkey") % 7 + 3).cast("int")).alias("head")).distinct()
     return spans.longest_prefix(p, "p_name", heads, "head", 9)
 
 
@@ -175,7 +175,7 @@ SQL = {
     "layer_score": f"WITH {_TAGS} SELECT p_partkey, CAST({_score(UNIT)} AS INT) AS unit_score, CAST({_score(DEVICE)} AS INT) AS device_score FROM tags",
     "layer_decision": f"WITH {_TAGS} SELECT p_partkey, CASE WHEN list_contains(t, 'COPPER') THEN 'instrumented' WHEN list_contains(t, 'STEEL') THEN 'unit' WHEN ({_score(DEVICE)}) < ({_score(UNIT)}) THEN 'instrumented' ELSE 'unit' END AS layer FROM tags",
     "trigger_select": "WITH h AS (SELECT doc_id, n, name FROM documents, (VALUES (0, 'license', 'legal'), (1, 'token', 'secrets'), (2, '@', 'contact'), (3, ' | ', 'tables'), (4, '!!', 'noise')) v(n, needle, name) WHERE contains(lower(COALESCE(text, '')), needle)), r AS (SELECT doc_id, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS rank, name FROM h) SELECT doc_id, CAST(rank AS INT) AS rank, name FROM r WHERE rank < 2 UNION ALL SELECT doc_id, 0, 'general' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM h)",
-    "longest_prefix": "WITH heads AS (SELECT DISTINCT left(p_name, CAST(p_partkey % 7 + 3 AS INT)) AS head FROM part WHERE p_partkey % 10 = 0), b AS (SELECT p_partkey, ARG_MAX(head, LENGTH(head)) AS prefix FROM part JOIN heads ON starts_with(p_name, head) GROUP BY p_partkey) SELECT p_partkey, p_name, prefix FROM part LEFT JOIN b USING (p_partkey)",
+    "longest_prefix": "WITH heads AS (SELECT DISTINCT left(p_name, CAST(s_nationkey % 7 + 3 AS INT)) AS head FROM part JOIN supplier ON s_suppkey = p_partkey), b AS (SELECT p_partkey, ARG_MAX(head, LENGTH(head)) AS prefix FROM part JOIN heads ON starts_with(p_name, head) GROUP BY p_partkey) SELECT p_partkey, p_name, prefix FROM part LEFT JOIN b USING (p_partkey)",
     "keep_last_n": "SELECT conv_id, turn, role FROM (SELECT DISTINCT conv_id, turn, role FROM conversations) QUALIFY ROW_NUMBER() OVER (PARTITION BY role ORDER BY conv_id * 1000 + turn DESC) <= 200",
     "session_lock_state": f"WITH e AS (SELECT *, SUM((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id {_RUN}) AS epoch FROM events), f AS (SELECT event_id, user_id, CAST(SUM((event_type = 'error')::INT) OVER (PARTITION BY user_id, epoch ORDER BY event_id {_RUN}) AS BIGINT) AS failures FROM e) SELECT *, failures >= 2 AS locked FROM f",
     "last_good_fold": f"SELECT event_id, user_id, LAST_VALUE(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id {_RUN}) AS last_good FROM events",

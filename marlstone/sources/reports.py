@@ -17,9 +17,15 @@ TESTCASE = f"_name string, _classname string, failure {FAILURE}, error {FAILURE}
 
 
 def read_packages(spark: SparkSession, paths: list[str] | str, engine: str, root: str = "/") -> DataFrame:
-    """The package elements of coverage reports with ``path``, ``engine`` and ``module``. Malformed files give no rows."""
+    """The package elements of coverage reports with ``path``, ``engine`` and ``module``. Malformed files give no rows.
+
+    A file is taken only if its whole ``report`` element can be read.
+    """
     raw = spark.read.format("xml").option("rowTag", "package").option("mode", "PERMISSIVE").option("recursiveFileLookup", True).schema(PACKAGE)
     rows = raw.load(paths).withColumn("path", F.col("_metadata.file_path")).filter("_corrupt_record IS NULL AND _name IS NOT NULL").drop("_corrupt_record")
+    whole = spark.read.format("xml").option("rowTag", "report").option("mode", "PERMISSIVE").option("recursiveFileLookup", True).schema("_name string, _corrupt_record string")
+    whole = whole.load(paths).withColumn("path", F.col("_metadata.file_path")).groupBy("path").agg(F.count_if(F.col("_corrupt_record").isNotNull()).alias("bad"), F.count("_name").alias("named")).filter("bad = 0 AND named >= 0").select("path")
+    rows = rows.join(whole, "path", "left_semi")
     return rows.withColumns({"engine": F.lit(engine), "module": module_of_report(F.col("path"), root)})
 
 

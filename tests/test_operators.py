@@ -32,6 +32,7 @@ def packages(spark, tmp_path_factory):
         folder.mkdir(parents=True)
         (folder / "report.xml").write_text(report(side))
         (folder / "broken.xml").write_text("<report><pack")
+        (folder / "cut.xml").write_text(report(side).replace("Foo.kt", "Cut.kt").replace("</report>", "") + '<package name="a/c"><sourcefile name="C.kt"><line nr="1" mi')
         out.append(reports.read_packages(spark, str(folder), engine, str(root)))
     return out[0].unionByName(out[1])
 
@@ -101,6 +102,7 @@ def test_text_functions(spark):
     assert [t(texts.module_name, x) for x in (":feature:x", "feature/x", "/a/b/")] == ["feature/x", "feature/x", "a/b"]
     assert t(texts.source_key, "a.b", "F.kt") == "a/b/F.kt"
     assert one(spark, texts.module_of_report(F.lit("file:/r/app/build/x.xml"), "/r"), texts.module_of_report(F.lit("/r/build/x.xml"), "/r")) == ("app", ".")
+    assert one(spark, *[texts.module_of_report(F.lit(p), "/r") for p in ("/r/app/out/x.xml", "/r/x.xml", "/q/app/x.xml")]) == ("app/out", ".", "/q/app")
     assert t(texts.fenced_blocks, "a\n```json\n{1}\n```\nb ```\nx\n``` ```json\n{1}\n```") == ["{1}", "x"]
     assert t(texts.brace_slice, "x {a {b}} y") == "{a {b}}" and t(texts.brace_slice, "} {") is None
     assert one(spark, texts.first_json(F.lit('text {"k": 3} end'), "k int")["k"])[0] == 3
@@ -110,7 +112,10 @@ def test_text_functions(spark):
     assert one(spark, texts.succeeded_last(F.lit("FAILED then OK"), "OK", "FAILED"), texts.succeeded_last(F.lit("OK then FAILED"), "OK", "FAILED")) == (True, False)
     assert [tuple(s) for s in t(texts.headed_sections, "intro\n# A\nx\n## B\ny\nz")] == [("A", "x"), ("B", "y\nz")]
     assert t(texts.front_matter, "---\na: 1\n---\nrest") == "a: 1"
-    assert one(spark, texts.is_generated(F.lit("dagger.x"), F.lit("A.kt")), texts.is_generated(F.lit("a"), F.lit("B_Factory.kt")), texts.is_generated(F.lit("a"), F.lit("B.kt"))) == (True, True, False)
+    generated = [("dagger.hilt.internal.x", "A.kt"), ("a", "B_Factory.kt"), ("a", "Hilt_X.java"), ("a", "_X.kt"), ("a", "R$id.java"), ("a", "Manifest.java"), ("a", "MainBinding.kt"), ("a", "MainBindingImpl.java"), ("a", "X_GeneratedInjector.java"), ("a.databinding", "A.kt"), ("b/build/generated/c", "A.kt")]
+    written = [("dagger.x", "A.kt"), ("a", "B.kt"), ("a", "B_Impl.kt"), ("a", "BR.java"), ("a.databinding.b", "A.kt"), ("a", "R.txt")]
+    told = lambda rows: [one(spark, texts.is_generated(F.lit(p), F.lit(n)))[0] for p, n in rows]
+    assert all(told(generated)) and not any(told(written))
 
 
 def test_brace_spans():
@@ -118,6 +123,12 @@ def test_brace_spans():
     assert scans.brace_spans_of(None) == []
 
 
+def test_single_values_are_lists_of_one(spark):
+    holds = lambda when, text: one(spark, rules.rule_column(when, F.lit(text), F.lit("src")))[0]
+    assert not holds({"test": "foo"}, "fox of") and holds({"test": "foo"}, "a foo") and holds({"test_any": "o+", "source_any": "sr"}, "a foo")
+    assert not holds({"test_not_contains": "fo"}, "a foo") and holds({"test_not_contains": "of"}, "a foo") and holds({"test": None}, "x")
+
+
 def test_rule_quantifiers(spark):
     docs = spark.createDataFrame([(1, "alpha beta", "src one"), (2, "alpha", "two"), (3, None, None)], "id long, test string, source string")
     cases = [
