@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -9,33 +10,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# A string (to its quote or the line's end), a comment (not the slashes of an address), or a brace.
+_TOKEN = re.compile(r'"(?:\\.|[^"\\\n])*"?|(?<!:)//[^\n]*|/\*.*?(?:\*/|\Z)|[{}]', re.S)
+
+
 def brace_spans_of(text: str | None) -> list[tuple[int, int]]:
     """Top-level ``{...}`` spans (start, stop) outside strings and comments; an unclosed one is left out."""
-    out, depth, start, i = [], 0, 0, 0
-    text = text or ""
-    while i < len(text):
-        c = text[i]
-        if c == '"':
-            i += 1
-            while i < len(text) and text[i] not in '"\n':
-                i += 2 if text[i] == "\\" else 1
-        elif text.startswith("//", i) and (i == 0 or text[i - 1] != ":"):
-            i = text.find("\n", i)
-            if i < 0:
-                break
-        elif text.startswith("/*", i):
-            i = text.find("*/", i)
-            if i < 0:
-                break
-            i += 1
-        elif c == "{":
-            start = i if depth == 0 else start
+    out, depth, start = [], 0, 0
+    for m in _TOKEN.finditer(text or ""):
+        token = m.group()
+        if token == "{":
+            start = m.start() if depth == 0 else start
             depth += 1
-        elif c == "}" and depth:
+        elif token == "}" and depth:
             depth -= 1
             if depth == 0:
-                out.append((start, i + 1))
-        i += 1
+                out.append((start, m.end()))
     return out
 
 

@@ -38,8 +38,19 @@ def log_summary(spark, d):
 
 
 def log_error_lines(spark, d):
-    e = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn", "role").alias("id"), "text")
-    return logs.error_lines(e.distinct(), "id", "text").groupBy("id").agg(F.count("*").alias("lines"))
+    """Logs made of each turn: an error line, and on odd turns a wide line with ten lines behind it."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role").distinct()
+    wide = F.concat(F.lit("what went wrong\n"), F.lit("\n".join(f"l{i}" for i in range(1, 11))))
+    text = F.concat_ws("\n", F.lit("start"), F.concat(F.lit("error: "), F.col("turn").cast("string")), F.lit("ok"), F.when(F.col("turn") % 2 == 1, wide), F.lit(" again"), F.concat(F.lit("  error: "), F.col("turn").cast("string")))
+    e = c.select(F.concat_ws("-", "conv_id", "turn", "role").alias("id"), text.alias("text"))
+    return logs.error_lines(e, "id", "text").groupBy("id").agg(F.count("*").alias("lines"), F.max("n").alias("last"))
+
+
+def brace_texts(spark, d):
+    n = F.col("p_size").cast("string")
+    text = F.concat(F.lit("x { "), n, F.lit(' } "{" /* { */ http://a '), F.when(F.col("p_size") > 25, "{ a { b } }").otherwise(""), F.lit(" // {\n { open"))
+    p = table(spark, d, "part").select("p_partkey", text.alias("text"))
+    return p.select("p_partkey", F.size(brace_spans("text")).alias("n"), F.try_element_at(brace_spans("text"), F.lit(1))["start"].alias("first"), F.try_element_at(brace_spans("text"), F.lit(1))["stop"].alias("stop"))
 
 
 def rule_matches(spark, d):
@@ -146,7 +157,7 @@ QUERIES = {
     "context_rows": context_rows, "log_class_first_match": log_class_first_match, "log_summary": log_summary, "log_error_lines": log_error_lines, "rule_matches": rule_matches,
     "first_seen_distinct": first_seen_distinct, "layer_score": layer_score, "layer_decision": layer_decision, "trigger_select": trigger_select, "longest_prefix": longest_prefix,
     "keep_last_n": keep_last_n, "session_lock_state": session_lock_state, "last_good_fold": last_good_fold, "turn_fold": turn_fold, "fence_json_extract": fence_json_extract,
-    "html_sections": html_sections, "name_functions": name_functions, "greedy_chunks": greedy_chunks, "clamp_items": clamp_items, "brace_spans": brace_spans_query, "fuzzy_match": fuzzy_match,
+    "html_sections": html_sections, "name_functions": name_functions, "greedy_chunks": greedy_chunks, "clamp_items": clamp_items, "brace_spans": brace_spans_query, "brace_texts": brace_texts, "fuzzy_match": fuzzy_match,
 }
 
 
@@ -167,6 +178,9 @@ _score = lambda w: " + ".join(f"{v} * len(list_filter(t, lambda x: x = '{k}'))"
 _RUN = "ROWS UNBOUNDED PRECEDING"
 
 SQL = {
+    "log_error_lines": "SELECT DISTINCT conv_id || '-' || turn || '-' || role AS id, CASE WHEN turn % 2 = 1 THEN CAST(10 AS BIGINT) ELSE 1 END AS lines, CASE WHEN turn % 2 = 1 THEN 12 ELSE 2 END AS last FROM conversations",
+    "brace_texts": "SELECT p_partkey, CASE WHEN p_size > 25 THEN 2 ELSE 1 END AS n, 2 AS first, 6 + LENGTH(CAST(p_size AS VARCHAR)) AS stop FROM part",
+    "greedy_chunks": "WITH RECURSIVE o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn FROM (SELECT l_orderkey, l_linenumber, CAST(MAX(l_quantity) AS INT) AS size FROM lineitem GROUP BY ALL)), g AS (SELECT l_orderkey, l_linenumber, size, rn, 0 AS chunk, 1 AS n, size AS total FROM o WHERE rn = 1 UNION ALL SELECT o.l_orderkey, o.l_linenumber, o.size, o.rn, CASE WHEN n + 1 > 3 OR total + o.size > 60 THEN chunk + 1 ELSE chunk END, CASE WHEN n + 1 > 3 OR total + o.size > 60 THEN 1 ELSE n + 1 END, CASE WHEN n + 1 > 3 OR total + o.size > 60 THEN o.size ELSE total + o.size END FROM g JOIN o ON o.l_orderkey = g.l_orderkey AND o.rn = g.rn + 1) SELECT l_orderkey, l_linenumber, size, chunk FROM g",
     "context_rows": "SELECT user_id, COUNT(*) AS n, MAX(event_id) AS last FROM (SELECT *, MAX((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS 3 PRECEDING) AS near FROM events) WHERE near = 1 GROUP BY user_id",
     "log_class_first_match": "SELECT doc_id, CASE WHEN regexp_matches(COALESCE(text, ''), '(?i)\\bcompil|licensed') THEN 'compile' WHEN regexp_matches(text, '(?i)token|key|password') THEN 'env' WHEN regexp_matches(text, '(?i)@|\\+1') THEN 'contract' ELSE 'unknown' END AS class FROM documents",
     "log_summary": "WITH l AS (SELECT doc_id, UNNEST(regexp_split_to_array(text, '\\r?\\n')) AS line, generate_subscripts(regexp_split_to_array(text, '\\r?\\n'), 1) AS n FROM documents) SELECT doc_id, COUNT(*) FILTER (contains(line, '|')) AS table_n, ARG_MIN(line, n) FILTER (contains(line, '|')) AS table_first, COUNT(*) FILTER (contains(line, '!!')) AS shout_n, ARG_MIN(line, n) FILTER (contains(line, '!!')) AS shout_first FROM l GROUP BY doc_id",
