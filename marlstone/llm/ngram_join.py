@@ -36,7 +36,7 @@ from marlstone.llm.worker import only
 CHUNK = 1 << 20
 BUCKET_ENTRIES = 3_000_000
 BLOCK_DOCS = 256
-TIE_DOCS = 1_024
+TIE_DOCS = 128
 # An n-gram is frequent if it is met so often in chunks where it is met so often.
 LOCAL_COUNT, FREQUENT_SHARE = 16, 512
 SHORT = 32  # bits of a hash that the index keeps beside its bucket
