@@ -25,8 +25,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 # Characters whose class does not depend on a Unicode version, none of them white space but ASCII's; a text
 # with others is encoded by the library as a whole.
 UNCOMMON = r"[^\t\n\r -~\x{A1}-\x{24F}\x{391}-\x{3C9}\x{410}-\x{44F}\x{2010}-\x{2027}\x{20AC}]"
-SLICE_BYTES = 4 << 20
-CACHE_BYTES = 128 << 20
+SLICE_BYTES = 2 << 20
+CACHE_BYTES = 96 << 20
 LONGEST_KEPT = 64
 _OTHER, _BLANK, _LINE, _LETTER, _DIGIT, _SIGN, _QUOTE = range(7)
 
