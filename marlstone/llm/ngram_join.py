@@ -515,7 +515,9 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     members = saved(members, "members")
     unsettled = members.groupBy("cluster").agg(F.min("tie").alias("x"), F.max("tie").alias("y")).filter("x <> y").select("cluster")
     dealt = _dealt(members.join(unsettled, "cluster", "left_semi"), threshold).join(ready.select("doc", "n", "grams", "classes"), ["doc", "n"])
-    joined = dealt.select("task", "side", "doc", "tie", "n", "grams", "classes").repartition("task").sortWithinPartitions("task")
+    # A number of partitions that is named is not lowered where the rows are few; their work is in pairs.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    joined = dealt.select("task", "side", "doc", "tie", "n", "grams", "classes").repartition(parts, "task").sortWithinPartitions("task")
     links = saved(joined.mapInArrow(_join(threshold), "a long, b long"), "links")
     # Keys with several sets tie what stands for these together.
     several = keyed.groupBy("doc").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x <> y").select("doc")
