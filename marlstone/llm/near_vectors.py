@@ -32,6 +32,12 @@ BEAM, BUILD_BEAM = 24, 40
 BATCH = 256
 SLACK = 0.04  # a search also goes on from vectors that are a little less near
 AUDIT_QUERIES, AUDIT_RECALL = 1_024, 0.999
+WALK_SHARE, VERIFY_PAIRS = 8, 1 << 16
+
+
+def _along(a: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The elements of each row in its ``columns``."""
+    return a.take(columns + (np.arange(len(a)) * a.shape[1])[:, None])
 
 
 def _diverse(near: np.ndarray, x: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
@@ -177,7 +183,7 @@ class Graph:
     def _beam(self, q: np.ndarray, entry: np.ndarray, layer: int, beam: int, near: float = 3.0, wide: int = 3):
         """The best ``beam`` nodes met from ``entry``, and all pairs (query, node) met with similarity ``near``."""
         n, links, size = len(self.x), self.links[layer], len(q)
-        seen = np.zeros((size, n), bool)
+        seen = np.zeros(size * n, bool)
         ids, sims = np.full((size, beam), -1, np.int64), np.full((size, beam), -2.0, np.float32)
         done = np.ones((size, beam), bool)
         met: list[np.ndarray] = []
@@ -185,30 +191,31 @@ class Graph:
         rows = np.arange(size)
         fresh = entry
         while rows.size:
-            ok = np.zeros(fresh.shape, bool)
+            ok, key = np.zeros(fresh.shape, bool), rows[:, None] * n + fresh
             step = links.shape[1] if fresh is not entry else 1
             for j in range(0, fresh.shape[1], step):  # a node listed twice counts once
-                part = fresh[:, j : j + step]
-                ok[:, j : j + step] = (part >= 0) & ~seen[rows[:, None], part]
-                r, c = np.nonzero(ok[:, j : j + step])
-                seen[rows[r], part[r, c]] = True
-            r, c = np.nonzero(ok)
+                part = key[:, j : j + step]
+                new = (fresh[:, j : j + step] >= 0) & ~seen.take(part)
+                seen[part[new]] = True
+                ok[:, j : j + step] = new
+            key = key[ok]
+            who = key // n
             s = np.full(fresh.shape, -2.0, np.float32)
-            s[r, c] = np.einsum("ad,ad->a", self.x[fresh[r, c]], q[rows[r]])
+            s[ok] = np.einsum("ad,ad->a", self.x.take(key - who * n, 0), q.take(who, 0))
             if near <= 1:
-                hit = s[r, c] >= near
-                met.append(rows[r[hit]] * n + fresh[r[hit], c[hit]])
+                met.append(key[s[ok] >= near])
             all_ids, all_sims = np.concatenate([ids[rows], fresh], 1), np.concatenate([sims[rows], s], 1)
             all_done = np.concatenate([done[rows], ~ok], 1)
             top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
-            ids[rows], sims[rows], done[rows] = (np.take_along_axis(a, top, 1) for a in (all_ids, all_sims, all_done))
+            ids[rows], sims[rows], done[rows] = (_along(a, top) for a in (all_ids, all_sims, all_done))
             open_ = np.where(done, -2.0, sims)
             rows = np.flatnonzero((open_ > -2).any(1))
             if not rows.size:
                 break
-            pick = np.argpartition(-open_[rows], min(wide, beam) - 1, axis=1)[:, : min(wide, beam)]
-            use = np.take_along_axis(open_[rows], pick, 1) > -2
-            chosen = np.where(use, np.take_along_axis(ids[rows], pick, 1), -1)
+            open_ = open_[rows]
+            pick = np.argpartition(-open_, min(wide, beam) - 1, axis=1)[:, : min(wide, beam)]
+            use = _along(open_, pick) > -2
+            chosen = np.where(use, _along(ids[rows], pick), -1)
             rr, cc = np.nonzero(use)
             done[rows[rr], pick[rr, cc]] = True
             opened.append(rows[rr] * n + chosen[rr, cc])
@@ -221,30 +228,52 @@ class Graph:
         return ids, sims, self._walk(q, seen, np.concatenate(met), np.concatenate(opened) if opened else np.zeros(0, np.int64), near)
 
     def _walk(self, q: np.ndarray, seen: np.ndarray, met: np.ndarray, opened: np.ndarray, near: float) -> np.ndarray:
-        """All near pairs, going on from those that the beam met and did not open."""
-        n, links, found = len(self.x), self.links[0], [met]
+        """All near pairs, going on from those that the beam met and did not open.
+
+        Where the queries at the front share most of its nodes, as in a large group of copies, the neighbours of
+        all are compared with all of these queries at once, as one matrix product.
+        """
+        n, links = len(self.x), self.links[0]
+        found = np.zeros(seen.size, bool)
+        found[met] = True
         front = np.setdiff1d(met, opened)
-        flat = seen.ravel()
         while front.size:
+            who, nodes = np.unique(front // n), np.unique(front % n)
+            if WALK_SHARE * front.size >= who.size * nodes.size:
+                front = []
+                for i in range(0, nodes.size, 1024):
+                    nb = np.unique(links[nodes[i : i + 1024]])
+                    nb = nb[nb >= 0]
+                    key = who[:, None] * n + nb
+                    hit = q[who] @ self.x[nb].T >= near
+                    hit &= ~found.take(key)
+                    seen[key] = True
+                    key = key[hit]
+                    found[key] = True
+                    front.append(key)
+                front = np.concatenate(front)
+                continue
             part, front = front[:20_000], front[20_000:]
             nb = links[part % n]
             key = (part // n)[:, None] * n + nb
             key = np.unique(key[nb >= 0])
-            key = key[~flat[key]]
-            flat[key] = True
+            key = key[~seen[key]]
+            seen[key] = True
             key = key[np.einsum("ad,ad->a", self.x[key % n], q[key // n]) >= near]
-            found.append(key)
+            found[key] = True
             front = np.concatenate([front, key])
-        return np.concatenate(found)
+        return np.flatnonzero(found)
 
-    def search(self, q: np.ndarray, beam: int, near: float) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest node of each query, and all pairs (query number * nodes + node) found as near as ``near``."""
-        beam = max(beam, self.entry.size)
+    def homes(self, q: np.ndarray) -> np.ndarray:
+        """The nodes of layer 0 from which a search of each query starts, nearest first."""
         entry = np.tile(self.entry, (len(q), 1))
         for layer in range(len(self.links) - 1, 0, -1):
             entry = self._beam(q, entry, layer, max(4, entry.shape[1]))[0][:, :4]
-        ids, _, pairs = self._beam(q, entry, 0, beam, near)
-        return ids, pairs
+        return entry
+
+    def search(self, q: np.ndarray, homes: np.ndarray, beam: int, near: float) -> np.ndarray:
+        """All pairs (query number * nodes + node) found as near as ``near``, in order."""
+        return self._beam(q, homes, 0, max(beam, self.entry.size), near)[2]
 
 
 def _audit(graph: Graph, q: np.ndarray, ids: np.ndarray, q_ids: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -267,27 +296,31 @@ def _worst(true: np.ndarray, kind: np.ndarray, found: np.ndarray) -> float:
     return float((got[all_ > 0] / all_[all_ > 0]).min())
 
 
-def _links(graph: Graph, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, cosine: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first query, query numbers, nodes) of the verified links of each batch of queries."""
+def _links(graph: Graph, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query numbers, nodes) of the verified links of each batch of queries; queries that start in one place share a batch."""
     unit, q_unit = x / np.linalg.norm(x, axis=1, keepdims=True), q / np.linalg.norm(q, axis=1, keepdims=True)
     q32 = q_unit.astype(np.float32)
     beam, near = BEAM, cosine - SLACK
-    some = np.arange(0, len(q), max(1, len(q) // AUDIT_QUERIES))[:AUDIT_QUERIES]
-    audit = q32[some]
-    true, kind = _audit(graph, audit, ids, q_ids[some], cosine)
+    homes = np.concatenate([graph.homes(q32[i : i + BATCH]) for i in range(0, len(q), BATCH)])
+    order = np.argsort(homes[:, 0], kind="stable")
+    some = order[:: max(1, len(q) // AUDIT_QUERIES)][:AUDIT_QUERIES]
+    true, kind = _audit(graph, q32[some], ids, q_ids[some], cosine)
     while beam < len(x):  # beyond that the beam is the whole shard
-        found = [i * len(x) + graph.search(audit[i : i + BATCH], beam, near)[1] for i in range(0, len(audit), BATCH)]
+        found = [i * len(x) + graph.search(q32[k], homes[k], beam, near) for i in range(0, len(some), BATCH) for k in (some[i : i + BATCH],)]
         if _worst(true, kind, np.concatenate(found)) >= AUDIT_RECALL:
             break
         beam *= 2
     for i in range(0, len(q), BATCH):
+        k = order[i : i + BATCH]
         if beam < len(x):
-            key = np.unique(graph.search(q32[i : i + BATCH], beam, near)[1])
+            key = graph.search(q32[k], homes[k], beam, near)
         else:  # the beam is the whole shard
-            key = np.flatnonzero((q32[i : i + BATCH] @ graph.x.T).ravel() >= near)
-        a, b = key // len(x), key % len(x)
-        ok = (q_unit[i + a] * unit[b]).sum(1) >= cosine
-        yield i, a[ok], b[ok]
+            key = np.flatnonzero((q32[k] @ graph.x.T).ravel() >= near)
+        for j in range(0, key.size, VERIFY_PAIRS):
+            a, b = np.divmod(key[j : j + VERIFY_PAIRS], len(x))
+            a = k[a]
+            ok = (q_unit[a] * unit[b]).sum(1) >= cosine
+            yield a[ok], b[ok]
 
 
 def _search(each: DataFrame, size: int, count: int, cosine: float, shards: int | None) -> DataFrame:
@@ -320,9 +353,9 @@ def _search(each: DataFrame, size: int, count: int, cosine: float, shards: int |
                     continue
                 q_ids, _, q = unblock(row, size)
                 label, own, count, edges = ids.copy(), q_ids.copy(), np.zeros(q_ids.size, np.int64), []
-                for i, a, b in _links(g, ids, x, q_ids, q, cosine):
-                    other = ids[b] != q_ids[i + a]
-                    a, b = i + a[other], b[other]
+                for a, b in _links(g, ids, x, q_ids, q, cosine):
+                    other = ids[b] != q_ids[a]
+                    a, b = a[other], b[other]
                     np.add.at(count, a, weight[b])
                     while a.size:  # the least label of a query and its links, until nothing changes
                         low, lower = own.copy(), label.copy()

@@ -304,3 +304,16 @@ def test_queries_with_few_neighbours_are_searched_again(spark):
     frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(900, [1.0, 2.0]), (901, [2.0, 1.0])], "vec_id long, embedding array<float>")
     got = ann.nearest(frame, F.col("vec_id").isin(0, 200, 900), k=30).groupBy("query_id").count().collect()
     assert {r["query_id"]: r["count"] for r in got} == {0: 30, 200: 30, 900: 1}
+
+
+def test_walk_through_a_large_group():
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 24))
+    x[300:] = x[0] + 0.08 * rng.normal(size=(600, 24))  # two thirds are copies of one vector
+    x[:40] = x[40:80] + 0.05 * rng.normal(size=(40, 24))  # and some have one copy
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    graph, ids = near_vectors.Graph(unit), np.arange(900)
+    got = {(int(a), int(b)) for q, n in near_vectors._links(graph, ids, x, ids, x, 0.9) for a, b in zip(q, n) if a != b}
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(unit @ unit.T >= 0.9)) if a != b}
+    assert len(want) > 300_000 and got <= want and len(want - got) <= 0.001 * len(want)
+    assert {p for p in want - got if max(p) < 300} == set()
