@@ -88,24 +88,36 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        # The empty chunk, which stands for the end of a text, always has slot 0 and no ids.
+        self.index: dict[bytes, int] = {b"": 0}
         self.start, self.size, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
-        self.entries = self.used = self.held = 0
+        self.entries, self.used, self.held = 1, 0, 0
 
     def _library(self, texts: list[bytes]) -> list[np.ndarray]:
         got = self.tok.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in got]
 
-    def _lines(self, chunks: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """The ids of chunks without line ends and the number of each one's, many of them joined to a line for the library."""
+    def _lines(self, chunks: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The ids of chunks without line ends and the number of each one's, many of them joined to a line for the library.
+
+        A line that does not come back with one line end between each two chunks is encoded chunk by chunk.
+        """
         ids, sizes = [], []
         for i in range(0, len(chunks), 4096):
             lines = [chunks[j : min(j + 256, i + 4096)] for j in range(i, min(i + 4096, len(chunks)), 256)]
-            for got in self._library([b"\n".join(x) for x in lines]):
+            for line, got in zip(lines, self._library([b"\n".join(x) for x in lines])):
                 ends = got == self.line_end
-                ids.append(got[~ends])
-                sizes.append(np.diff(np.concatenate([[-1], np.flatnonzero(ends), [got.size]])) - 1)
-        return ids, sizes
+                if np.count_nonzero(ends) == len(line) - 1:
+                    ids.append(got[~ends])
+                    sizes.append(np.diff(np.concatenate([[-1], np.flatnonzero(ends), [got.size]])) - 1)
+                else:
+                    each = self._library(line)
+                    ids.extend(each)
+                    sizes.append(np.array([x.size for x in each], np.int64))
+        size = np.concatenate(sizes)
+        if size.size != len(chunks) or int(size.sum()) != sum(x.size for x in ids):
+            raise ValueError(f"{size.size} sizes of {len(chunks)} chunks")
+        return ids, size
 
     def _add(self, ids: list[np.ndarray], size: np.ndarray) -> np.ndarray:
         """Slots of further entries; without keys they are forgotten when ``entries`` and ``used`` are set back."""
@@ -132,8 +144,7 @@ class Encoder:
             c = chunks[i]
             (alone if len(c) > LONGEST_KEPT or i in odd or c.isspace() else short).append(i)
         if short:
-            ids, sizes = self._lines([chunks[i] for i in short])
-            size = np.concatenate(sizes)
+            ids, size = self._lines([chunks[i] for i in short])
             slot[short] = self._add(ids, size)
             self.index.update(zip((chunks[i] for i in short), slot[short].tolist()))
             self.held += 160 * len(short) + sum(map(len, map(chunks.__getitem__, short))) + 4 * int(size.sum())

@@ -1,8 +1,10 @@
 """Token output, packing and pieces against the libraries and exact round trips."""
 
+import copy
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,6 +22,14 @@ def library():
     return Tokenizer.from_file(tokenize.default_path())
 
 
+def fresh(cache):
+    """An encoder that has met nothing; the library's tables are read once."""
+    encode = copy.copy(tokenize.encoder(tokenize.default_path()))
+    encode.cache = cache
+    encode._clear()
+    return encode
+
+
 def truth(library, text):
     return library.encode(text or "", add_special_tokens=False).ids
 
@@ -31,6 +41,31 @@ def test_encoder_equals_library(texts):
     assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == [truth(encode.tok, t) for t in texts]
 
 
+@pytest.mark.parametrize("texts", [["the", "the dog"], ["the cat", "the dog"], ["Hello world", "Hello there"], ["a b", " c"], ["", "", " a"], ["x", "", "x  y\n z"]])
+def test_fresh_encoder(library, texts):
+    encode = tokenize.Encoder(tokenize.default_path())
+    assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == [truth(library, t) for t in texts]
+    ids, sizes = tokenize.Encoder(tokenize.default_path()).encode(pa.array(texts), end=0)
+    assert ids.tolist() == [i for t in texts for i in [*truth(library, t), 0]]
+    assert sizes.tolist() == [len(truth(library, t)) + 1 for t in texts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet=st.sampled_from("ab zé!'\n\t  1s"), max_size=12), max_size=5), max_size=4))
+def test_fresh_encoder_that_forgets(tables):
+    encode = fresh(50)
+    for texts in tables:
+        assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == [truth(encode.tok, t) for t in texts]
+
+
+def test_lines_that_do_not_come_back_whole(library):
+    encode = fresh(1 << 20)
+    chunks = [b"the", b"", b" dog", b"  ", b" x", b"end"]
+    ids, sizes = encode._lines(chunks)
+    assert np.concatenate(ids).tolist() == [i for c in chunks for i in truth(library, c.decode())]
+    assert sizes.tolist() == [len(truth(library, c.decode())) for c in chunks]
+
+
 def test_encoder_with_a_small_cache(library, spark, sf):
     encode = tokenize.Encoder(tokenize.default_path(), cache=50)
     texts = ODD + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").limit(30).collect()]
