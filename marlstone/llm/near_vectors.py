@@ -27,6 +27,8 @@ from marlstone.llm.worker import only
 
 SHARD_ROWS, LEAST_ROWS, SMALL_SHARDS = 65_536, 1_024, 8  # small tables have up to SMALL_SHARDS shards of LEAST_ROWS
 QUERY_ROWS, QUERY_BLOCKS = 8_192, 4
+SHARD_BYTES = 64 << 20  # the doubles of a shard's vectors, whatever their length
+HOT_ROWS, HOT_LIST = 1_024, 10_000  # equal vectors are a hot group from so many rows on; at most HOT_LIST groups are
 LINKS, LINKS_0, SPARE, FEW, NEAR_COPY = 12, 24, 8, 6, 0.8
 BEAM, BUILD_BEAM = 24, 40
 BATCH = 256
@@ -303,7 +305,7 @@ def _links(graph: Graph, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: n
     beam, near = BEAM, cosine - SLACK
     homes = np.concatenate([graph.homes(q32[i : i + BATCH]) for i in range(0, len(q), BATCH)])
     order = np.argsort(homes[:, 0], kind="stable")
-    some = order[:: max(1, len(q) // AUDIT_QUERIES)][:AUDIT_QUERIES]
+    some = order[np.linspace(0, len(q) - 1, min(len(q), AUDIT_QUERIES)).astype(np.int64)]
     true, kind = _audit(graph, q32[some], ids, q_ids[some], cosine)
     while beam < len(x):  # beyond that the beam is the whole shard
         found = [i * len(x) + graph.search(q32[k], homes[k], beam, near) for i in range(0, len(some), BATCH) for k in (some[i : i + BATCH],)]
@@ -325,8 +327,9 @@ def _links(graph: Graph, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: n
 
 def _search(each: DataFrame, size: int, count: int, cosine: float, shards: int | None) -> DataFrame:
     """(a, null, n): the number of links of a vector; (a, b, 0): edges that tie linked vectors together."""
-    parts = shards or max(-(-count // SHARD_ROWS), min(SMALL_SHARDS, -(-count // LEAST_ROWS)))
-    sets = -(-count // QUERY_ROWS)
+    most = max(1, SHARD_BYTES // (8 * size))
+    parts = shards or max(-(-count // min(SHARD_ROWS, most)), min(SMALL_SHARDS, -(-count // LEAST_ROWS)))
+    sets = -(-count // min(QUERY_ROWS, most))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
@@ -375,6 +378,11 @@ def _search(each: DataFrame, size: int, count: int, cosine: float, shards: int |
     return meet(graphs, blocks(each, sets, size), parts, sets, QUERY_BLOCKS).mapInArrow(run, "a long, b long, n long")
 
 
+def _names(v: str) -> list:
+    """Two hashes that stand for a vector, null for none, so that rows find their group without sending vectors."""
+    return [F.when(F.col(v).isNotNull(), F.xxhash64(v)).alias("h1"), F.when(F.col(v).isNotNull(), F.xxhash64(F.lit(1), F.reverse(v), F.lit("vector"))).alias("h2")]
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", vector: str = "embedding", shards: int | None = None) -> DataFrame:
     """Links and components of the vectors with a cosine of ``cosine`` at least.
 
@@ -395,8 +403,17 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", v
     found = saved(found, "links")
     counts = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "rep")
     groups = components(found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "rep")
-    facts = each.select("v", F.col("id").alias("rep"), F.col("extra").alias("weight")).join(counts, "rep", "left").join(groups, "rep", "left")
-    out = rows.join(facts, "v", "left").select(
+    facts = each.select(*_names("v"), F.col("id").alias("rep"), F.col("extra").alias("weight")).join(counts, "rep", "left").join(groups, "rep", "left")
+    own = rows.select("id", *_names("v"))
+    on = ["h1", "h2"]
+    total = each.agg(F.coalesce(F.sum("extra"), F.lit(0))).first()[0]
+    hot = [(r["h1"], r["h2"], r["parts"]) for r in each.filter(F.col("extra") > max(HOT_ROWS, total // HOT_LIST)).select(*_names("v"), F.ceil(F.col("extra") / HOT_ROWS).alias("parts")).collect()]
+    if hot:  # the rows of a hot group are dealt out, and its facts sent to each part
+        dealt = F.broadcast(vectors.sparkSession.createDataFrame(hot, "h1 long, h2 long, parts long"))
+        own = own.join(dealt, on, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), "parts"), F.lit(0))).drop("parts")
+        facts = facts.join(dealt, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        on = [*on, "salt"]
+    out = own.join(facts, on, "left").select(
         F.col("id").alias(key),
         (F.coalesce("links", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).cast("long").alias("n_links"),
         F.coalesce("component", "rep", "id").alias("component_id"),

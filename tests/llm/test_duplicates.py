@@ -243,6 +243,32 @@ def test_pairs_beside_a_large_family(spark):
     assert {r["vec_id"]: r["n_links"] for r in near_vectors.near_vectors(table(spark, x), shards=1).collect() if r["vec_id"] < 9000} == want
 
 
+@pytest.mark.parametrize("count", [1_025, 2_047, 8_191])
+def test_no_query_is_left_unaudited(spark, count):
+    rng = np.random.default_rng(count)
+    a = rng.normal(size=(count // 3, 24))
+    x = np.concatenate([a, a + 0.3 * rng.normal(size=a.shape), rng.normal(size=(count - 2 * len(a), 24))])
+    x = x[rng.permutation(count)].astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = dict(enumerate(((u @ u.T >= 0.9).sum(1) - 1).tolist()))
+    got = near_vectors.near_vectors(spark.createDataFrame(enumerate(x.tolist()), "vec_id long, embedding array<float>"), shards=1)
+    assert {r["vec_id"]: r["n_links"] for r in got.collect()} == want
+
+
+def test_hot_vectors_and_shards_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "HOT_ROWS", 8)
+    monkeypatch.setattr(near_vectors, "HOT_LIST", 1_000)
+    monkeypatch.setattr(near_vectors, "SHARD_BYTES", 8 * 4 * 16)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 4)).astype(np.float32).tolist()
+    rows = [*enumerate(x), *((100 + i, x[3]) for i in range(50)), *((200 + i, x[9]) for i in range(20)), (300, None), (301, [0.0] * 4), (302, [-0.0, 1.0, 0.0, 0.0]), (303, [0.0, 1.0, -0.0, 0.0])]
+    u = {k: np.array(v, float) / np.linalg.norm(v) for k, v in rows if v and any(v)}
+    links = {k: {j for j in u if j != k and u[j] @ u[k] >= 0.9} if k in u else set() for k, _ in rows}
+    got = {r["vec_id"]: r for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert {k: r["n_links"] for k, r in got.items()} == {k: len(v) for k, v in links.items()}
+    assert got[100]["component_id"] == got[3]["component_id"] and got[300]["kept"] and got[301]["kept"]
+
+
 def test_near_vectors_edges(spark):
     empty = table(spark, vectors(60)).limit(0)
     assert near_vectors.near_vectors(empty).collect() == []
