@@ -10,6 +10,8 @@ from marlstone.llm.language_id import op9_language_id
 from marlstone.llm.near_vectors import op4_near_vectors
 from marlstone.llm.ngram_join import op2_ngram_join
 from marlstone.llm.packing import op8_packing
+from marlstone.llm.periodic_runs import SQL as PERIODIC_SQL
+from marlstone.llm.periodic_runs import op12_periodic_runs
 from marlstone.llm.pieces import op7_pieces
 from marlstone.llm.quality import op1_quality
 from marlstone.llm.suffix_dedup import op10_suffix_dedup
@@ -26,11 +28,13 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
     "pipeline": pipeline,
 }
 REACH = "r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a, MIN(b) AS m FROM r GROUP BY a)"
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_periodic_runs": PERIODIC_SQL,
     "op2_ngram_join": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

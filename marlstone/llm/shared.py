@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -48,7 +48,7 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def with_fields(df: DataFrame, **fields: str) -> StructType:
+def with_fields(df: DataFrame, **fields: str | DataType) -> StructType:
     """The schema of ``df`` with further fields."""
     out = StructType(list(df.schema.fields))
     for name, kind in fields.items():
