@@ -5,6 +5,8 @@ from __future__ import annotations
 from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
 from corpus_pipeline import run as pipeline
 from marlstone.llm.ann import op5_nearest
+from marlstone.llm.curriculum import SQL as CURRICULUM_SQL
+from marlstone.llm.curriculum import op13_curriculum
 from marlstone.llm.html_text import op6_html_text
 from marlstone.llm.language_id import op9_language_id
 from marlstone.llm.near_vectors import op4_near_vectors
@@ -29,11 +31,13 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_curriculum": op13_curriculum,
     "pipeline": pipeline,
 }
 REACH = "r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a, MIN(b) AS m FROM r GROUP BY a)"
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_curriculum": CURRICULUM_SQL,
     "op12_periodic_runs": PERIODIC_SQL,
     "op2_ngram_join": rf"""
 WITH RECURSIVE w AS (
