@@ -5,6 +5,8 @@ from __future__ import annotations
 from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
 from corpus_pipeline import run as pipeline
 from marlstone.llm.ann import op5_nearest
+from marlstone.llm.collocations import SQL as COLLOCATION_SQL
+from marlstone.llm.collocations import op11_collocations
 from marlstone.llm.curriculum import SQL as CURRICULUM_SQL
 from marlstone.llm.curriculum import op13_curriculum
 from marlstone.llm.html_text import op6_html_text
@@ -30,6 +32,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_collocations": op11_collocations,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_curriculum": op13_curriculum,
     "pipeline": pipeline,
@@ -37,8 +40,9 @@ QUERIES = {
 REACH = "r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a, MIN(b) AS m FROM r GROUP BY a)"
 
 ORACLE_SQL: dict[str, str] = {
-    "op13_curriculum": CURRICULUM_SQL,
+    "op11_collocations": COLLOCATION_SQL,
     "op12_periodic_runs": PERIODIC_SQL,
+    "op13_curriculum": CURRICULUM_SQL,
     "op2_ngram_join": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
