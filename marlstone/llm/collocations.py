@@ -27,7 +27,7 @@ from marlstone.llm.worker import only
 
 LEAST, LONGEST, TOP, SUBSUMED = 10, 3, 2_000, 50
 UNKNOWN = "und"
-CHUNK_BYTES, HELD_BYTES = 4 << 20, 32 << 20
+CHUNK_BYTES, HELD_BYTES = 2 << 20, 16 << 20
 LEAST_BITS, BLOCK_BITS = 20, 20
 HOT_SHARE = 1_000  # phrases with more than one in so many words are hot; no more than so many of each length can be
 RANK_SALTS = 64
@@ -154,6 +154,12 @@ def _unit(least: int) -> int:
     return -(-least // COUNT_LIMIT)
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch, one at a time, for its texts are large."""
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in batch.columns)
+
+
 def _touched(longest: int, bits: int, least: int):
     """Chunks as the cells that they touch: one row (block, chunk, cells) for each block of the sketch."""
     unit = _unit(least)
@@ -161,7 +167,7 @@ def _touched(longest: int, bits: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("words")
         for batch in batches:
-            for lang, chunk, skip, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for lang, chunk, skip, raw in _each(batch):
                 g = Grams(lang, raw, skip, longest)
                 count = np.minimum(-(-g.count // unit), COUNT_LIMIT).astype(np.uint64)
                 for row in range(len(_ROWS)):
@@ -193,7 +199,7 @@ def _merged(least: int):
         only("words")
         now, chunks, raw = None, [], []
         for batch in batches:
-            for block, chunk, cells in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for block, chunk, cells in _each(batch):
                 if block != now and chunks:
                     yield answer(now, chunks, raw)
                     chunks, raw = [], []
@@ -232,7 +238,7 @@ def _survivors(longest: int, bits: int):
         only("words")
         chunk, answers = None, []
         for batch in batches:
-            for lang, skip, raw, bits_ in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for lang, skip, raw, bits_ in _each(batch):
                 if raw is not None:
                     if chunk:
                         yield from emit(*chunk, answers)
