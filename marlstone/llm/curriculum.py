@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.shared import saved
 
 WORD = r"([^\x20\x09-\x0D]+)"
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_000
 Shape = Sequence[tuple[float, float]]
 # (time, weight): a source that fades, one that grows and one that is even, with integrals 5, 2 and 1.
 SHAPES: tuple[Shape, ...] = (((0.0, 7.5), (1.0, 2.5)), ((0.0, 1.0), (1.0, 3.0)), ((0.0, 1.0), (1.0, 1.0)))
