@@ -1,6 +1,6 @@
 """Phrases whose words keep company, found by count-min sketches and one exact count of the phrases that these let through.
 
-Texts are dealt into chunks of a few MiB of one language. First pass: each chunk counts its n-grams and adds them to
+Texts are dealt into compressed chunks of a MiB of one language. First pass: each chunk counts its n-grams and adds them to
 the cells of a count-min sketch of two rows. The sketch grows with the corpus, so that a cell holds few n-grams
 whatever the size; it is cut into blocks, and the cells that chunks touch are sent to the task that merges a block.
 Each chunk gets back one bit for each cell it touched: whether the cell reached the least count. A cell counts all
@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from marlstone.llm.worker import only
 
 LEAST, LONGEST, TOP, SUBSUMED = 10, 3, 2_000, 50
 UNKNOWN = "und"
-CHUNK_BYTES, HELD_BYTES = 2 << 20, 16 << 20
+CHUNK_BYTES, HELD_BYTES = 1 << 20, 16 << 20
 LEAST_BITS, BLOCK_BITS = 20, 20
 HOT_SHARE = 1_000  # phrases with more than one in so many words are hot; no more than so many of each length can be
 RANK_SALTS = 64
@@ -66,7 +67,7 @@ def _chunks(longest: int, limit: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("words")
-        task, made = TaskContext.get().partitionId() << 32, 0
+        task, made, compress = TaskContext.get().partitionId() << 32, 0, zstandard.ZstdCompressor(level=1).compress
         held: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
 
@@ -74,7 +75,8 @@ def _chunks(longest: int, limit: int):
             nonlocal made
             made += 1
             words = spans(_INSIDE[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]))[0].size - skip
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((lang, task + made, words, skip, raw), _CHUNKS.types)], schema=_CHUNKS)
+            packed = compress(raw)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((lang, task + made, words, skip, packed), _CHUNKS.types)], schema=_CHUNKS)
 
         for whole in batches:
             for b in text_slices(whole, 1):
@@ -168,7 +170,7 @@ def _touched(longest: int, bits: int, least: int):
         only("words")
         for batch in batches:
             for lang, chunk, skip, raw in _each(batch):
-                g = Grams(lang, raw, skip, longest)
+                g = Grams(lang, zstandard.decompress(raw), skip, longest)
                 count = np.minimum(-(-g.count // unit), COUNT_LIMIT).astype(np.uint64)
                 for row in range(len(_ROWS)):
                     both = np.sort(g.cells(row, bits) << np.uint64(8) | count)
@@ -216,7 +218,7 @@ def _survivors(longest: int, bits: int):
     """Each chunk followed by its answers, as (lang, size, phrase, n) of its n-grams whose cells all reached the least count."""
 
     def emit(lang: str, raw: bytes, skip: int, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
-        g = Grams(lang, raw, skip, longest)
+        g = Grams(lang, zstandard.decompress(raw), skip, longest)
         keep = g.count > 0
         given = iter(answers)
         for row in range(len(_ROWS)):
