@@ -30,8 +30,9 @@ LEAST, LONGEST, TOP, SUBSUMED = 10, 3, 2_000, 50
 UNKNOWN = "und"
 CHUNK_BYTES, HELD_BYTES = 1 << 20, 16 << 20
 LEAST_BITS, BLOCK_BITS = 20, 20
-HOT_SHARE = 1_000  # phrases with more than one in so many words are hot; no more than so many of each length can be
-RANK_SALTS = 64
+HOT_SHARE = 100_000  # phrases with more than one in so many words are hot; no more than so many of each length can be
+FOUND_ROWS, BUCKET_WORDS = 400_000, 1 << 20
+RANK_SALTS = (512, 8, 1)
 COUNT_LIMIT = 255
 _ROWS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -141,13 +142,14 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _pack(place: np.ndarray, count: np.ndarray) -> bytes:
-    """Rising places below 2^24 as byte planes of their differences, and counts."""
+    """Rising places below 2^24 as byte planes of their differences, and counts, compressed."""
     d = np.diff(place, prepend=np.uint64(0))
-    return b"".join((d >> np.uint64(s) & np.uint64(255)).astype(np.uint8).tobytes() for s in (0, 8, 16)) + count.astype(np.uint8).tobytes()
+    planes = [(d >> np.uint64(s) & np.uint64(255)).astype(np.uint8) for s in (0, 8, 16)]
+    return zstandard.compress(np.concatenate([*planes, count.astype(np.uint8)]).tobytes(), 1)
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    low, mid, high, count = np.frombuffer(raw, np.uint8).reshape(4, -1).astype(np.int64)
+    low, mid, high, count = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).astype(np.int64)
     return np.cumsum(low | mid << 8 | high << 16), count
 
 
@@ -214,41 +216,107 @@ def _merged(least: int):
     return run
 
 
-def _survivors(longest: int, bits: int):
-    """Each chunk followed by its answers, as (lang, size, phrase, n) of its n-grams whose cells all reached the least count."""
-
-    def emit(lang: str, raw: bytes, skip: int, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
-        g = Grams(lang, zstandard.decompress(raw), skip, longest)
-        keep = g.count > 0
-        given = iter(answers)
-        for row in range(len(_ROWS)):
-            cell = g.cells(row, bits)
-            order = np.argsort(cell)
-            sizes = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(cell[order] >> np.uint64(BLOCK_BITS))) + 1, [cell.size]])) if cell.size else []
-            for at, n in zip(np.cumsum(sizes) - sizes, sizes):
-                keep[order[at : at + n]] &= np.unpackbits(np.frombuffer(next(given), np.uint8), count=int(n)).astype(bool)
-        vocabulary, at = g.vocabulary.cast(pa.string()), 0
-        for k, (words, counts) in enumerate(zip(g.words, g.counts), 1):
-            own = np.flatnonzero(keep[at : at + counts.size])
-            at += counts.size
-            parts = [vocabulary.take(pa.array(words[own, i])) for i in range(k)]
-            phrase = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
-            cols = [pa.array([lang] * own.size, pa.string()), pa.array(np.full(own.size, k, np.int32)), phrase, pa.array(counts[own].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, ["lang", "size", "phrase", "n"])
+def _kept(g: Grams, bits: int, answers: list[bytes]) -> np.ndarray:
+    """Whether all cells of each n-gram reached the least count."""
+    keep = g.count > 0
+    given = iter(answers)
+    for row in range(len(_ROWS)):
+        cell = g.cells(row, bits)
+        order = np.argsort(cell)
+        sizes = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(cell[order] >> np.uint64(BLOCK_BITS))) + 1, [cell.size]])) if cell.size else []
+        for at, n in zip(np.cumsum(sizes) - sizes, sizes):
+            keep[order[at : at + n]] &= np.unpackbits(np.frombuffer(next(given), np.uint8), count=int(n)).astype(bool)
+    return keep
+
+
+def _phrases(g: Grams, keep: np.ndarray) -> pa.Table:
+    vocabulary, at, out = g.vocabulary.cast(pa.string()), 0, []
+    for k, (words, counts) in enumerate(zip(g.words, g.counts), 1):
+        own = np.flatnonzero(keep[at : at + counts.size])
+        parts = [vocabulary.take(pa.array(words[own, i])) for i in range(k)]
+        phrase = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
+        out.append(pa.table({"phrase": phrase, "hash": pa.array(g.hash[at + own]), "n": pa.array(counts[own].astype(np.int64))}))
+        at += counts.size
+    return pa.concat_tables(out)
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by(["phrase", "hash"]).aggregate([("n", "sum")]).rename_columns(["phrase", "hash", "n"])
+
+
+def _survivors(longest: int, bits: int, buckets: int):
+    """Each chunk followed by its answers, as the counts of its n-grams whose cells all reached the least count.
+
+    The counts of a task's chunks are added up; rows (lang, bucket, phrases, counts) hold sorted phrases, compressed.
+    """
+
+    def emit(lang: str, found: pa.Table) -> pa.RecordBatch:
+        found = found.sort_by("phrase")
+        bucket = (found.column("hash").to_numpy() % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        keys, first = np.unique(bucket[order], return_index=True)
+        phrases, n, ends = found.column("phrase").combine_chunks(), found.column("n").to_numpy(), [*first[1:].tolist(), order.size]
+        cols: list[list] = [[], []]
+        for a, z in zip(first.tolist(), ends):
+            cols[0].append(zstandard.compress("\n".join(phrases.take(pa.array(order[a:z])).to_pylist()).encode(), 3))
+            cols[1].append(zstandard.compress(n[order[a:z]].astype("<i8").tobytes(), 3))
+        return pa.RecordBatch.from_arrays([pa.array([lang] * keys.size, pa.string()), pa.array(keys), *(pa.array(c, pa.binary()) for c in cols)], ["lang", "bucket", "phrases", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("words")
-        chunk, answers = None, []
+        chunk, answers, held = None, [], {}
+
+        def add() -> Iterator[pa.RecordBatch]:
+            lang, raw, skip = chunk
+            g = Grams(lang, zstandard.decompress(raw), skip, longest)
+            tables = held.setdefault(lang, [])
+            tables.append(_phrases(g, _kept(g, bits, answers)))
+            if sum(t.num_rows for x in held.values() for t in x) > FOUND_ROWS:
+                for x in held.values():
+                    x[:] = [_summed(x)]
+                while 2 * sum(x[0].num_rows for x in held.values()) > FOUND_ROWS:
+                    most = max(held, key=lambda x: held[x][0].num_rows)
+                    yield emit(most, held.pop(most)[0])
+
         for batch in batches:
-            for lang, skip, raw, bits_ in _each(batch):
-                if raw is not None:
-                    if chunk:
-                        yield from emit(*chunk, answers)
-                    chunk, answers = (lang, raw, skip), []
-                else:
-                    answers.append(bits_)
+            for lang, skip, raw, given in _each(batch):
+                if raw is None:
+                    answers.append(given)
+                    continue
+                if chunk:
+                    yield from add()
+                chunk, answers = (lang, raw, skip), []
         if chunk:
-            yield from emit(*chunk, answers)
+            yield from add()
+        for lang, tables in held.items():
+            yield emit(lang, _summed(tables))
+
+    return run
+
+
+def _exact(least: int):
+    """Rows (lang, bucket, phrases, counts) in the order of lang and bucket, added up to those found often enough."""
+
+    def total(lang: str, tables: list[pa.Table]) -> pa.RecordBatch:
+        t = pa.concat_tables(tables).group_by("phrase").aggregate([("n", "sum")])
+        t = t.filter(pc.greater_equal(t.column("n_sum"), least))
+        phrase = t.column("phrase").combine_chunks()
+        size = pc.add(pc.count_substring(phrase, " "), 1).cast(pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([lang] * t.num_rows, pa.string()), size, phrase, t.column("n_sum").combine_chunks()], ["lang", "size", "phrase", "f"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("words")
+        now, tables = None, []
+        for batch in batches:
+            for lang, bucket, phrases, counts in _each(batch):
+                if (lang, bucket) != now and tables:
+                    yield total(now[0], tables)
+                    tables = []
+                now, n = (lang, bucket), np.frombuffer(zstandard.decompress(counts), "<i8")
+                if n.size:
+                    tables.append(pa.table({"phrase": pa.array(zstandard.decompress(phrases).decode().split("\n"), pa.string()), "n": pa.array(n)}))
+        if tables:
+            yield total(now[0], tables)
 
     return run
 
@@ -257,7 +325,8 @@ def frequent(docs: DataFrame, least: int, longest: int, lang: str, text: str, ch
     """Exact counts ``f`` of all n-grams of up to ``longest`` words found ``least`` times (lang, size, phrase), and words ``n`` by lang."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).cast("string").alias("text"))
     chunks = saved(rows.mapInArrow(_chunks(longest, chunk_bytes), CHUNKS), "chunks")
-    bits = max(LEAST_BITS, (chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).bit_length())
+    total = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits, buckets = max(LEAST_BITS, total.bit_length()), max(64, -(-total // BUCKET_WORDS))
     cells = chunks.select("lang", "chunk", "skip", "text").mapInArrow(_touched(longest, bits, least), "block long, chunk long, cells binary")
     cells = cells.repartition("block").sortWithinPartitions("block", "chunk")
     answers = cells.mapInArrow(_merged(least), "chunk long, block long, bits binary")
@@ -265,16 +334,18 @@ def frequent(docs: DataFrame, least: int, longest: int, lang: str, text: str, ch
     each = chunks.select("chunk", F.lit(-1).cast("long").alias("block"), "lang", "skip", "text", F.lit(None).cast("binary").alias("bits"))
     given = answers.select("chunk", "block", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("int").alias("skip"), F.lit(None).cast("binary").alias("text"), "bits")
     met = each.unionByName(given).repartition("chunk").sortWithinPartitions("chunk", "block").select("lang", "skip", "text", "bits")
-    found = met.mapInArrow(_survivors(longest, bits), "lang string, size int, phrase string, n long")
-    found = found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    found = met.mapInArrow(_survivors(longest, bits, buckets), "lang string, bucket long, phrases binary, counts binary")
+    found = found.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(_exact(least), "lang string, size int, phrase string, f long")
     return saved(found, "counts"), chunks.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def _counted(rows: DataFrame, part: str, counts: DataFrame, hot: DataFrame, out: str) -> DataFrame:
-    """``rows`` with the count of their ``part``; hot phrases, which are few, do not take part in the shuffle."""
-    few = F.broadcast(hot.select("lang", F.col("phrase").alias(part), F.col("f").alias(out)))
-    all_ = counts.select("lang", F.col("phrase").alias(part), F.col("f").alias(out))
-    return rows.join(few, ["lang", part]).unionByName(rows.join(few.select("lang", part), ["lang", part], "left_anti").join(all_, ["lang", part]))
+def _counted(rows: DataFrame, part, counts: DataFrame, hot: DataFrame, out: str) -> DataFrame:
+    """``rows`` with the count of a part of their phrase; hot parts, which are few, do not take part in the shuffle."""
+    few = F.broadcast(hot.select("lang", F.col("phrase").alias("part"), F.col("f").alias("few")))
+    all_ = counts.select("lang", F.col("phrase").alias("part"), F.col("f").alias(out))
+    met = rows.withColumn("part", part).join(few, ["lang", "part"], "left")
+    done = met.filter("few IS NOT NULL").select(*rows.columns, F.col("few").alias(out))
+    return done.unionByName(met.filter("few IS NULL").select(*rows.columns, "part").join(all_, ["lang", "part"]).select(*rows.columns, out))
 
 
 def collocations(
@@ -296,21 +367,21 @@ def collocations(
     total = n.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = counts.filter((F.col("size") < longest) & (F.col("f") * HOT_SHARE > total))  # fewer than HOT_SHARE of each length
     own = counts.filter("size > 1").select("lang", "phrase", "size", F.col("f").alias("a"))
-    words = F.split("phrase", " ")
+    inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("size") - m + 1), lambda i: F.array_join(F.slice(F.split("phrase", " "), i, m), " "))))
+    longer = own.filter("size > 2").select("lang", "a", F.explode(inner).alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
+    own = own.join(longer, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * subsumed)).drop("longer")
     cuts = own.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
-    cuts = cuts.withColumn("left", F.array_join(F.slice(words, F.lit(1), F.col("k")), " ")).withColumn("right", F.array_join(F.slice(words, F.col("k") + 1, F.col("size")), " "))
-    cuts = _counted(_counted(cuts, "left", counts, hot, "l"), "right", counts, hot, "r")
+    words = F.split("phrase", " ")
+    cuts = _counted(cuts, F.array_join(F.slice(words, F.lit(1), F.col("k")), " "), counts, hot, "l")
+    cuts = _counted(cuts, F.array_join(F.slice(words, F.col("k") + 1, F.col("size")), " "), counts, hot, "r")
     exact = "CAST((CAST(1000000 AS DECIMAL(38,0)) * CAST(a AS DECIMAL(19,0)) * CAST(a AS DECIMAL(19,0))) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0))) AS LONG)"
     scored = cuts.withColumn("score", F.expr(exact)).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
 
-    inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("size") - m + 1), lambda i: F.array_join(F.slice(words, i, m), " "))))
-    longer = own.filter("size > 2").select("lang", "a", F.explode(inner).alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    kept = scored.join(longer, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * subsumed))
     best = [F.desc("cut.score"), F.desc("a"), F.asc("phrase")]
-    some = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(RANK_SALTS)))
-    some = some.withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*best))).filter(F.col("place") <= top)
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).filter(F.col("rank") <= top)
-    return ranked.join(n, "lang").select("lang", "rank", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
+    for salts in RANK_SALTS:  # the best of parts of a language, then of fewer, so that no task sorts a whole one
+        parts = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(salts))).orderBy(*best)
+        scored = scored.withColumn("rank", F.row_number().over(parts).cast("long")).filter(F.col("rank") <= top)
+    return scored.join(n, "lang").select("lang", "rank", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
 
 
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
