@@ -51,17 +51,17 @@ def ngram_buckets(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, length
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS, where: Column | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS, where: Column | None = None, key: str = "doc_id") -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, their log-probability matrix (buckets x languages) and log priors from at most ``fit_rows`` labelled rows.
 
-    Rows are sampled by the hash of their text at the rate that the labelled rows allow. Rows without
+    Rows are sampled by the hash of their key and text at the rate that the labelled rows allow. Rows without
     text or language are no examples; without any example there is no language and nothing can be told.
     More than ``MAX_LANGUAGES`` languages are an error, for the matrix is broadcast.
     """
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), (F.lit(True) if where is None else where).alias("ok"))
+    rows = docs.select(F.xxhash64(key, text).alias("h"), F.col(text).alias("text"), F.col(lang).alias("lang"), (F.lit(True) if where is None else where).alias("ok"))
     rows = rows.filter("ok AND lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
     rate = min(1.0, fit_rows / max(1, rows.count()))
-    rows = rows.filter((F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < rate * 1_000_003)).select("text", "lang")
+    rows = rows.filter((F.pmod("h", F.lit(1_000_003)) < rate * 1_000_003)).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -84,12 +84,17 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", fit_rows: int =
     sums = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     if rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    got = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))  # a row for each language, BUCKETS cells at most
-    table = {r["lang"]: r["cells"] for r in got.collect()}
-    langs = sorted(table)
+
+    def packed(cells: pa.Table) -> pa.Table:
+        n = np.zeros(BUCKETS + 1, np.int64)
+        n[cells.column("bucket").to_numpy()] = cells.column("n").to_numpy()
+        return pa.table({"lang": cells.column("lang")[:1], "cells": pa.array([n.tobytes()], pa.binary())})
+
+    got = sums.groupBy("lang").applyInArrow(packed, "lang string, cells binary").collect()  # BUCKETS numbers a language
+    langs = sorted(r["lang"] for r in got)
     counts = np.ones((BUCKETS + 1, len(langs)))
-    for j, g in enumerate(langs):
-        np.add.at(counts[:, j], [x["bucket"] for x in table[g]], [x["n"] for x in table[g]])
+    for r in got:
+        counts[:, langs.index(r["lang"])] += np.frombuffer(r["cells"], np.int64)
     grams, examples = counts[:-1], counts[-1]
     return langs, np.log(grams / grams.sum(0, keepdims=True)).astype(np.float32), np.log(examples / max(1.0, examples.sum()))
 

@@ -14,11 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from marlstone.llm.codepoints import codes, groups
 from marlstone.llm.language_id import fold
-from marlstone.llm.shared import slices, with_fields
+from marlstone.llm.shared import saved, slices, with_fields
 from marlstone.llm.worker import only
 
 PASSAGE = 512
@@ -152,6 +151,8 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", where: Column | None = None, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model:
     """A model from labelled documents in the order of a hash of their keys, as many as ``fit_rows`` and ``fit_bytes`` of features allow.
 
+    The sizes of features are known from the lengths of texts; a document that does not fit is left out, those behind it are not.
+
     A document with several labels counts as 1 only if all are 1, and one with several texts as the first in
     their order; null keys and labels are no examples. Features are kept in 16 bits. Without
     examples of both labels the model gives 0.5 plus or minus nothing it has learned: it stays untrained.
@@ -162,7 +163,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         some = some.filter(where)
     some = some.groupBy("key").agg(F.min("y").alias("y")).orderBy(F.xxhash64("key"), "key").limit(fit_rows)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(some), "key")  # fit_rows rows at most
-    rows = rows.groupBy("key", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = saved(rows.groupBy("key", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "examples")
+    cost = F.greatest(F.lit(1), F.ceil(F.length("text") / PASSAGE)) * (2 * FEATURES)
+    chosen, bytes_ = [], 0
+    for r in rows.select("key", F.xxhash64("key").alias("h"), cost.alias("bytes")).orderBy("h", "key").collect():  # fit_rows rows at most
+        if bytes_ + r["bytes"] <= fit_bytes:
+            chosen.append((r["key"],))
+            bytes_ += r["bytes"]
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, rows.select("key").schema)), "key").select("key", "y", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -174,9 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int64()), pa.array([np.concatenate(held[i]).tobytes() for i in range(b.num_rows)], pa.binary())], ["key", "y", "x"])
 
     rows = rows.mapInArrow(encode, "key long, y long, x binary")
-    # At most fit_rows rows are numbered.
-    so_far = F.sum(F.octet_length("x")).over(Window.orderBy(F.xxhash64("key"), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    got = sorted(rows.withColumn("bytes", so_far).filter(F.col("bytes") <= fit_bytes).select("key", "y", "x").collect(), key=lambda r: r["key"])
+    got = sorted(rows.collect(), key=lambda r: r["key"])  # fit_bytes at most
     if len({r["y"] for r in got}) < 2:
         model = Model(np.zeros(FEATURES, np.float32), np.ones(FEATURES, np.float32))
         model.p["c"][:] = 0

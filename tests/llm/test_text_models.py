@@ -38,6 +38,13 @@ def test_language_is_multinomial_naive_bayes():
     assert language_id.predict_texts(["x"], langs, matrix, np.log([1e-9, 1]))[0] == ["b"] and language_id.predict_texts(["x"], langs, matrix, np.log([1, 1e-9]))[0] == ["a"]
 
 
+def test_copies_of_a_text_are_sampled_by_key(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "one text in most rows", "en") for k in range(4_000)] + [(5_000 + k, f"rare {k}", "xx") for k in range(40)], "doc_id long, text string, lang string")
+    langs, _, prior = language_id.fit(docs, fit_rows=400)
+    assert "en" in langs
+    assert 0.9 < np.exp(prior[langs.index("en")]) <= 1
+
+
 def test_language_bounds(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "word", f"l{i % 3}") for i in range(12)], "doc_id long, text string, lang string")
     assert np.allclose(np.exp(language_id.fit(docs)[2]), 1 / 3)
@@ -92,6 +99,24 @@ def test_training_lowers_the_loss():
     assert loss() < 0.6 * before
 
 
+def test_documents_that_do_not_fit_are_left_out(spark):
+    texts = [("word and more. " * (40_000 if k % 7 == 0 else 40), 1) if k % 2 else ("Bad!! BAD!! | * " * 40, 0) for k in range(1, 60)]
+    docs = spark.createDataFrame([(k, t, "x", "y") for k, (t, _) in enumerate(texts)], ROWS)
+    labels = spark.createDataFrame([(k, y) for k, (_, y) in enumerate(texts)], "doc_id long, quality int")
+    seen = []
+
+    class Watched(quality.Model):
+        def train(self, x, of, y, **more):
+            seen.append((x.nbytes // 2, sorted(y.tolist())))
+
+    was, quality.Model = quality.Model, Watched
+    try:
+        quality.fit(docs, labels, fit_bytes=100_000)
+    finally:
+        quality.Model = was
+    assert seen[0][0] <= 100_000 and len(seen[0][1]) == sum(len(t) < 100_000 for t, _ in texts) and set(seen[0][1]) == {0, 1}
+
+
 def test_a_long_text_is_one_bag(spark):
     long = "word and more. " * 160_000  # several groups of passages
     docs = spark.createDataFrame([(1, long, "x", "y"), (2, "Bad!! " * 90, None, None), (3, None, None, None)], ROWS)
