@@ -54,11 +54,11 @@ def ngram_buckets(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS, where: Column | None = None, key: str = "doc_id") -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, their log-probability matrix (buckets x languages) and log priors from at most ``fit_rows`` labelled rows.
 
-    Rows are sampled by the hash of their key and text at the rate that the labelled rows allow. Rows without
+    Rows are sampled by the hash of their text and, if there is one, key at the rate that the labelled rows allow. Rows without
     text or language are no examples; without any example there is no language and nothing can be told.
     More than ``MAX_LANGUAGES`` languages are an error, for the matrix is broadcast.
     """
-    rows = docs.select(F.xxhash64(key, text).alias("h"), F.col(text).alias("text"), F.col(lang).alias("lang"), (F.lit(True) if where is None else where).alias("ok"))
+    rows = docs.select(F.xxhash64(*([key] if key in docs.columns else []), text).alias("h"), F.col(text).alias("text"), F.col(lang).alias("lang"), (F.lit(True) if where is None else where).alias("ok"))
     rows = rows.filter("ok AND lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
     rate = min(1.0, fit_rows / max(1, rows.count()))
     rows = rows.filter((F.pmod("h", F.lit(1_000_003)) < rate * 1_000_003)).select("text", "lang")
