@@ -29,7 +29,7 @@ from marlstone.llm.worker import only
 LEAST, LONGEST, TOP, SUBSUMED = 10, 3, 2_000, 50
 UNKNOWN = "und"
 CHUNK_BYTES, HELD_BYTES = 1 << 20, 16 << 20
-LEAST_BITS, BLOCK_BITS = 20, 20
+BLOCK_BITS, CELL_WORDS, TASK_WORDS = 20, 2, 8 << 20  # a cell of each row for so many words; words of a task of the second pass
 HOT_SHARE = 100_000  # phrases with more than one in so many words are hot; no more than so many of each length can be
 FOUND_ROWS, BUCKET_WORDS = 400_000, 1 << 20
 RANK_SALTS = (512, 8, 1)
@@ -131,8 +131,11 @@ class Grams:
         self.hash = np.concatenate(hashes)
         self.count = np.concatenate(self.counts)
 
-    def cells(self, row: int, bits: int) -> np.ndarray:
-        return (self.hash * _ROWS[row]) >> np.uint64(64 - bits)
+    def cells(self, row: int, blocks: int) -> np.ndarray:
+        """The cell of each n-gram in a row of the sketch: its block, then its place in the block."""
+        x = self.hash * _ROWS[row]
+        block = (x >> np.uint64(8) & np.uint64(0xFFFFFFFF)) % np.uint64(blocks)
+        return block << np.uint64(BLOCK_BITS) | x >> np.uint64(64 - BLOCK_BITS)
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -164,7 +167,7 @@ def _each(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield tuple(c[i].as_py() for c in batch.columns)
 
 
-def _touched(longest: int, bits: int, least: int):
+def _touched(longest: int, blocks: int, least: int):
     """Chunks as the cells that they touch: one row (block, chunk, cells) for each block of the sketch."""
     unit = _unit(least)
 
@@ -175,7 +178,7 @@ def _touched(longest: int, bits: int, least: int):
                 g = Grams(lang, zstandard.decompress(raw), skip, longest)
                 count = np.minimum(-(-g.count // unit), COUNT_LIMIT).astype(np.uint64)
                 for row in range(len(_ROWS)):
-                    both = np.sort(g.cells(row, bits) << np.uint64(8) | count)
+                    both = np.sort(g.cells(row, blocks) << np.uint64(8) | count)
                     cell = both >> np.uint64(8)
                     block = cell >> np.uint64(BLOCK_BITS)
                     edge = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [cell.size]]).tolist() if cell.size else [0]
@@ -216,12 +219,12 @@ def _merged(least: int):
     return run
 
 
-def _kept(g: Grams, bits: int, answers: list[bytes]) -> np.ndarray:
+def _kept(g: Grams, blocks: int, answers: list[bytes]) -> np.ndarray:
     """Whether all cells of each n-gram reached the least count."""
     keep = g.count > 0
     given = iter(answers)
     for row in range(len(_ROWS)):
-        cell = g.cells(row, bits)
+        cell = g.cells(row, blocks)
         order = np.argsort(cell)
         sizes = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(cell[order] >> np.uint64(BLOCK_BITS))) + 1, [cell.size]])) if cell.size else []
         for at, n in zip(np.cumsum(sizes) - sizes, sizes):
@@ -244,7 +247,7 @@ def _summed(tables: list[pa.Table]) -> pa.Table:
     return pa.concat_tables(tables).group_by(["phrase", "hash"]).aggregate([("n", "sum")]).rename_columns(["phrase", "hash", "n"])
 
 
-def _survivors(longest: int, bits: int, buckets: int):
+def _survivors(longest: int, blocks: int, buckets: int):
     """Each chunk followed by its answers, as the counts of its n-grams whose cells all reached the least count.
 
     The counts of a task's chunks are added up; rows (lang, bucket, phrases, counts) hold sorted phrases, compressed.
@@ -270,7 +273,7 @@ def _survivors(longest: int, bits: int, buckets: int):
             lang, raw, skip = chunk
             g = Grams(lang, zstandard.decompress(raw), skip, longest)
             tables = held.setdefault(lang, [])
-            tables.append(_phrases(g, _kept(g, bits, answers)))
+            tables.append(_phrases(g, _kept(g, blocks, answers)))
             if sum(t.num_rows for x in held.values() for t in x) > FOUND_ROWS:
                 for x in held.values():
                     x[:] = [_summed(x)]
@@ -326,15 +329,16 @@ def frequent(docs: DataFrame, least: int, longest: int, lang: str, text: str, ch
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).cast("string").alias("text"))
     chunks = saved(rows.mapInArrow(_chunks(longest, chunk_bytes), CHUNKS), "chunks")
     total = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits, buckets = max(LEAST_BITS, total.bit_length()), max(64, -(-total // BUCKET_WORDS))
-    cells = chunks.select("lang", "chunk", "skip", "text").mapInArrow(_touched(longest, bits, least), "block long, chunk long, cells binary")
+    blocks, buckets = max(1, -(-total // (CELL_WORDS << BLOCK_BITS))), max(64, -(-total // BUCKET_WORDS))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_WORDS))  # large tasks, so that the counts of many chunks are added up in each
+    cells = chunks.select("lang", "chunk", "skip", "text").mapInArrow(_touched(longest, blocks, least), "block long, chunk long, cells binary")
     cells = cells.repartition("block").sortWithinPartitions("block", "chunk")
     answers = cells.mapInArrow(_merged(least), "chunk long, block long, bits binary")
     # The chunk comes before its answers, for its block is the least.
     each = chunks.select("chunk", F.lit(-1).cast("long").alias("block"), "lang", "skip", "text", F.lit(None).cast("binary").alias("bits"))
     given = answers.select("chunk", "block", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("int").alias("skip"), F.lit(None).cast("binary").alias("text"), "bits")
-    met = each.unionByName(given).repartition("chunk").sortWithinPartitions("chunk", "block").select("lang", "skip", "text", "bits")
-    found = met.mapInArrow(_survivors(longest, bits, buckets), "lang string, bucket long, phrases binary, counts binary")
+    met = each.unionByName(given).repartition(tasks, "chunk").sortWithinPartitions("chunk", "block").select("lang", "skip", "text", "bits")
+    found = met.mapInArrow(_survivors(longest, blocks, buckets), "lang string, bucket long, phrases binary, counts binary")
     found = found.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(_exact(least), "lang string, size int, phrase string, f long")
     return saved(found, "counts"), chunks.groupBy("lang").agg(F.sum("n").alias("n"))
 
