@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -38,7 +39,7 @@ SKIP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices"
     " sidebar menu nav navbar navigation topnav subnav breadcrumb breadcrumbs footer comment comments disqus respond replies share sharing"
     " social newsletter subscribe subscription popup modal overlay related recommended widget pagination pager toolbar login signup search"
-    " copyright".split()
+    " copyright dfp gpt adsense taboola outbrain rail".split()
 )
 HEAD_WORDS = frozenset("header masthead topbar".split())
 COMMENT_WORDS = frozenset("comment comments disqus respond replies".split())
@@ -46,17 +47,33 @@ COMMENT_WORDS = frozenset("comment comments disqus respond replies".split())
 PLACES = frozenset("site page main primary secondary global top bottom left right inner outer wrapper wrap container box bar block section area list links link item items module panel group row col column content text form slot unit first last".split())
 STATE_FIRST = frozenset("with without has have no not is show hide enable supports".split())  # "with-sidebar" names another element
 STATE_LAST = frozenset("open closed enabled disabled on off result results".split())
+JOINED = PLACES | {"bar", "thread", "form"}  # what stands behind a listed word written together with it
+PEOPLE = frozenset("author user username avatar commenter reply vote votes upvote likes timestamp posted".split())  # who wrote a comment, and when
+COMMENT_HEAD = re.compile(r"\b(?:comments?|replies|responses|discussion)\b", re.I)
+COOKIES = re.compile(r"\bcookies?\b.*\b(?:accept|agree|consent|policy|settings|use|uses|using)\b|\b(?:accept|agree|consent|use|uses|using)\b.*\bcookies?\b", re.I)
+COMMENT_CHARS, LONG_LINE, NOTICE_CHARS, NOTICE_LINES = 1_000, 60, 300, 3
 IN_HEAD = frozenset("title style script noscript template base link meta".split())
 _WORD = re.compile(r"[a-z]+|\d+")
 _SPACE = re.compile(r"\s+")
 
 
+@lru_cache(maxsize=4096)
+def _split_word(word: str) -> str:
+    """The listed word of a compound such as ``commentlist``, else the word itself."""
+    for i in range(2, len(word) - 2):
+        if word[:i] in SKIP_WORDS and word[i:] in JOINED:
+            return word[:i]
+    return word
+
+
 def _named(value: str) -> tuple[set[str], set[str]]:
     """The first and last word of each class but of those that tell a state, and the classes' words that say what an element holds."""
     ends: set[str] = set()
     others: set[str] = set()
     for name in value.lower().split():
-        parts = [w for w in _WORD.findall(name) if not w.isdigit()]
+        parts = [_split_word(w) for w in _WORD.findall(name) if not w.isdigit()]
+        if "discussion" in parts[:-1] and parts[-1] in ("thread", "list"):
+            parts = ["comments"]
         if parts and (len(parts) == 1 or parts[0] not in STATE_FIRST and parts[-1] not in STATE_LAST):
             ends.update((parts[0], parts[-1]))
             if {parts[0], parts[-1]} & (SKIP_WORDS | HEAD_WORDS):
@@ -77,6 +94,9 @@ class _Lines(HTMLParser):
         self.named: dict[int, str] = {0: "body"}
         self.text: list[str] = []
         self.tags = self.links = self.in_link = self.made = 0
+        self.elements: list[list] = [[-1, "", False]]  # of blocks: the one around it, tag and class, whether it names a person or time
+        self.within: list[int] = []  # the block of each open element
+        self.line_block: list[int] = []
 
     def _state(self) -> tuple[str, bool, int, int, int]:
         return self.open[-1] if self.open else ("", False, 0, -1, 0)
@@ -86,6 +106,7 @@ class _Lines(HTMLParser):
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             if text:
                 self.lines.append((text, self.tags, self.links, *self._state()[2:]))
+                self.line_block.append(self.within[-1] if self.within else 0)
                 self.tags = 0
             self.text = []
             self.links = 0
@@ -94,6 +115,7 @@ class _Lines(HTMLParser):
         for tag, *_ in self.open[to:]:
             self.in_link -= tag == "a"
         del self.open[to:]
+        del self.within[to:]
 
     def _skipped(self, tag: str, attrs: list[tuple[str, str | None]], content: int) -> tuple[bool, str]:
         """Whether an element is never content, else the kind of doubt about it, if any."""
@@ -131,6 +153,44 @@ class _Lines(HTMLParser):
             if not body and self.open[i][0] != "title":
                 return
 
+    def _doubt(self, i: int) -> None:
+        """Makes a line a reader's comment."""
+        *rest, content, at = self.lines[i]
+        self.doubtful.append((at, "comment", content))
+        self.lines[i] = (*rest, content, len(self.doubtful) - 1)
+
+    def find_comments(self) -> None:
+        """Like elements side by side, behind a long line, each naming a person or a time: comments of readers, whatever their class."""
+        alike: dict[tuple[int, str], list[int]] = {}
+        for e, (around, sign, marked) in enumerate(self.elements[1:], 1):
+            if marked and not sign.startswith(("article.", "main.", "section.", "body.", "html.", "tr.", "td.", "p.")):
+                alike.setdefault((around, sign), []).append(e)
+        groups = {e: g for g, (_, own) in enumerate(alike.items()) if len(own) > 1 for e in own}
+        if not groups:
+            return
+        lines: dict[int, list[int]] = {}
+        for i, e in enumerate(self.line_block):
+            while e > 0:
+                if e in groups:
+                    lines.setdefault(groups[e], []).append(i)
+                e = self.elements[e][0]
+        for own in lines.values():
+            first, chars = own[0], sum(len(self.lines[i][0]) for i in own)
+            before = [x for x in self.lines[:first] if len(x[0]) - x[2] >= LONG_LINE]
+            if before and chars <= COMMENT_CHARS * len(own):
+                if len(self.lines[first - 1][0]) <= 40 and COMMENT_HEAD.search(self.lines[first - 1][0]):
+                    own = [first - 1, *own]
+                for i in own:
+                    self._doubt(i)
+
+    def find_notices(self) -> None:
+        """Short lines about cookies at the begin or the end of a page, outside articles."""
+        n = len(self.lines)
+        for i in {*range(min(NOTICE_LINES, n)), *range(max(0, n - NOTICE_LINES), n)}:
+            text, content = self.lines[i][0], self.lines[i][4]
+            if content < 0 and len(text) <= NOTICE_CHARS and COOKIES.search(text):
+                self._doubt(i)
+
     def kept(self) -> list[tuple[str, int, int, int, int, bool]]:
         """The lines outside doubtful elements or in such ones as are mere wrappers, and whether the ratio must speak for each."""
         size, inner = [0] * len(self.doubtful), [0] * len(self.doubtful)
@@ -201,6 +261,16 @@ class _Lines(HTMLParser):
                 content = self.made
         self.in_link += tag == "a"
         self.open.append((tag, skipped, container, content, doubt))
+        block = self.within[-1] if self.within else 0
+        named = dict(attrs).get("class") or ""
+        if tag in BLOCK and not skipped:
+            self.elements.append([block, f"{tag}.{named}", False])
+            block = len(self.elements) - 1
+        self.within.append(block)
+        if tag in ("time", "cite") or PEOPLE & set(_WORD.findall(named.lower())):
+            while block > 0 and not self.elements[block][2]:
+                self.elements[block][2] = True
+                block = self.elements[block][0]
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -251,6 +321,8 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.flush()
+    page.find_comments()
+    page.find_notices()
     lines = page.kept()
     if not lines:
         return ""

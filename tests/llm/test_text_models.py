@@ -197,6 +197,30 @@ def test_listed_words_still_drop():
     assert html_text.main_text(html) == f"{LONG} {LONG}"
 
 
+COMMENTED = {
+    "compound class": f'<article><p>{LONG}</p><ol class="commentlist"><li><p>first!</p></li><li><p>second of all</p></li></ol></article>',
+    "thread behind": f'<div class="post"><p>{LONG}</p><p>{LONG}</p></div><div class="discussion-thread"><p>I do not agree with this at all, said a reader.</p></div>',
+    "thread inside": f'<article><p>{LONG}</p><div class="discussion-thread"><p>I do not agree with this at all, said a reader.</p></div></article>',
+    "unlisted names": f'<article><p>{LONG}</p><h3>2 responses</h3><div class="q7"><div class="z1"><span class="user">Ann</span><p>I think so as well, and so does my dog.</p></div><div class="z1"><span class="user">Bob</span><p>Me too, and then some.</p></div></div></article>',
+    "advert": f'<article><p>{LONG}</p><div class="dfp-slot-1"><p>Buy the best shoes of the whole town today.</p></div></article>',
+    "side column": f'<div class="post"><p>{LONG}</p><p>{LONG}</p></div><div class="rail"><h4>More</h4><p>Some other story that is told at length.</p></div>',
+    "cookie bar": f'<div><p>We use cookies to improve this site. Accept all</p></div><div class="post"><p>{LONG}</p><p>{LONG}</p></div>',
+}
+
+
+@pytest.mark.parametrize("name", sorted(COMMENTED))
+def test_comments_adverts_and_bars_go(name):
+    assert set(html_text.main_text(f"<html><body>{COMMENTED[name]}</body></html>").split("\n\n")) == {LONG}
+
+
+def test_like_elements_of_an_article_stay():
+    steps = "".join(f'<div class="step"><h3>Step {i}</h3><p>{LONG} {i}</p></div>' for i in range(3))
+    talk = f'<p>{LONG}</p>' + "".join(f'<blockquote class="said"><p>{LONG} {i}</p></blockquote>' for i in range(3))
+    for inner in (steps, talk, f"<p>{LONG}</p><p>The recipe uses no cookies, only bread, as I agree.</p>"):
+        assert html_text.main_text(f"<article>{inner}</article>").count(LONG) == inner.count(LONG)
+    assert "no cookies" in html_text.main_text(f"<article><p>{LONG}</p><p>The recipe uses no cookies, only bread, as I agree.</p></article>")
+
+
 def test_ratio_rule_against_a_plain_one():
     rng = np.random.default_rng(3)
     for n in (1, 2, 3, 9, 60):
