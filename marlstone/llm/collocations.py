@@ -31,7 +31,7 @@ UNKNOWN = "und"
 CHUNK_BYTES, HELD_BYTES = 1 << 20, 16 << 20
 BLOCK_BITS, CELL_WORDS, TASK_WORDS = 20, 2, 8 << 20  # a cell of each row for so many words; words of a task of the second pass
 HOT_SHARE = 100_000  # phrases with more than one in so many words are hot; no more than so many of each length can be
-FOUND_ROWS, BUCKET_WORDS = 400_000, 1 << 20
+FOUND_ROWS, BUCKET_WORDS = 800_000, 1 << 20
 RANK_SALTS = (512, 8, 1)
 COUNT_LIMIT = 255
 _ROWS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -68,7 +68,7 @@ def _chunks(longest: int, limit: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("words")
-        task, made, compress = TaskContext.get().partitionId() << 32, 0, zstandard.ZstdCompressor(level=1).compress
+        task, made, compress = TaskContext.get().partitionId() << 32, 0, zstandard.ZstdCompressor(level=4).compress
         held: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
 
@@ -197,9 +197,11 @@ def _merged(least: int):
     goal = -(-least // _unit(least))
 
     def answer(block: int, chunks: list[int], raw: list[bytes]) -> pa.RecordBatch:
-        cells = [_unpack(r) for r in raw]
-        total = np.bincount(np.concatenate([c[0] for c in cells]), np.concatenate([c[1] for c in cells]), 1 << BLOCK_BITS) >= goal
-        bits = [np.packbits(total[place]).tobytes() for place, _ in cells]
+        total = np.zeros(1 << BLOCK_BITS, np.int64)
+        for r in raw:
+            place, count = _unpack(r)
+            np.add.at(total, place, count)
+        bits = [np.packbits(total[_unpack(r)[0]] >= goal).tobytes() for r in raw]
         return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array([block] * len(chunks), pa.int64()), pa.array(bits, pa.binary())], ["chunk", "block", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
