@@ -31,7 +31,7 @@ UNKNOWN = "und"
 CHUNK_BYTES, HELD_BYTES = 1 << 20, 16 << 20
 BLOCK_BITS, CELL_WORDS, TASK_WORDS = 20, 2, 8 << 20  # a cell of each row for so many words; words of a task of the second pass
 HOT_SHARE = 100_000  # phrases with more than one in so many words are hot; no more than so many of each length can be
-FOUND_ROWS, BUCKET_WORDS = 800_000, 1 << 20
+FOUND_ROWS, BUCKET_WORDS = 1_500_000, 1 << 20
 RANK_SALTS = (512, 8, 1)
 COUNT_LIMIT = 255
 _ROWS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -263,7 +263,7 @@ def _survivors(longest: int, blocks: int, buckets: int):
         phrases, n, ends = found.column("phrase").combine_chunks(), found.column("n").to_numpy(), [*first[1:].tolist(), order.size]
         cols: list[list] = [[], []]
         for a, z in zip(first.tolist(), ends):
-            cols[0].append(zstandard.compress("\n".join(phrases.take(pa.array(order[a:z])).to_pylist()).encode(), 3))
+            cols[0].append(zstandard.compress("\n".join(phrases.take(pa.array(order[a:z])).to_pylist()).encode(), 9))
             cols[1].append(zstandard.compress(n[order[a:z]].astype("<i8").tobytes(), 3))
         return pa.RecordBatch.from_arrays([pa.array([lang] * keys.size, pa.string()), pa.array(keys), *(pa.array(c, pa.binary()) for c in cols)], ["lang", "bucket", "phrases", "counts"])
 
