@@ -131,3 +131,19 @@ def package_match(files: DataFrame, wanted: DataFrame) -> DataFrame:
     any_ = wanted.filter("package = ''").join(files.drop("package"), "name")
     every = same.select("name", "package", "path", "pos").unionByName(any_.select("name", "package", "path", "pos"))
     return every.groupBy("name", "package").agg(F.min_by("path", "pos").alias("path"))
+
+
+def documented_entry(names: DataFrame, entries: DataFrame) -> DataFrame:
+    """``fqcn`` and the entry (``path``, ``part``, ``pos``) that documents it: the first of that very name, else the last whose simple name is the same.
+
+    Entries have ``class`` and ``qualified_name``; the class is the name where it is there. One equi join on the simple name; the candidates of a
+    name meet in a partial maximum. Null and repeated names give nothing more.
+    """
+    name = F.coalesce(F.nullif(F.trim("class"), F.lit("")), F.nullif(F.trim("qualified_name"), F.lit("")))
+    known = entries.select(name.alias("_name"), "path", "part", "pos").filter("_name IS NOT NULL").withColumn("_simple", simple_name(F.col("_name")))
+    asked = names.select("fqcn").filter("fqcn IS NOT NULL").distinct().withColumn("_simple", simple_name(F.col("fqcn")))
+    exact = F.col("_name") == F.col("fqcn")
+    # A document that holds the very name wins; within one kind of match, the place decides.
+    place = F.struct(exact.alias("e"), F.when(exact, -F.col("part")).otherwise(F.col("part")).alias("a"), F.when(exact, -F.col("pos")).otherwise(F.col("pos")).alias("b"), F.col("path").alias("c"))
+    best = asked.join(known, "_simple").groupBy("fqcn").agg(F.max_by(F.struct("path", "part", "pos", exact.alias("exact")), place).alias("_b"))
+    return best.select("fqcn", "_b.*")

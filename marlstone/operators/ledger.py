@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from marlstone.functions.texts import head_and_tail, stripped
+
 
 def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in ``order``."""
@@ -70,3 +72,23 @@ def by_id_then_fifo(calls: DataFrame, responses: DataFrame) -> DataFrame:
     rest_r = n(r.join(by_id.select("session", "answered"), ["session", "answered"], "left_anti"), "answered")
     fifo = rest_c.join(rest_r.select("session", "name", "answered", "_n"), ["session", "name", "_n"])
     return by_id.select("session", "name", "called", "answered", F.lit("id").alias("by")).unionByName(fifo.select("session", "name", "called", "answered", F.lit("order").alias("by")))
+
+
+def failure_snippet(text: Column) -> Column:
+    """The head and tail of an output without white space at its ends, whole up to 800 characters."""
+    return head_and_tail(stripped(F.coalesce(text, F.lit(""))), 400, 350, 800)
+
+
+def upsert_reports(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows of both by key; the last new row of a key in ``order`` replaces the columns it has, the old row keeps its others.
+
+    ``order`` is a column of ``new`` only and does not stay. Columns of either side are kept; those that a row lacks are null. Keys are compared null safe;
+    repeated keys of ``old`` are all replaced. Repeats are folded before the shuffle.
+    """
+    values = [c for c in new.columns if c not in (*keys, order)]
+    last = new.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(order, *values)).alias("_new")).select(*[F.col(k).alias("_k" + k) for k in keys], "_new")
+    same = [F.col(k).eqNullSafe(F.col("_k" + k)) for k in keys]
+    j = old.withColumn("_old", F.lit(True)).join(last.withColumn("_is", F.lit(True)), same, "full_outer")
+    out = [F.when(F.col("_old").isNull(), F.col("_k" + k)).otherwise(F.col(k)).alias(k) for k in keys]
+    out += [F.when(F.col("_is").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c) if c in old.columns else F.lit(None)).alias(c) for c in values]
+    return j.select(*out, *[c for c in old.columns if c not in (*keys, *values)])

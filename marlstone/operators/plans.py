@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 
 def clamp_items(items: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
@@ -115,3 +116,65 @@ def greedy_chunks(items: DataFrame, key: str, order: str, size: str, max_items:
             yield f.assign(chunk=out)
 
     return items.select(key, order, size).repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+
+
+def owner_chunks(items: DataFrame, key: str, tag: str, owner: str, order: str, max_items: int = 5, max_lines: int = 30, max_methods: int = 2) -> DataFrame:
+    """Items (``key``, ``tag``, ``owner``, ``order``, ``lines``) of each key and tag put into chunks, owner by owner; adds ``part`` and ``chunk``, both from 0.
+
+    Items of more than ``max_lines`` lines are cut first. Owners follow by their first line (0 without lines), then by
+    name; an owner that would take the chunk past a limit of items, lines or owners begins the next. An owner past the
+    limits alone has chunks of its own, filled item by item. Null or empty lines count as none and keep their item; a
+    null owner is ``<unknown>``. Sizes of owners come from windows that spill; the state of a key is a few numbers.
+    """
+    rows = items.select(key, tag, F.coalesce(owner, F.lit("<unknown>")).alias(owner), order, F.coalesce("lines", F.array().cast("array<int>")).alias("lines"))
+    cut = split_items(rows, max_lines).withColumn("_size", F.size("lines").cast("long"))
+    w = Window.partitionBy(key, tag, owner)
+    first = F.coalesce(F.min(F.array_min("lines")).over(w), F.lit(0))
+    sized = cut.withColumns({"_first": first, "_items": F.count("*").over(w), "_lines": F.sum("_size").over(w)})
+    kinds = dict(sized.dtypes)
+    names = [key, tag, owner, order, "part", "lines"]
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", chunk int"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, last, alone = object(), object(), False
+        chunk = n = total = owners = 0
+        for f in frames:
+            out = []
+            for k, t, o, size, many, whole in zip(f[key], f[tag], f[owner], f["_size"], f["_items"], f["_lines"]):
+                if (k, t) != group:
+                    group, last, alone = (k, t), object(), False
+                    chunk = n = total = owners = 0
+                full = False
+                if o != last:
+                    big = many > max_items or whole > max_lines
+                    full = alone or big or n + many > max_items or total + whole > max_lines or owners >= max_methods
+                elif alone:
+                    full = n + 1 > max_items or total + size > max_lines
+                if n and full:
+                    chunk, n, total, owners = chunk + 1, 0, 0, 0
+                if o != last:
+                    last, alone, owners = o, big, owners + 1
+                n, total = n + 1, total + size
+                out.append(chunk)
+            yield f[names].assign(chunk=out)
+
+    return sized.repartition(key, tag).sortWithinPartitions(key, tag, "_first", owner, order, "part").mapInPandas(run, schema)
+
+
+def clamped_tags(items: DataFrame, tag: str, aliases: dict[str, str], allowed: list[str], public: Column, default: str = "plain_unit", invalid: str = "untagged_or_invalid_slice") -> DataFrame:
+    """Items (``kind``, ``reason``, ``category``) with tags of the list; what fits nowhere is deferred.
+
+    A tag is trimmed, lower-cased and replaced by its alias. A testable item with a tag outside ``allowed`` and ``default``
+    gets ``default`` if it is ``public``; else it becomes ``not_testable`` with category ``invalid``, and that as its reason
+    if it has none. Deferred items keep their tag, a blank one is ``default``.
+    """
+    table = F.create_map(*[F.lit(x) for kv in {"": "", **aliases}.items() for x in kv])
+    plain = F.lower(F.trim(F.coalesce(F.col(tag), F.lit(""))))
+    name = F.coalesce(F.try_element_at(table, plain), plain)
+    testable, fits = F.col("kind") == "testable", name.isin(default, *allowed)
+    lost = testable & ~fits & ~F.coalesce(public, F.lit(False))
+    new_tag = F.when(testable, F.when(fits, name).otherwise(default)).otherwise(F.when(name == "", default).otherwise(name))
+    return items.withColumns({
+        "kind": F.when(lost, "not_testable").otherwise(F.col("kind")), "reason": F.when(lost, F.coalesce(F.nullif("reason", F.lit("")), F.lit(invalid))).otherwise(F.col("reason")),
+        "category": F.when(lost, invalid).otherwise(F.col("category")), tag: new_tag,
+    })

@@ -36,6 +36,22 @@ def read_lessons(spark: SparkSession, paths: list[str] | str, tags: list[str], l
     return rows.filter((F.size(low) == 0) | (F.size(wanted) == 0) | F.arrays_overlap(low, wanted)).orderBy("pos").limit(limit)
 
 
+def documented_entries(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """Entries of API documents (lists under ``api_index`` and ``api``): ``path``, ``part``, ``pos``, the names and the entry's ``json``.
+
+    Other keys are not read; a document of another shape gives no rows.
+    """
+    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", "api_index array<string>, api array<string>").alias("d"))
+    each = [rows.select("path", F.lit(n).alias("part"), F.posexplode(f"d.{part}").alias("pos", "json")) for n, part in enumerate(("api_index", "api"))]
+    name = lambda f: F.nullif(F.trim(F.get_json_object("json", f"$.{f}")), F.lit("")).alias(f)
+    return each[0].unionByName(each[1]).select("path", "part", "pos", name("class"), name("qualified_name"), "json")
+
+
+def documented_names(entries: DataFrame) -> DataFrame:
+    """The names of documented types with the document they are in: both names of each entry, each pair once."""
+    return entries.select("path", F.explode(F.array_compact(F.array("qualified_name", "class"))).alias("name")).distinct()
+
+
 def read_texts(spark: SparkSession, paths: list[str] | str, pattern: str = "*", skip: tuple[str, ...] = ("build", ".git", ".gradle")) -> DataFrame:
     """Whole text files with path, name and time; files below a skipped folder are left out."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(paths, wholetext=True)

@@ -4,11 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from marlstone.plans import coverage_queries, fact_queries, lookup_queries, report_queries, session_queries, text_queries, work_queries
+from marlstone.plans import coverage_queries, fact_queries, lookup_queries, plan_queries, report_queries, session_queries, text_queries, work_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-QUERIES = {**coverage_queries.QUERIES, **text_queries.QUERIES, **lookup_queries.QUERIES, **work_queries.QUERIES, **report_queries.QUERIES, **fact_queries.QUERIES, **session_queries.QUERIES}
-SQL = {**coverage_queries.SQL, **text_queries.SQL, **lookup_queries.SQL, **work_queries.SQL, **report_queries.SQL, **fact_queries.SQL, **session_queries.SQL}
+QUERIES = {**coverage_queries.QUERIES, **text_queries.QUERIES, **lookup_queries.QUERIES, **work_queries.QUERIES, **report_queries.QUERIES, **fact_queries.QUERIES, **plan_queries.QUERIES, **session_queries.QUERIES}
+SQL = {**coverage_queries.SQL, **text_queries.SQL, **lookup_queries.SQL, **work_queries.SQL, **report_queries.SQL, **fact_queries.SQL, **plan_queries.SQL, **session_queries.SQL}
 
 
 @pytest.fixture(scope="module")
