@@ -92,3 +92,22 @@ def select_by_triggers(docs: DataFrame, triggers: list[tuple[str, str]], key: st
     found = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(needle.lower())), F.lit(name)) for needle, name in triggers])))
     chosen = F.slice(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default))), 1, top)
     return docs.select(key, F.posexplode(chosen).alias("rank", "name"))
+
+
+def ranked_selection(docs: DataFrame, key: str, text: str, tags: str, by_tag: dict[str, str], by_needle: list[tuple[tuple[str, ...], str]], top: int, default: str | None = None, pin: str | None = None) -> DataFrame:
+    """The first ``top`` names of a row with their ``rank`` from 0: those of its tags in their order, then those of needles in the rules' order.
+
+    A needle may stand in the text or in a tag, case folded. Tags are trimmed. A row whose column ``pin`` is one of the names
+    has that name first. ``default`` stands for a row that selects nothing; without it such a row is left out. Null texts
+    and tags hold nothing; one pass, no shuffle.
+    """
+    own = F.filter(F.transform(F.coalesce(F.col(tags), F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: t != "")
+    table = F.create_map(*[F.lit(x) for kv in by_tag.items() for x in kv]) if by_tag else F.lit(None).cast("map<string,string>")
+    d = docs.withColumns({"_tags": own, "_hay": F.lower(F.concat_ws("\n", F.coalesce(F.col(text), F.lit("")), F.array_join(own, " ")))})
+    found = [F.when(F.exists(F.array(*map(F.lit, (n.lower() for n in needles))), lambda n: F.contains(F.col("_hay"), n)), F.lit(name)) for needles, name in by_needle]
+    names = sorted({*by_tag.values(), *(name for _, name in by_needle), *([default] if default else [])})
+    pinned = F.array(F.when(F.col(pin).isin(*names), F.col(pin))) if pin else F.array().cast("array<string>")
+    chosen = F.array_distinct(F.array_compact(F.concat(pinned, F.transform("_tags", lambda t: F.try_element_at(table, t)), F.array(*found).cast("array<string>"))))
+    if default:
+        chosen = F.when(F.size(chosen) > 0, chosen).otherwise(F.array(F.lit(default)))
+    return d.select(key, F.posexplode(F.slice(chosen, 1, top)).alias("rank", "name"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.numbers import compact_ranges
 from marlstone.functions.signatures import signature_lines, type_shape
-from marlstone.operators import catalog, deltas, ledger, modules, plan_checks, plan_documents, plans
+from marlstone.operators import catalog, deltas, ledger, logs, modules, plan_checks, plan_documents, plans, rules
 from marlstone.plans.surrogate import probe_sql, probes, ranges_sql, table
 
 _text = lambda c: F.col(c).cast("string")
@@ -182,8 +182,23 @@ def documented_types(spark, d):
     return catalog.documented_entry(names, entries)
 
 
+def filtered_outputs(spark, d):
+    """Turns of conversations, cut to lines at their sentences, as outputs."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "\n").alias("text"))
+    out = logs.filtered_output(c.select("conv_id", F.regexp_replace("text", "[.,] ", "\n").alias("text")), "conv_id", "text", errors="wh|que", wide="an", after=2, kept=6, tail=3, limit=200, quiet=20)
+    return out.select("conv_id", F.md5("filtered").alias("filtered"), F.length("filtered").alias("n"))
+
+
+_BY_TAG, _BY_NEEDLE = {"en": "english", "de": "german", "web": "open"}, [(("token", "LICENSE"), "legal"), (("@",), "contact"), (("de",), "german"), (("|", "!!"), "noise")]
+
+
+def ranked_selection(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", F.array(F.concat(F.lit(" "), "lang"), F.col("source")).alias("tags"), F.when(F.col("doc_id") % 5 == 0, "legal").when(F.col("doc_id") % 5 == 1, "odd").alias("pin"))
+    return rules.ranked_selection(docs, "doc_id", "text", "tags", _BY_TAG, _BY_NEEDLE, 2, "general", "pin")
+
+
 QUERIES = {f.__name__: f for f in (
-    module_projection, file_states, gap_deltas, plan_document_items, plan_tickets, owner_chunks, clamped_tags, report_upserts, type_shapes, documented_types,
+    module_projection, file_states, gap_deltas, plan_document_items, plan_tickets, owner_chunks, clamped_tags, report_upserts, type_shapes, documented_types, filtered_outputs, ranked_selection,
 )}
 
 _NAMED = """li AS (SELECT l.*, o_orderkey, o_orderstatus, o_orderpriority AS package, CASE WHEN c_nationkey <> 3 THEN CAST(c_nationkey AS VARCHAR) END AS module, CASE WHEN l_linestatus = 'O' THEN 'unit' ELSE 'instrumented' END AS engine, CAST(l_orderkey AS VARCHAR) AS source_name, l_returnflag <> 'N' AS hit
@@ -247,4 +262,14 @@ SQL = {
   SELECT l_orderkey, 'T' || l_orderkey AS fqcn, ['class', 'class', 'interface'][l_orderkey % 3 + 1] AS kind, constructors, statics, CASE WHEN statics <> '' AND constructors = '' THEN 'static' ELSE 'constructor' END AS seam, CASE WHEN statics <> '' AND constructors = '' THEN 'mockkStatic' ELSE 'mockkConstructor' END AS mock FROM g""",
     "documented_types": """WITH e AS (SELECT p_brand AS path, CAST(p_partkey % 2 AS INT) AS part, CAST(p_partkey AS INT) AS pos, replace(p_name, ' ', '_') AS simple, CASE WHEN p_partkey % 3 > 0 THEN 'a.' ELSE 'b.' END || replace(p_name, ' ', '_') AS name FROM part), n AS (SELECT DISTINCT replace(p_name, ' ', '_') AS simple, ['a.', 'b.', 'c.'][p_size % 3 + 1] || replace(p_name, ' ', '_') AS fqcn FROM part),
   r AS (SELECT fqcn, path, part, pos, name = fqcn AS exact, ROW_NUMBER() OVER (PARTITION BY fqcn ORDER BY name = fqcn DESC, CASE WHEN name = fqcn THEN part ELSE -part END, CASE WHEN name = fqcn THEN pos ELSE -pos END, path DESC) AS k FROM e JOIN n USING (simple)) SELECT fqcn, path, part, pos, exact FROM r WHERE k = 1""",
+    "filtered_outputs": """WITH t AS (SELECT conv_id, regexp_replace(string_agg(COALESCE(text, ''), chr(10) ORDER BY turn, role NULLS FIRST, text NULLS FIRST), '[.,] ', chr(10), 'g') AS whole FROM conversations GROUP BY 1), s AS (SELECT conv_id, whole, string_split(regexp_replace(whole, '\\n\\z', ''), chr(10)) AS ls FROM t),
+  l AS (SELECT conv_id, UNNEST(ls) AS line, generate_subscripts(ls, 1) AS n FROM s), h AS (SELECT *, regexp_matches(line, 'wh|que') AS hit FROM l), w AS (SELECT *, SUM((hit AND contains(line, 'an'))::INT) OVER (PARTITION BY conv_id ORDER BY n) AS st FROM h),
+  u AS (SELECT *, hit OR st > 0 AND SUM((NOT hit)::INT) OVER (PARTITION BY conv_id, st ORDER BY n) <= 2 AS use FROM w), p AS (SELECT *, SUM(use::INT) OVER (PARTITION BY conv_id ORDER BY n DESC) AS un, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY n DESC) AS tn, BOOL_OR(hit) OVER (PARTITION BY conv_id) AS loud FROM u),
+  r AS (SELECT conv_id, 0 AS place, n, line FROM p WHERE loud AND use AND un <= 6 UNION ALL SELECT conv_id, 2, n, line FROM p WHERE loud AND tn <= 3 UNION ALL SELECT DISTINCT conv_id, 1, 0, '' FROM p WHERE loud UNION ALL SELECT DISTINCT conv_id, 1, 1, '---- GRADLE OUTPUT TAIL ----' FROM p WHERE loud),
+  k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id, regexp_replace(line, '^\\s+|\\s+$', '', 'g') ORDER BY place, n) AS seen, regexp_replace(line, '^\\s+|\\s+$', '', 'g') = '' AS blank FROM r), f AS (SELECT conv_id, right(string_agg(line, chr(10) ORDER BY place, n), 200) AS filtered FROM k WHERE blank OR seen = 1 GROUP BY 1
+  UNION ALL SELECT conv_id, right(whole, 20) FROM s WHERE conv_id NOT IN (SELECT conv_id FROM r)) SELECT conv_id, md5(filtered) AS filtered, CAST(length(filtered) AS INT) AS n FROM f""",
+    "ranked_selection": """WITH d AS (SELECT doc_id, lower(COALESCE(text, '') || chr(10) || concat_ws(' ', lang, source)) AS hay, lang, source FROM documents), h AS (SELECT doc_id, 0 AS k, 'legal' AS name FROM d WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 1, CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'web' THEN 'open' END FROM d WHERE lang IN ('en', 'de', 'web')
+  UNION ALL SELECT doc_id, 2, CASE source WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'web' THEN 'open' END FROM d WHERE source IN ('en', 'de', 'web') UNION ALL SELECT doc_id, 3, 'legal' FROM d WHERE contains(hay, 'token') OR contains(hay, 'license') UNION ALL SELECT doc_id, 4, 'contact' FROM d WHERE contains(hay, '@')
+  UNION ALL SELECT doc_id, 5, 'german' FROM d WHERE contains(hay, 'de') UNION ALL SELECT doc_id, 6, 'noise' FROM d WHERE contains(hay, '|') OR contains(hay, '!!')), f AS (SELECT doc_id, name, MIN(k) AS k FROM h GROUP BY ALL), r AS (SELECT doc_id, name, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS rank FROM f)
+  SELECT doc_id, CAST(rank AS INT) AS rank, name FROM r WHERE rank < 2 UNION ALL SELECT doc_id, 0, 'general' FROM d WHERE doc_id NOT IN (SELECT doc_id FROM f)""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.signatures import signature_lines, type_shape
 from marlstone.functions.tables import number_cell, numbered_section, pipe_rows, word_cell
-from marlstone.operators import catalog, deltas, ledger, modules, plan_checks, plan_documents, plans
+from marlstone.operators import catalog, deltas, ledger, logs, modules, plan_checks, plan_documents, plans, rules
 from marlstone.sources import stores
 
 ITEM = "kind string, lines array<int>, methods array<string>, approach string, fixture_hint string, reason string, category string, tag string, tc_ids array<string>, branch_targets array<string>, test_layer string"
@@ -208,3 +208,40 @@ def test_documented(spark, tmp_path):
     e = spark.createDataFrame(rows, "path string, part int, pos int, class string, qualified_name string")
     names = spark.createDataFrame([("x.A",), ("x.A",), ("q.A",), ("x.B",), (None,)], "fqcn string")
     assert sorted(tuple(r) for r in catalog.documented_entry(names, e).collect()) == [("q.A", "p", 1, 1, False), ("x.A", "p", 0, 0, True)]
+
+
+def filtered_by_hand(text, after=2, kept=4, tail=3, limit=60, quiet=9):
+    lines, useful, left = (text or "").splitlines(), [], 0
+    for line in lines:
+        if "E" in line:
+            useful.append(line)
+            left = after if "W" in line else left
+        elif left:
+            useful.append(line)
+            left -= 1
+    if not useful:
+        return (text or "")[-quiet:]
+    out, seen = [], set()
+    for line in [*useful[-kept:], "", logs.TAIL_HEADING, *lines[-tail:]]:
+        if not line.strip() or line.strip() not in seen:
+            out.append(line)
+        seen.add(line.strip())
+    return "\n".join(out)[-limit:]
+
+
+def test_filtered_output(spark):
+    rng = random.Random(5)
+    texts = [None, "", "\n", "E", "E\n", " E\r\nE ", "W\nx\ny", "E W\na\nE\nb\nc\nd\n" + "z" * 90]
+    texts += ["\n".join(rng.choice(["E", "EW", "W", "a", " a", "b", "", "c" * 9]) for _ in range(rng.randint(1, 15))) for _ in range(150)]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.filtered for r in logs.filtered_output(d, "id", "text", "E", "W", 2, 4, 3, 60, 9).collect()}
+    assert got == {n: filtered_by_hand(t) for n, t in enumerate(texts)}
+    assert logs.filtered_output(d.limit(0), "id", "text").collect() == []
+
+
+def test_ranked_selection(spark):
+    rows = [(1, "has LICENSE", ["b ", "a", ""], None), (2, None, None, None), (3, "x", ["license"], "two"), (4, "x", ["a"], "other")]
+    d = spark.createDataFrame(rows, "id int, text string, tags array<string>, pin string")
+    pick = lambda **k: sorted((r.id, r.rank, r.name) for r in rules.ranked_selection(d, "id", "text", "tags", {"a": "one", "b": "two"}, [(("license",), "legal"), (("x",), "one")], 2, **k).collect())
+    assert pick() == [(1, 0, "two"), (1, 1, "one"), (3, 0, "legal"), (3, 1, "one"), (4, 0, "one")]
+    assert pick(default="none", pin="pin") == [(1, 0, "two"), (1, 1, "one"), (2, 0, "none"), (3, 0, "two"), (3, 1, "legal"), (4, 0, "one")]
