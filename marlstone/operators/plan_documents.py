@@ -116,4 +116,5 @@ def parsed_plans(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 def plan_items(plans: DataFrame, key: str) -> DataFrame:
     """The items of parsed plans as rows with their place ``pos``."""
-    return plans.select(key, F.posexplode("items").alias("pos", "i")).select(key, "pos", "i.*")
+    # The outer form adds no filter on the size of the items, which would parse the documents once more.
+    return plans.select(key, F.posexplode_outer("items").alias("pos", "i")).filter("pos IS NOT NULL").select(key, "pos", "i.*")
