@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from marlstone.llm.shared import saved
-from marlstone.llm.vectors import blocks, lengths, matrix, meet, unblock, valid
+from marlstone.llm.vectors import blocks, lengths, matrix, meet, met, valid
 from marlstone.llm.worker import only
 
 ROTATIONS = 4
@@ -182,22 +182,21 @@ def _search(rows: DataFrame, size: int, k: int) -> DataFrame | None:
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             only("vectors")
             codes, part = shared.value, None
-            for b in batches:
-                for row in b.to_pylist():
-                    if not row["side"]:
-                        part, (ids, _, x) = row["part"], unblock(row, size)
-                        tables = Tables(codes.of(x))
-                    if row["side"] == 0 or row["part"] != part:
-                        continue
-                    q_ids, _, q_x = unblock(row, size)
-                    out = []
-                    for q, v, c in zip(q_ids.tolist(), q_x, codes.of(q_x, query=True)):
-                        near = tables.within(c, radius, far)
-                        near = near[ids[near] != q]
-                        score = products(x[near], v)
-                        t = top(ids[near], score, k)
-                        out.append((np.full(t.size, q), ids[near[t]], score[t]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in zip(*out)], ["query_id", "vec_id", "score"])
+            for of, side, *block in met(batches, size):
+                if not side:
+                    part, (ids, _, x, _) = of, block
+                    tables = Tables(codes.of(x))
+                if side == 0 or of != part:
+                    continue
+                q_ids, _, q_x, _ = block
+                out = []
+                for q, v, c in zip(q_ids.tolist(), q_x, codes.of(q_x, query=True)):
+                    near = tables.within(c, radius, far)
+                    near = near[ids[near] != q]
+                    score = products(x[near], v)
+                    t = top(ids[near], score, k)
+                    out.append((np.full(t.size, q), ids[near[t]], score[t]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in zip(*out)], ["query_id", "vec_id", "score"])
 
         return go
 

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
-from marlstone.llm.shared import saved
-from marlstone.llm.vectors import blocks, lengths, meet, unblock, valid
+from marlstone.llm.shared import batches_of, saved
+from marlstone.llm.vectors import ROWS_AT_ONCE, blocks, lengths, meet, met, valid
 from marlstone.llm.worker import only
 
 SHARD_ROWS, LEAST_ROWS, SMALL_SHARDS = 65_536, 1_024, 8  # small tables have up to SMALL_SHARDS shards of LEAST_ROWS
@@ -298,9 +298,14 @@ def _worst(true: np.ndarray, kind: np.ndarray, found: np.ndarray) -> float:
     return float((got[all_ > 0] / all_[all_ > 0]).min())
 
 
-def _links(graph: Graph, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query numbers, nodes) of the verified links of each batch of queries; queries that start in one place share a batch."""
-    unit, q_unit = x / np.linalg.norm(x, axis=1, keepdims=True), q / np.linalg.norm(q, axis=1, keepdims=True)
+def _links(graph: Graph, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, cosine: float, unit: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query numbers, nodes) of the verified links of each batch of queries; queries that start in one place share a batch.
+
+    ``unit`` is ``x`` at length 1, where the caller has it.
+    """
+    if unit is None:
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    q_unit = q / np.linalg.norm(q, axis=1, keepdims=True)
     q32 = q_unit.astype(np.float32)
     beam, near = BEAM, cosine - SLACK
     homes = np.concatenate([graph.homes(q32[i : i + BATCH]) for i in range(0, len(q), BATCH)])
@@ -331,32 +336,27 @@ def _search(each: DataFrame, size: int, count: int, cosine: float, shards: int |
     parts = shards or max(-(-count // min(SHARD_ROWS, most)), min(SMALL_SHARDS, -(-count // LEAST_ROWS)))
     sets = -(-count // min(QUERY_ROWS, most))
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
-        for b in batches:
-            for row in b.to_pylist():
-                _, _, x = unblock(row, size)
-                g = Graph(x / np.linalg.norm(x, axis=1, keepdims=True))
-                cols = [row["part"], row["ids"], row["extra"], row["x"], pickle.dumps((g.links, g.entry))]
-                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, kinds)], ["part", "ids", "extra", "x", "graph"])
+    def graph(x: np.ndarray) -> bytes:
+        g = Graph(x / np.linalg.norm(x, axis=1, keepdims=True))
+        return pickle.dumps((g.links, g.entry))
 
-    graphs = saved(blocks(each, parts, size).mapInArrow(build, "part long, ids array<long>, extra array<long>, x binary, graph binary"), "graphs")
+    graphs = saved(blocks(each, parts, size, graph), "graphs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("vectors")
         part = None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if not row["side"]:
-                    part, (ids, weight, x) = row["part"], unblock(row, size)
-                    g = Graph.__new__(Graph)
-                    g.links, g.entry = pickle.loads(row["graph"])
-                    g.x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-                if row["side"] == 0 or row["part"] != part:
-                    continue
-                q_ids, _, q = unblock(row, size)
+        for of, side, *block in met(batches, size):
+            if not side:
+                part, (ids, weight, x, made) = of, block
+                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                g = Graph.__new__(Graph)
+                g.links, g.entry = pickle.loads(made)
+                g.x = unit.astype(np.float32)
+                del block, x, made
+            elif of == part:
+                q_ids, _, q, _ = block
                 label, own, count, edges = ids.copy(), q_ids.copy(), np.zeros(q_ids.size, np.int64), []
-                for a, b in _links(g, ids, x, q_ids, q, cosine):
+                for a, b in _links(g, ids, unit, q_ids, q, cosine, unit):
                     other = ids[b] != q_ids[a]
                     a, b = a[other], b[other]
                     np.add.at(count, a, weight[b])
@@ -400,7 +400,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", v
     found = vectors.sparkSession.createDataFrame([], "a long, b long, n long")
     for size, count in lengths(each):
         found = found.unionByName(_search(each.filter(F.size("v") == size), size, count, cosine, shards))
-    found = saved(found, "links")
+    with batches_of(vectors.sparkSession, ROWS_AT_ONCE):
+        found = saved(found, "links")
     counts = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "rep")
     groups = components(found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "rep")
     facts = each.select(*_names("v"), F.col("id").alias("rep"), F.col("extra").alias("weight")).join(counts, "rep", "left").join(groups, "rep", "left")

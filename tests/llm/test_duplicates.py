@@ -4,11 +4,13 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone.llm import ann, near_vectors, ngram_join, suffix_dedup
+from marlstone.llm import vectors as vector_blocks
 from marlstone.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -269,6 +271,27 @@ def test_hot_vectors_and_shards_by_bytes(spark, monkeypatch):
     assert got[100]["component_id"] == got[3]["component_id"] and got[300]["kept"] and got[301]["kept"]
 
 
+def test_blocks_come_in_small_rows(spark, monkeypatch):
+    monkeypatch.setattr(vector_blocks, "ROW_BYTES", 8 * 16 * 50)
+    x = vectors(700).astype(np.float64)
+    rows = table(spark, x).filter("vec_id < 9000").selectExpr("vec_id id", "1L extra", "embedding v")
+    shards = vector_blocks.blocks(rows, 3, 16, lambda v: v[:, 0].tobytes()).cache()
+    most = shards.selectExpr("max(size(ids))", "max(length(x))", "max(length(graph))", "count(*)").first()
+    assert most[0] == 50 and most[1] == 8 * 16 * 50 and most[2] <= 8 * 50 and most[3] >= 14
+    asked = vector_blocks.blocks(rows, 5, 16)
+
+    def run(batches):
+        shard = None
+        for part, side, ids, extra, v, made in vector_blocks.met(batches, 16):
+            assert (v == x[ids].astype(np.float32)).all() and extra.size == ids.size and made == (b"" if side else v[:, 0].tobytes())
+            shard = (part, ids) if not side else shard
+            if side and shard[0] == part:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, shard[1].size)), pa.array(np.tile(shard[1], ids.size))], ["a", "b"])
+
+    pairs = vector_blocks.meet(shards, asked, 3, 5, 2).mapInArrow(run, "a long, b long")
+    assert tuple(pairs.selectExpr("count(*)", "count(distinct a, b)").first()) == (700 * 700, 700 * 700)
+
+
 def test_near_vectors_edges(spark):
     empty = table(spark, vectors(60)).limit(0)
     assert near_vectors.near_vectors(empty).collect() == []
