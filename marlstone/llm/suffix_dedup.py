@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from marlstone.llm.shared import saved
+from marlstone.llm.shared import saved, slices
 from marlstone.llm.worker import kept, only
 
 LENGTH = 100
 GRAM = 24
 CHUNK = 1 << 20
-SORTED_BYTES = 1 << 20
+PART = 1 << 17  # bytes of which prefix sums, grams and anchors are held at once; some 100 bytes a byte
+SORTED_BYTES = 1 << 18
+TEXTS = 512  # texts held as Python objects at once
 HOT_BYTES = 2 << 20
 
 
@@ -56,7 +58,7 @@ class _Hashes:
     FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
     def __init__(self, b: np.ndarray, m: int):
-        n = max(2 * (CHUNK + LENGTH), b.size + 1)
+        n = max(2 * (PART + LENGTH), b.size + 1)
         power, self.inverse = kept("suffixes", (m, n), lambda: _powers(m, n))
         self.sums = np.zeros(b.size + 1, np.uint64)
         np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: b.size], out=self.sums[1:])
@@ -141,14 +143,14 @@ def previous_factors(windows: np.ndarray, order: np.ndarray) -> np.ndarray:
     """
     w = np.ascontiguousarray(windows)
     suffix = np.argsort(w.view(f"S{LENGTH}")[:, 0], kind="stable")
-    w, place = w[suffix], order[suffix]
+    place = order[suffix]
     longest = np.zeros(place.size, np.int64)
     before, after = _smaller_before(place), place.size - 1 - _smaller_before(place[::-1])[::-1]
     for other, has in ((before, before >= 0), (after, after < place.size)):
         i = np.flatnonzero(has)
         for j in range(0, i.size, 8192):
             k = i[j : j + 8192]
-            same = w[k] == w[other[k]]
+            same = w[suffix[k]] == w[suffix[other[k]]]
             longest[k] = np.maximum(longest[k], np.where(same.all(1), LENGTH, same.argmin(1)))
     result = np.zeros(place.size, np.int64)
     result[suffix] = longest
@@ -186,14 +188,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def emit() -> Iterator[pa.RecordBatch]:
         order = sorted(range(len(keys)), key=lambda i: (keys[i], offsets[i]))
-        piece, at, n, h, s = segments([pieces[i] for i in order])
+        got, i = [], 0
+        while i < len(order):  # segments of some PART bytes of pieces at a time
+            j, held = i, 0
+            while j < len(order) and held < PART:
+                held, j = held + len(pieces[order[j]]), j + 1
+            piece, *rest = segments([pieces[k] for k in order[i:j]])
+            got.append((piece + i, *rest))
+            i = j
+        piece, at, n, h, s = (np.concatenate(x) for x in zip(*got))
         yield from _firsts(h, s, np.array([keys[i] for i in order], np.int64)[piece], at + np.array([offsets[i] for i in order], np.int64)[piece], n)
 
-    for b in batches:
+    for b in (x for whole in batches for x in slices(whole, TEXTS)):
         for k, t, base in zip(*(b.column(i).to_pylist() for i in range(3))):
             raw = t.encode("utf-8", "surrogatepass")
-            for o in range(0, max(1, len(raw) - LENGTH + 1), CHUNK):
-                part = raw[o : o + CHUNK + LENGTH - 1]
+            step = min(PART, CHUNK)
+            for o in range(0, max(1, len(raw) - LENGTH + 1), step):
+                part = raw[o : o + step + LENGTH - 1]
                 keys.append(k)
                 offsets.append(base + o)
                 pieces.append(part)
@@ -207,6 +218,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by anchor, content, document and place: repeats as spans, rivals of an anchor as segments."""
+    only("suffixes")
     last_h = last_s = last_doc = last_at = None
     wait: tuple | None = None  # the last first-of-its-content row, and whether it has gone out
 
@@ -250,7 +262,8 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, doc, at, bytes) of the segments of each text."""
-    for b in batches:
+    only("suffixes")
+    for b in (x for whole in batches for x in slices(whole, TEXTS)):
         for doc, text, base, rivals in zip(*(b.column(i).to_pylist() for i in range(4))):
             raw = text.encode("utf-8", "surrogatepass")
             h, at, n = zip(*((r["h"], r["at"], r["n"]) for r in rivals))
@@ -372,7 +385,8 @@ def _apply(digest: bool, at: int):
     """Adds the outcome to rows whose last column is the list of spans and whose column ``at`` is the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        only("suffixes")
+        for b in (x for whole in batches for x in slices(whole, TEXTS)):
             out: list[list] = [[], [], [], []]
             spans = b.column(b.num_columns - 1)
             for text, own in zip(b.column(at).to_pylist(), spans.to_pylist()):

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import ann, near_vectors, ngram_join, suffix_dedup
+from marlstone.llm import ann, near_vectors, ngram_join, suffix_dedup, worker
 from marlstone.llm import vectors as vector_blocks
 from marlstone.llm.components import components
 
@@ -375,3 +376,19 @@ def test_walk_through_a_large_group():
     want = {(int(a), int(b)) for a, b in zip(*np.nonzero(unit @ unit.T >= 0.9)) if a != b}
     assert len(want) > 300_000 and got <= want and len(want - got) <= 0.001 * len(want)
     assert {p for p in want - got if max(p) < 300} == set()
+
+def test_segments_are_made_in_small_parts(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = ["".join(map(chr, rng.integers(97, 123, n))) for n in [2_000] * 500 + [300_000]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array([0] * len(texts), pa.int64())], ["doc", "text", "base"])
+    monkeypatch.setattr(worker, "_KEPT", {})
+    tracemalloc.start()
+    rows = [b.to_pydict() for b in suffix_dedup._cut(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    windows = [0] * len(texts)
+    for b in rows:
+        for doc, n in zip(b["doc"], b["n"]):
+            windows[doc] += n
+    assert windows == [len(t) - 99 for t in texts]
+    assert peak < 60 << 20  # 1.3 MB of texts; some 130 MB when a MiB was cut at once
