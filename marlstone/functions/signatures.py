@@ -10,43 +10,41 @@ KINDS = ("class", "interface", "enum")
 SEAMS = {"object": "mockkObject", "constructor": "mockkConstructor", "static": "mockkStatic"}
 
 
+# Patterns of a line behind ``public``, its words one space apart. The optional words are never given back: one that is left out is no name.
+_HEAD = rf"^(?:final )?+({'|'.join(KINDS)}) "
+_STATIC = r"^static (?:final )?+[^ ]* (\w+)\("
+_MADE = r"^(?:protected )?+(?:private )?+(?:final )?+([\w.$]+)\(([^)]*)\);?\z"
+
+
 def short_parameters(parameters: Column) -> Column:
     """Parameters in brackets, each as its last word without a package."""
-    each = F.transform(F.split(parameters, ","), lambda p: F.regexp_replace(F.substring_index(F.try_element_at(F.split(F.trim(p), r"\s+"), F.lit(-1)), ".", -1), ";+$", ""))
+    last = lambda p: F.substring_index(F.translate(F.trim(p), "\t\n\x0b\f\r", "     "), " ", -1)
+    each = F.transform(F.split(parameters, ","), lambda p: F.rtrim(F.substring_index(last(p), ".", -1), F.lit(";")))
     return F.concat(F.lit("("), F.array_join(F.filter(each, lambda p: p != ""), ", "), F.lit(")"))
 
 
-def _without(words: Column, names: tuple[str, ...]) -> Column:
-    """The words behind the leading ones of ``names``, each taken once and in their order."""
-    for n in names:
-        words = F.when(F.try_element_at(words, F.lit(1)) == n, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
-    return words
-
-
 def signature_lines(text: Column) -> Column:
-    """The public lines of a listing as structs: ``kind`` and ``type`` of a head, ``static`` name, or constructor ``name`` and ``parameters``."""
+    """The public lines of a listing as structs: ``kind`` and ``type`` of a head, ``static`` name, or constructor ``name`` and ``parameters``.
+
+    Each step is a pass over the lines of its own, so that what several fields need is computed once.
+    """
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^public\s"))
+    words = F.transform(lines, lambda x: F.substring(F.regexp_replace(x, r"\s+", " "), 8, 2**31 - 1))
+
+    def found(line: Column) -> Column:
+        static = F.when(line.startswith("static "), F.regexp_extract(line, _STATIC, 1)).otherwise("")
+        return F.struct(line.alias("line"), F.regexp_extract(line, _HEAD, 1).alias("kind"), static.alias("static"), F.regexp_extract(line, _MADE, 1).alias("name"))
 
-    def parsed(line: Column) -> Column:
-        words = _without(F.split(line, r"\s+"), ("public",))
-        plain = _without(words, ("final",))
-        first = F.try_element_at(plain, F.lit(1))
-        head = first.isin(*KINDS) & (F.size(plain) > 1)
-        after = _without(words, ("static", "final"))
-        called = F.try_element_at(after, F.lit(2))
-        static = (F.try_element_at(words, F.lit(1)) == "static") & F.contains(called, F.lit("(")) & F.substring_index(called, "(", 1).rlike(r"^\w+$")
-        rest = F.regexp_replace(F.array_join(_without(_without(words, ("protected",)), ("private", "final")), " "), ";$", "")
-        name = F.substring_index(rest, "(", 1)
-        made = name.rlike(r"^[\w.$]+$") & rest.endswith(")") & (F.instr(rest, ")") == F.length(rest)) & F.contains(rest, F.lit("("))
-        inner = F.substring(rest, F.length(name) + 2, F.length(rest) - F.length(name) - 2)
-        last = F.regexp_replace(F.try_element_at(plain, F.lit(-1)), r"\{+$", "")
-        yes = lambda c: F.coalesce(c, F.lit(False))
+    def parsed(x: Column) -> Column:
+        head, static = x["kind"] != "", (x["kind"] == "") & (x["static"] != "")
+        made = (x["kind"] == "") & (x["static"] == "") & (x["name"] != "")
+        last = F.rtrim(F.substring_index(x["line"], " ", -1), F.lit("{"))
         return F.struct(
-            F.when(yes(head), first).alias("kind"), F.when(yes(head), last).alias("type"), F.when(~yes(head) & yes(static), F.substring_index(called, "(", 1)).alias("static"),
-            F.when(~yes(head) & ~yes(static) & yes(made), name).alias("name"), F.when(~yes(head) & ~yes(static) & yes(made), short_parameters(inner)).alias("parameters"),
+            F.when(head, x["kind"]).alias("kind"), F.when(head, last).alias("type"), F.when(static, x["static"]).alias("static"),
+            F.when(made, x["name"]).alias("name"), F.when(made, short_parameters(F.regexp_extract(x["line"], _MADE, 2))).alias("parameters"),
         )
 
-    return F.transform(lines, parsed)
+    return F.transform(F.transform(words, found), parsed)
 
 
 def seam(kind: Column, constructors: Column, statics: Column) -> Column:
@@ -61,16 +59,21 @@ def type_shape(lines: Column, simple: Column) -> Column:
     without a package. The last head of several counts; one whose bracket stands apart, as listings write it, leaves the name
     asked for. Null for a listing with neither a head nor a member.
     """
-    heads = F.filter(lines, lambda x: x["kind"].isNotNull())
-    last = F.try_element_at(heads, F.lit(-1))
     want = F.coalesce(simple, F.lit(""))
     short = lambda x: F.substring_index(x["name"], ".", -1)
     mine = lambda x: x["name"].isNotNull() & ((want == "") | (short(x) == want) | (x["name"] == want)) & (short(x).rlike(r"^\p{Lu}") | F.contains(x["name"], F.lit(".")))
     made = F.transform(F.filter(lines, mine), lambda x: x["parameters"])
-    statics = F.array_distinct(F.filter(F.transform(lines, lambda x: x["static"]), lambda x: x.isNotNull()))
-    kind = F.coalesce(last["kind"], F.lit("class"))
-    how = seam(kind, made, statics)
-    table = F.create_map(*[F.lit(x) for kv in SEAMS.items() for x in kv])
-    shape = F.struct(F.coalesce(F.nullif(last["type"], F.lit("")), want).alias("fqcn"), kind.alias("kind"), made.alias("constructors"), statics.alias("statics"), how.alias("seam"), F.element_at(table, how).alias("mock"))
-    nothing = (F.size(made) == 0) & (F.size(statics) == 0) & (F.size(heads) == 0)
-    return F.when(~nothing, shape)
+    statics = F.array_distinct(F.transform(F.filter(lines, lambda x: x["static"].isNotNull()), lambda x: x["static"]))
+    found = F.struct(F.try_element_at(F.filter(lines, lambda x: x["kind"].isNotNull()), F.lit(-1)).alias("last"), made.alias("made"), statics.alias("statics"), want.alias("want"))
+
+    def shape(x: Column) -> Column:
+        kind = F.coalesce(x["last"]["kind"], F.lit("class"))
+        fqcn = F.coalesce(F.nullif(x["last"]["type"], F.lit("")), x["want"])
+        how = F.struct(fqcn.alias("fqcn"), kind.alias("kind"), x["made"].alias("constructors"), x["statics"].alias("statics"), seam(kind, x["made"], x["statics"]).alias("seam"))
+        nothing = (F.size(x["made"]) == 0) & (F.size(x["statics"]) == 0) & x["last"].isNull()
+        return F.when(~nothing, how)
+
+    mock = lambda how: F.coalesce(*[F.when(how == k, v) for k, v in SEAMS.items()])
+    # Arrays of one element carry what is used several times.
+    shapes = F.transform(F.transform(F.array(found), shape), lambda s: F.when(s.isNotNull(), F.struct(*[s[n].alias(n) for n in ("fqcn", "kind", "constructors", "statics", "seam")], mock(s["seam"]).alias("mock"))))
+    return F.element_at(shapes, 1)

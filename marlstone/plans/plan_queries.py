@@ -165,13 +165,13 @@ def type_shapes(spark, d):
         F.when(F.col("l_returnflag") == "N", F.concat(F.lit("  public static "), F.when(F.col("l_tax") > 0.04, "final ").otherwise(""), F.lit("int s"), _text("l_suppkey"), F.lit("(int);")))
         .when(F.col("l_discount") > 0.05, F.concat(F.lit("  public "), name, F.lit("(java.lang.String, int[] , x.P"), _text("l_linenumber"), F.lit(");"))).otherwise(F.concat(F.lit("  public int m"), _text("l_linenumber"), F.lit("(java.lang.String);")))
     )
-    rows = F.transform(F.array_sort(F.collect_list(F.struct(*_PLACE, line.alias("line")))), lambda x: x["line"])
+    rows = F.sort_array(F.collect_list(F.struct(*_PLACE, line.alias("line"))))["line"]
     g = li.groupBy("l_orderkey").agg(F.array_join(rows, "\n").alias("lines"))
     kind = F.element_at(F.array(F.lit("class"), F.lit("final class"), F.lit("interface")), (F.col("l_orderkey") % 3 + 1).cast("int"))
     listed = g.select("l_orderkey", F.concat(F.lit('Compiled from "T"\npublic '), kind, F.lit(" a.b.T"), _text("l_orderkey"), F.lit(" {\n"), "lines", F.lit("\n}")).alias("text"))
     parsed = listed.select("l_orderkey", signature_lines(F.col("text")).alias("lines"))
     shape = parsed.select("l_orderkey", type_shape(F.col("lines"), F.concat(F.lit("T"), _text("l_orderkey"))).alias("s"))
-    return shape.select("l_orderkey", "s.fqcn", "s.kind", F.array_join("s.constructors", ";").alias("constructors"), F.array_join(F.array_sort("s.statics"), ";").alias("statics"), "s.seam", "s.mock")
+    return shape.select("l_orderkey", "s.fqcn", "s.kind", F.array_join("s.constructors", ";").alias("constructors"), F.array_join(F.sort_array("s.statics"), ";").alias("statics"), "s.seam", "s.mock")
 
 
 def documented_types(spark, d):

@@ -198,6 +198,12 @@ def test_type_shapes(spark):
     ]
 
 
+def test_type_shapes_compute_each_step_once(spark):
+    # What several fields need was written out in each of them: a line was split hundreds of times.
+    assert str(signature_lines(F.col("text"))).count("split(") <= 2
+    assert str(type_shape(F.col("l"), F.col("simple"))).count("filter(") == 3
+
+
 def test_documented(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"api": [{"class": "x.A", "qualified_name": "y.A"}, "text", {"class": " "}], "api_index": [{"qualified_name": "z.B"}], "classes": [{"class": "x.C"}]}))
     (tmp_path / "b.json").write_text('["x"]')
