@@ -53,9 +53,11 @@ def context_around(rows: DataFrame, keys: list[str], order: str, hit: str, pad:
 def longest_prefix(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str, longest: int) -> DataFrame:
     """For each row the longest prefix of its text that the other table holds (null if none).
 
-    Every head of at most ``longest`` characters is looked up by equality, so no text meets a prefix it does not start with.
+    Every head of at most ``longest`` characters is looked up by equality, so no text meets a prefix it does not start with;
+    equal texts are looked up once. Sizes are estimated without the heads, so the join is told not to broadcast them.
     """
-    heads = rows.withColumn("_head", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length(text), F.lit(longest))), lambda n: F.substring(F.col(text), F.lit(1), n))))
-    found = heads.join(prefixes.select(F.col(prefix).alias("_head")).distinct(), "_head")
-    best = found.groupBy(*rows.columns).agg(F.max_by("_head", F.length("_head")).alias("prefix"))
-    return rows.join(best, rows.columns, "left")
+    texts = rows.select(F.col(text).alias("_text")).filter(F.col("_text").isNotNull()).distinct()
+    heads = texts.withColumn("_head", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.length("_text"), F.lit(longest))), lambda n: F.substring(F.col("_text"), F.lit(1), n))))
+    found = heads.hint("merge").join(prefixes.select(F.col(prefix).alias("_head")).distinct(), "_head")
+    best = found.groupBy("_text").agg(F.max_by("_head", F.length("_head")).alias("prefix"))
+    return rows.join(best, F.col(text) == F.col("_text"), "left").drop("_text")

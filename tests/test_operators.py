@@ -168,6 +168,20 @@ def test_spans(spark):
     assert {(r["i"], r["prefix"]) for r in spans.longest_prefix(names, "n", heads, "p", 20).collect()} == {(1, "com.a"), (2, None)}
 
 
+def test_longest_prefix_sends_no_heads_to_the_driver(spark, tmp_path):
+    texts = ["com.a.b.C", "com.a.b.C", "org.x", "", None, "co"]
+    spark.createDataFrame([(i if i != 1 else None, t) for i, t in enumerate(texts)], "i long, n string").write.parquet(str(tmp_path / "n"))
+    spark.createDataFrame([("com",), ("com.a",), ("com.a",), (None,), ("or",)], "p string").write.parquet(str(tmp_path / "p"))
+    names, heads = spark.read.parquet(str(tmp_path / "n")), spark.read.parquet(str(tmp_path / "p"))
+    found = spans.longest_prefix(names, "n", heads, "p", 20)
+    # Small as the files are, they may hold many texts, and heads are several times as many.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_head" in plan
+    assert sorted(((r.i, r.n, r.prefix) for r in found.collect()), key=str) == sorted([(0, texts[0], "com.a"), (None, texts[1], "com.a"), (2, "org.x", "or"), (3, "", None), (4, None, None), (5, "co", None)], key=str)
+    every = spans.longest_prefix(names, "n", heads.union(spark.createDataFrame([("",)], "p string")), "p", 20)
+    assert sorted((r.prefix for r in every.collect()), key=str) == sorted(["com.a", "com.a", "or", "", None, ""], key=str)
+
+
 def test_logs(spark):
     text = "ok\nCaused by: x\nat a\nat b\nfine\nerror one\nerror one"
     got = logs.error_lines(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t", after=2).orderBy("n").collect()
