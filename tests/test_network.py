@@ -185,6 +185,19 @@ def test_versions(spark):
     assert versions.resolved_versions(d.limit(0), ["app"]).collect() == []
 
 
+@pytest.mark.parametrize("deepest", [0, 1, 31, 150])
+def test_versions_have_no_bounds_of_recursion(spark, deepest):
+    rows = [("p", "app", f"k{i}", None if i else "1", f"k{i - 1}" if i else None) for i in range(200)]
+    rows += [("p", "app", "a", None, "b"), ("p", "app", "b", None, "a"), ("p", "app", "c", None, "b"), (None, "app", "k300", "2", None), (None, "app", "k301", None, "k300"), ("p", "app", "d", None, "gone")]
+    d = spark.createDataFrame(rows, "project string, scope string, key string, value string, ref string")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "20")
+    try:
+        got = {(r.project, r.key, r.version, r.steps) for r in versions.resolved_versions(d, ["app"], deepest).collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert got == {("p", f"k{i}", "1", i) for i in range(deepest + 1)} | {(None, "k300", "2", 0)}
+
+
 def test_rendered_blocks(spark):
     rows = [("f", 1, ["aa", "bb"], [1]), ("f", 2, [f"line {i}" for i in range(1, 21)], [3, 10, 99]), ("f", 3, ["x"] * 9, None), ("f", 4, [], None), ("f", 5, None, None), ("g", 1, ["y" * 100], None)]
     d = spark.createDataFrame(rows, "k string, o int, lines array<string>, anchors array<int>")
