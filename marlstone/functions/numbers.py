@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 def int_set(values: Column) -> Column:
     """The distinct integers of an array of texts in order; what is no integer is dropped."""
-    cast = F.transform(values, lambda x: x.try_cast("int"))
-    return F.array_sort(F.array_distinct(F.filter(cast, lambda x: x.isNotNull())))
+    # A cast that fails costs an exception, so only what looks like an integer is cast; one out of bounds is dropped then.
+    like = F.filter(values, lambda x: x.rlike(r"^[\x00-\x20\x7f]*[+-]?[0-9]+[\x00-\x20\x7f]*\z"))
+    cast = F.transform(like, lambda x: x.try_cast("int"))
+    return F.sort_array(F.array_distinct(F.filter(cast, lambda x: x.isNotNull())))
 
 
 def compact_ranges(numbers: Column) -> Column:

@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 from marlstone.functions.numbers import int_set
 
 
-def numbered_section(body: Column, number: int) -> Column:
-    """The text of the last section headed ``## number. title``, heading included; null if there is none."""
-    parts = F.split(F.concat(F.lit("\n"), F.coalesce(body, F.lit(""))), r"\n(?=##\s+\d+\.\s+\S)")
+def sections(body: Column) -> Column:
+    """The parts of a text in front of and from each heading ``## number. title``."""
+    return F.split(F.concat(F.lit("\n"), F.coalesce(body, F.lit(""))), r"\n(?=##\s+\d+\.\s+\S)")
+
+
+def section_of(parts: Column, number: int) -> Column:
+    """The last of the ``sections`` with that number, heading included; null if there is none."""
     mine = F.filter(parts, lambda p: p.rlike(rf"^##\s+0*{number}\.\s+\S"))
     return F.try_element_at(mine, F.lit(-1))
 
 
+def numbered_section(body: Column, number: int) -> Column:
+    """The text of the last section headed ``## number. title``, heading included; null if there is none."""
+    return section_of(sections(body), number)
+
+
 def pipe_rows(text: Column) -> Column:
     """The rows of the pipe tables of a text as arrays of trimmed cells; rules between head and body are left out."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.trim(x))
@@ -22,11 +31,16 @@ def pipe_rows(text: Column) -> Column:
     return F.transform(F.filter(inner, lambda x: ~x.rlike(r"^[-: |]*$")), lambda x: F.transform(F.split(x, r"\|"), lambda x: F.trim(x)))
 
 
-def cell(header: Column, row: Column, name: str) -> Column:
-    """A row's cell under the last header of that name, case folded; empty where there is none."""
-    back = F.array_position(F.reverse(F.transform(header, F.lower)), name.lower())
-    at = (F.size(header) - back + 1).cast("int")
-    return F.coalesce(F.when(back > 0, F.try_element_at(row, at)), F.lit(""))
+def cell_places(rows: Column, names: dict[str, str]) -> Column:
+    """Struct with the place of each name's last header, case folded, in the first of the rows; null where there is none."""
+    backward = F.transform(F.slice(rows, 1, 1), lambda header: F.reverse(F.transform(header, F.lower)))
+    place = lambda header, name: (F.size(header) - F.nullif(F.array_position(header, name), F.lit(0)) + 1).cast("int")
+    return F.try_element_at(F.transform(backward, lambda header: F.struct(*[place(header, v).alias(k) for k, v in names.items()])), F.lit(1))
+
+
+def cell(row: Column, place: Column) -> Column:
+    """A row's cell at a place; empty where there is none."""
+    return F.coalesce(F.try_element_at(row, place), F.lit(""))
 
 
 def number_cell(text: Column) -> Column:

@@ -94,20 +94,20 @@ def _plan_bodies(spark, d):
     row = F.when(F.col("l_returnflag") == "N", test).otherwise(late)
     yaml = F.concat(F.lit("- lines: ["), F.concat_ws(", ", _text("l_linenumber"), F.lit("z"), _text("l_linenumber")), F.lit("]\n  approach: 'branch: a; b'\n  tag: "), F.col("l_linestatus"))
     rows = li.select("l_orderkey", F.struct(*_PLACE).alias("place"), row.alias("row"), yaml.alias("yaml"), (F.col("l_returnflag") == "N").alias("test"))
-    listed = lambda c, w: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(w, F.struct("place", F.col(c).alias("t"))))), lambda x: x["t"]), "\n")
-    g = rows.groupBy("l_orderkey").agg(listed("row", F.col("test")).alias("a"), listed("row", ~F.col("test")).alias("b"), listed("yaml", F.col("test")).alias("y"))
+    listed = lambda c, w: F.array_join(F.sort_array(F.collect_list(F.when(w, F.struct("place", F.col(c).alias("t")))))["t"], "\n")
+    kind = F.col("l_orderkey") % 7
+    g = rows.groupBy("l_orderkey").agg(listed("row", F.col("test")).alias("a"), listed("row", ~F.col("test")).alias("b"), listed("yaml", F.col("test") & (kind == 0)).alias("y"))
     even = (F.col("l_orderkey") % 2) == 0
     head = F.when(even, "| ID | Kover lines | Tag | Branch target | When |").otherwise("| Tag | WHEN | id | branch target | kover LINES |")
     first, second = F.when(even, "## 3. Test Cases").otherwise("## 7. Test Cases"), F.when(even, "## 4. Deferred").otherwise("## 13. Deferred")
     tables = F.concat_ws("\n", F.lit("# Test Plan\n## 1. Scope\n| kover lines |\n| 99 |"), first, head, F.lit("|---|:-:|---|---|---|"), F.col("a"), F.lit("\n"), second, F.lit("| Kover lines | Methods | Category | Reason |\n|--|--|--|--|"), F.col("b"))
     front = F.concat(F.lit("---\nschema_version: 2\nrecipe_lane: plain_jvm\ntestable:\n"), F.col("y"), F.lit("\n---\n"), tables)
-    kind = F.col("l_orderkey") % 7
     return g.select("l_orderkey", F.when(kind == 0, front).when(kind == 1, F.concat(F.lit("---\nk: [\n---\n"), tables)).otherwise(tables).alias("text"))
 
 
 def plan_document_items(spark, d):
     items = plan_documents.plan_items(plan_documents.parsed_plans(_plan_bodies(spark, d), "l_orderkey", "text"), "l_orderkey")
-    joined = lambda c: F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), ",").alias(c)
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return items.select("l_orderkey", "pos", "kind", joined("lines"), joined("methods"), "approach", "fixture_hint", "reason", "category", "tag", joined("tc_ids"), joined("branch_targets"))
 
 

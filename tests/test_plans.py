@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.functions.numbers import int_set
 from marlstone.functions.signatures import signature_lines, type_shape
 from marlstone.functions.tables import number_cell, numbered_section, pipe_rows, word_cell
 from marlstone.operators import catalog, deltas, ledger, logs, modules, plan_checks, plan_documents, plans, rules
@@ -50,6 +51,28 @@ def test_plan_documents(spark):
     assert plan_documents.parsed_plans(nothing, "id", "text").collect() == []
 
 
+def test_plan_documents_look_each_header_up_once(spark):
+    # A header was looked up again for each use of each cell, and each failed cast to an integer cost an exception.
+    plans_ = plan_documents.parsed_plans(spark.createDataFrame([], "id string, text string"), "id", "text")
+    assert plans_._jdf.queryExecution().analyzed().toString().count("array_position(") <= 14
+    texts = ["5", " 7\t", "+8", "-9", "x", "1x", "", "1.5", "2147483648", "5", None]
+    assert one(spark, int_set(F.array(*map(F.lit, texts)))) == [-9, 5, 7, 8]
+
+
+@pytest.mark.parametrize("text", ["k: [1, 'a']\ntestable:\n- lines: [1, z]\n  tag: O", "k: [", "- a", "k: \t[1]", "=~: !", "testable:\n- tag: !\n", "\ufeffk: 1", "a: &x {b: 1}\nc: *x", "k: 2020-02-31", "k: {" * 200, "", None])
+def test_front_matter_is_read_alike(text):
+    import yaml
+
+    try:
+        meta = yaml.safe_load(text) if text else None
+    except (yaml.YAMLError, ValueError):
+        meta = None
+    got = plan_documents._as_json(text)
+    assert (got is not None) == isinstance(meta, dict)
+    if got and isinstance(meta.get("testable"), list):
+        assert [(r["tag"], r["lines"]) for r in json.loads(got)["testable"]] == [(str(r.get("tag") or ""), [str(x) for x in r.get("lines") or []]) for r in meta["testable"]]
+
+
 def item(kind="testable", lines=(1,), approach="", layer="", fixture="", reason=""):
     return (kind, list(lines), [], approach, fixture, reason, "", "", [], [], layer)
 
